@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settle
+from .common import WORD, settle, shuffle_parts
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -85,7 +85,7 @@ def slots(sources: DataFrame, per_shard: int = 4096, chunk: int = 8192) -> DataF
     """The mix: one row per output slot, with slot, shard, sid, block (index in the source) and pass."""
     total = sources.agg(F.coalesce(F.sum("draws"), F.lit(0))).first()[0]
     spread = sources.where("draws > 0").withColumn("c", F.explode(F.sequence(F.lit(0), ((F.col("draws") - 1) / chunk).cast("long"))))
-    spread = spread.repartition(F.col("sid"), F.col("c"))
+    spread = spread.repartition(shuffle_parts(sources), "sid", "c")
     r = spread.withColumn("r", F.explode(F.sequence(F.col("c") * chunk, F.least((F.col("c") + 1) * chunk, F.col("draws")) - 1)))
     slot = permuted(F.col("first") + F.col("r"), F.lit(int(total)), F.lit(-1), inverse=True)
     out = r.select("sid", slot.alias("slot"), permuted(F.col("r") % F.col("n_blocks"), F.col("n_blocks"), F.col("sid")).alias("block"), F.floor(F.col("r") / F.col("n_blocks")).alias("pass"))

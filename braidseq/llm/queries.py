@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import fingerprints, mixing
 from .common import table
 
 
 def op9_mixing(spark, sf_dir):
     return mixing.taken(table(spark, sf_dir, "documents"))
 
+def op6_fingerprints(spark, sf_dir):
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
 
 QUERIES = {
+    "op6_fingerprints": op6_fingerprints,
     "op9_mixing": op9_mixing,
 }
 
