@@ -12,8 +12,6 @@ Very long texts and runs of digits are matched without backtracking. An empty ta
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,8 +126,10 @@ def extract(docs: DataFrame) -> DataFrame:
 
 
 def _joined(kinds) -> Column:
-    parts = [F.transform(k, lambda x, k=k: F.concat_ws(":", F.lit(k), x["s"].cast("string"), x["e"].cast("string"))) for k in kinds]
-    return F.concat_ws(",", F.concat(*parts))
+    def part(k):
+        return F.transform(k, lambda x: F.concat_ws(":", F.lit(k), x["s"].cast("string"), x["e"].cast("string")))
+
+    return F.concat_ws(",", F.concat(*[part(k) for k in kinds]))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -141,7 +141,11 @@ def report(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in brackets; overlapping spans are one, named after the first. Columns of docs."""
     spans = extract(docs).dropDuplicates(["doc_id", "text_hash"])
-    named = F.concat(*[F.transform(k, lambda x, k=k: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k"))) for k in (*KINDS, "context")])
+
+    def names(k):
+        return F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k")))
+
+    named = F.concat(*[names(k) for k in (*KINDS, "context")])
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.array_sort(named).alias("spans")).where(F.size("spans") > 0)
     d = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
     d = d.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing
+from . import fingerprints, mixing, pii, substring
 from .common import table
 
 
@@ -12,8 +12,16 @@ def op9_mixing(spark, sf_dir):
 def op6_fingerprints(spark, sf_dir):
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
 
+def op4_substring(spark, sf_dir):
+    return substring.cut(table(spark, sf_dir, "documents"), length=20, texts=False)
+
+def op8_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
 
 QUERIES = {
+    "op8_pii": op8_pii,
+    "op4_substring": op4_substring,
     "op6_fingerprints": op6_fingerprints,
     "op9_mixing": op9_mixing,
 }
