@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, pii, substring
+from . import fingerprints, mixing, pii, substring, suffixes
 from .common import table
 
 
@@ -18,8 +18,12 @@ def op4_substring(spark, sf_dir):
 def op8_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
+def op10_suffixes(spark, sf_dir):
+    return suffixes.cut(table(spark, sf_dir, "documents"), length=400, texts=False)
+
 
 QUERIES = {
+    "op10_suffixes": op10_suffixes,
     "op8_pii": op8_pii,
     "op4_substring": op4_substring,
     "op6_fingerprints": op6_fingerprints,

@@ -134,7 +134,7 @@ def seeds(docs: DataFrame, units_of, length: int, k: int, unique: bool, gram_has
                     yield folded(*[np.concatenate(z) for z in zip(*got)], unique)
 
     rows = docs.mapInPandas(run, SEED).repartition(shuffle_parts(docs), "h")
-    same = Window.partitionBy("h", "c").orderBy("d", "p")
+    same = Window.partitionBy("h", "c").orderBy("witness", "d", "p")
     group = Window.partitionBy("h")
     rows = rows.withColumn("nth", F.row_number().over(same))
     if unique:
