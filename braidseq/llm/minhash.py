@@ -1,14 +1,16 @@
 """MinHash near-duplicates of documents, candidates verified by odd sketches and then on whole shingle sets.
 
 A document's set is its distinct 4-word shingles (five words and 0.8 are the general defaults; the query sets four).
-128 minima per set make 25 bands of 5, and fold into a 256-bit odd sketch: each minimum flips one bit, so the
+256 minima per set make 25 bands of 5, and fold into a 512-bit odd sketch: each minimum flips one bit, so the
 bits in which two sketches differ estimate the similarity, precisely where it is high. Documents of equal sets are
 one class, whose smallest doc_id stands for it. In each band bucket the members are paired with the bucket's first,
 not with one another; a pair goes on if its sizes and sketches allow the threshold, and becomes a link if the whole
-sets confirm it. Then members of a bucket that lie in different components are paired again, each class with the
-bucket's smallest member of every other component, until no bucket holds unverified pairs of different components
-(see `_rounds`), so no link between different components that shares a bucket is left out. Two sets at 0.8 share a
-bucket with probability 1 - (1 - 0.8**5)**25, above 0.9999.
+sets confirm it. Buckets whose members are then in one component are done. In the others, members of different
+components are held against each other, but only those whose shingles that any other such member shares are enough
+for the threshold (in a family of copies with many edits each, that leaves few). So no link between different
+components that share a bucket is left out. Two sets at 0.8 share a bucket with probability 1 - (1 - 0.8**5)**25,
+above 0.9999; the sketches are let off by 0.11, about four deviations of their
+estimate, in the second step and 0.2 in the first.
 
 Nulls, empty texts and texts without words have the empty set and link with nothing; so do rows without a doc_id.
 With fewer words than a shingle has, the whole sequence is one shingle. Repeated rows (one doc_id, one text) give one
@@ -25,11 +27,12 @@ from pyspark.sql import functions as F
 from .common import components, only, settle
 from .units import U, Words, batches, grams, mix, whole
 
-SAMPLES, BANDS, ROWS, BITS = 128, 25, 5, 256
+SAMPLES, BANDS, ROWS, BITS = 256, 25, 5, 512
+SKETCH = tuple(f"s{i}" for i in range(BITS // 64))
 _RNG = np.random.Generator(np.random.PCG64(20240501))
 _A = (_RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _B = _RNG.integers(0, 2**32, SAMPLES, dtype=np.uint32)
-FEATURES = "doc_id long, n_shingles long, k0 long, k1 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+FEATURES = f"doc_id long, n_shingles long, k0 long, k1 long, {', '.join(f'{s} long' for s in SKETCH)}, bands array<long>"
 
 
 def lower_ascii(texts) -> list[bytes]:
@@ -81,20 +84,19 @@ def features(docs: DataFrame, words: int) -> DataFrame:
                     with np.errstate(over="ignore"):
                         key = np.array([np.add.reduce(mix(s)), np.bitwise_xor.reduce(mix(s ^ U(0xABCD)))], U).view(np.int64)
                     out.append((doc_id, len(s), *key.tolist(), *odd_sketch(m).tolist(), band_keys(m) if len(s) else []))
-                yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "k0", "k1", "s0", "s1", "s2", "s3", "bands"]).astype({"doc_id": "Int64"})
+                yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "k0", "k1", *SKETCH, "bands"]).astype({"doc_id": "Int64"})
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, FEATURES)
 
 
 def likeness(a: str, b: str) -> Column:
     """Estimated similarity of two sketches."""
-    apart = sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(4)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{a}{i}").bitwiseXOR(F.col(f"{b}{i}"))) for i in range(len(SKETCH))), F.lit(0))
     return 1 + F.lit(BITS / (4 * SAMPLES)) * F.log(F.greatest(1 - 2 * apart / F.lit(BITS), F.lit(1e-9)))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose whole sets reach the threshold. Sets are made again, only for documents in pairs."""
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+def shingled(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """doc_id and set (sorted hashes of all its shingles) of the documents in ids."""
 
     def run(frames):
         for frame in frames:
@@ -102,8 +104,14 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
                 part = frame.iloc[at]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "set": [s.view(np.int64) for s in shingle_sets(lower_ascii(part["text"]), words)]})
 
-    sets = only(docs.select("doc_id", "text"), ids, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(run, "doc_id long, set array<long>")
-    sets = settle(sets)
+    return settle(only(docs.select("doc_id", "text"), ids, "doc_id").dropDuplicates(["doc_id"]).mapInPandas(run, "doc_id long, set array<long>"))
+
+
+def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) whose whole sets reach the threshold. Sets are made again, only for documents in pairs."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id")))
+
+    sets = shingled(docs, ids, words)
 
     def count(frames):
         for frame in frames:
@@ -119,44 +127,41 @@ def verified(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> Dat
 
 def _hopeful(pairs: DataFrame, reps: DataFrame, percent: int, slack: float) -> DataFrame:
     """Pairs (a, b) that their sizes and sketches allow. slack: how far an estimate may be off, about five of its deviations."""
-    side = lambda x: reps.select(F.col("rep").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", "s0", "s1", "s2", "s3")])
+    side = lambda x: reps.select(F.col("rep").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in ("n", *SKETCH)])
     p = pairs.join(side("a"), "a").join(side("b"), "b")
     sized = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
     return p.where(sized & (likeness("a_s", "b_s") >= percent / 100 - slack)).select("a", "b")
 
 
-def links(docs: DataFrame, feats: DataFrame, words: int, percent: int, slack: float = 0.22) -> DataFrame:
+def links(docs: DataFrame, feats: DataFrame, words: int, percent: int, slack: float = 0.2, close: float = 0.11) -> DataFrame:
     """Verified links (u, v) between class representatives, enough to connect all that the bands bring together."""
     reps = feats.where("n_shingles > 0 and doc_id is not null")
-    member = F.struct("doc_id", F.col("n_shingles").alias("n"), "s0", "s1", "s2", "s3", "bands")
-    reps = settle(reps.groupBy("n_shingles", "k0", "k1").agg(F.min(member).alias("m")).select(F.col("m.doc_id").alias("rep"), "m.n", "m.s0", "m.s1", "m.s2", "m.s3", "m.bands"))
-    slots = reps.select(F.explode("bands").alias("bucket"), "rep")
+    member = F.struct("doc_id", F.col("n_shingles").alias("n"), *SKETCH, "bands")
+    reps = settle(reps.groupBy("n_shingles", "k0", "k1").agg(F.min(member).alias("m")).select(F.col("m.doc_id").alias("rep"), "m.n", *[f"m.{s}" for s in SKETCH], "m.bands"))
+    slots = reps.select(F.posexplode("bands").alias("band", "bucket"), "rep")
     shared = slots.groupBy("bucket").agg(F.count("*").alias("size"), F.min("rep").alias("first")).where("size > 1")
     slots = settle(slots.join(shared, "bucket"))
     sketches = reps.drop("bands")
     pairs = slots.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
     tried = settle(_hopeful(pairs, sketches, percent, slack))
     found = settle(verified(docs, tried, words, percent))
-    for _ in range(8):
-        joined = components(found, "a", "b")
-        here = slots.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("component", "rep").alias("c"))
-        firsts = here.groupBy("bucket", "c").agg(F.min("rep").alias("f"))
-        open_ = firsts.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket")
-        firsts = firsts.join(open_, "bucket")
-        # Within an open bucket: each member with the members of other components, few of which the sketches let through.
-        left = here.join(open_, "bucket").join(sketches, "rep").select("bucket", "c", *[F.col(x).alias(f"a_{x}") for x in ("rep", "n", "s0", "s1", "s2", "s3")])
-        right = firsts.withColumnRenamed("f", "rep").join(sketches, "rep").select("bucket", F.col("c").alias("c2"), *[F.col(x).alias(f"b_{x}") for x in ("rep", "n", "s0", "s1", "s2", "s3")])
-        sized = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent
-        more = left.join(right, "bucket").where((F.col("c") != F.col("c2")) & sized & (likeness("a_s", "b_s") >= percent / 100 - slack))
-        more = more.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct()
-        more = settle(more.join(tried, ["a", "b"], "left_anti"))
-        if not more.take(1):
-            break
-        fresh = settle(verified(docs, more, words, percent))
-        tried = tried.union(more)
-        if not fresh.take(1):
-            break
-        found = settle(found.union(fresh))
+    joined = components(found, "a", "b")
+    here = slots.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("band", "bucket", "rep", F.coalesce("component", "rep").alias("c"))
+    still = here.groupBy("bucket").agg((F.min("c") != F.max("c")).alias("open")).where("open").select("bucket")
+    here = settle(here.join(still, "bucket"))
+    # What of a set stands in no other open set bounds every overlap that it can have.
+    sets = shingled(docs, here.select(F.col("rep").alias("doc_id")), words)
+    alone = sets.select("doc_id", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
+    bound = reps.join(alone, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+    here = settle(here.join(bound, "rep").where(F.col("shared") * 100 >= F.col("n") * percent))
+    side = lambda x: here.select("bucket", *[F.col(k).alias(f"{x}_{k}") for k in ("rep", "c", "n", "shared", "band", "bands", *SKETCH)])
+    most = F.least("a_shared", "b_shared")
+    can = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_c") != F.col("b_c")) & (most * 100 >= (F.col("a_n") + F.col("b_n") - most) * percent)
+    more = side("a").join(side("b"), "bucket").where(can & (likeness("a_s", "b_s") >= percent / 100 - close))
+    # A pair of several common buckets counts in the first of them.
+    more = more.where(~F.arrays_overlap(F.slice("a_bands", F.lit(1), F.col("a_band")), F.slice("b_bands", F.lit(1), F.col("b_band"))))
+    more = settle(more.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    found = found.union(verified(docs, more, words, percent))
     return found.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
@@ -164,7 +169,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id is that) of every document."""
     feats = settle(features(docs, words))
     label = components(links(docs, feats, words, percent))
-    base = feats.drop("bands", "s0", "s1", "s2", "s3")
+    base = feats.drop("bands", *SKETCH)
     classes = base.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k0", "k1").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "k0", "k1", F.coalesce("component", "rep").alias("c"))
     out = base.join(classes, ["n_shingles", "k0", "k1"], "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))

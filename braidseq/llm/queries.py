@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, mixing, pii, substring, suffixes
+from . import fingerprints, minhash, mixing, pii, substring, suffixes
 from .common import table
 
 
@@ -21,8 +21,12 @@ def op8_pii(spark, sf_dir):
 def op10_suffixes(spark, sf_dir):
     return suffixes.cut(table(spark, sf_dir, "documents"), length=400, texts=False)
 
+def op1_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op10_suffixes": op10_suffixes,
     "op8_pii": op8_pii,
     "op4_substring": op4_substring,
