@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, minhash, mixing, pii, substring, suffixes
+from . import fingerprints, minhash, mixing, pii, quality, substring, suffixes, toxicity
 from .common import table
 
 
@@ -24,8 +24,16 @@ def op10_suffixes(spark, sf_dir):
 def op1_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.5)
+
+def op5_quality(spark, sf_dir):
+    return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
 
 QUERIES = {
+    "op5_quality": op5_quality,
+    "op7_toxicity": op7_toxicity,
     "op1_minhash": op1_minhash,
     "op10_suffixes": op10_suffixes,
     "op8_pii": op8_pii,
