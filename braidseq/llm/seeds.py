@@ -104,7 +104,7 @@ def folded(d, h, c, p, m, unique: bool) -> pd.DataFrame:
     return out.assign(h=out["h"].to_numpy(U).view(np.int64), c=out["c"].to_numpy(U).view(np.int64), p=out["p"].astype(np.int32), m=out["m"].astype(np.int32))
 
 
-def seeds(docs: DataFrame, units_of, length: int, k: int, unique: bool, gram_hashes=grams, batch: int = 2_000_000) -> DataFrame:
+def seeds(docs: DataFrame, units_of, length: int, k: int, unique: bool, gram_hashes=grams, batch: int = 1_000_000) -> DataFrame:
     """Of docs (d, text): anchor occurrences that matter: d, p (first window), m (windows), whole (they all repeat), open (they may).
 
     units_of(texts) gives the units of a list of texts and where each text's begin. A text of more units than a batch

@@ -75,7 +75,7 @@ def whole(hashes: np.ndarray) -> np.uint64:
         return mix(np.array([np.add.reduce(hashes[::-1] * powers(len(hashes))) + U(len(hashes))], U))[0]
 
 
-def batches(texts, size: int = 4_000_000):
+def batches(texts, size: int = 1_000_000):
     """Runs of indices of texts of about so many characters each."""
     run, total = [], 0
     for i, t in enumerate(texts):
