@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprints, minhash, mixing, pii, quality, substring, suffixes, toxicity
+from . import embeddings, fingerprints, minhash, mixing, pii, quality, substring, suffixes, toxicity
 from .common import table
 
 
@@ -30,8 +30,12 @@ def op7_toxicity(spark, sf_dir):
 def op5_quality(spark, sf_dir):
     return quality.classified(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
+def op3_embeddings(spark, sf_dir):
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
 
 QUERIES = {
+    "op3_embeddings": op3_embeddings,
     "op5_quality": op5_quality,
     "op7_toxicity": op7_toxicity,
     "op1_minhash": op1_minhash,

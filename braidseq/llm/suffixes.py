@@ -16,6 +16,7 @@ overlapping parts. Extra columns are ignored. An empty table gives an empty resu
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -207,7 +208,7 @@ def repeats(docs: DataFrame, length: int = 400, k: int = 32, limit: int = BROADC
     def merged(frames):
         """Sorted runs of (w, d, p): a window repeats if binary search finds its hash more than once, or already repeated in its shard."""
         held = None
-        for frame in [*frames, None]:
+        for frame in chain(frames, [None]):
             rows = held if frame is None else frame if held is None else pd.concat([held, frame], ignore_index=True)
             if rows is None or not len(rows):
                 continue
