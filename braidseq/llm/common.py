@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +42,20 @@ def only(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ROWS) -
     return df.join(F.broadcast(ids) if ids.count() <= limit else ids, key, "left_semi")
 
 
+def without(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Rows of df whose key is not in ids (null keys stay). ids is broadcast only after a count within limit."""
+    ids = settle(ids.select(key).where(F.col(key).isNotNull()).distinct())
+    return df.join(F.broadcast(ids) if ids.count() <= limit else ids, key, "left_anti")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the cluster's shared folder and read again."""
+    settle(df.limit(0))  # sets the folder where the session has none
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def sha256(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, only, settle
+from .common import components, only, settle, without
 from .units import U, Words, batches, grams, mix, whole
 
 SAMPLES, BANDS, ROWS, BITS = 256, 25, 5, 512
@@ -178,5 +178,4 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents whose doc_id is their component's; all columns."""
-    kept = near_duplicates(docs, words, percent).where("not kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_anti")
+    return without(docs, near_duplicates(docs, words, percent).where("not kept"), "doc_id")

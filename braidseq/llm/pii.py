@@ -96,6 +96,12 @@ def contextual(docs: DataFrame, spanned: DataFrame, least_seeds: int = 3, confid
     induced = settle(induced)
     if not induced.take(1):
         return items.limit(0).select("doc_id", "text_hash", "s", "e")
+    # Most common pairs of words fail already on the documents that may hold identifiers; only the rest are counted over all.
+    induced = settle(induced.join(_occurrences(docs.where(F.col("text").contains("@") | F.col("text").contains("+")), induced), "pattern", "left"))
+    most = seeds.groupBy("pattern").agg(F.count("*").alias("led"))
+    candidates = items.where("kind = 'context'").groupBy("pattern").agg(F.count("*").alias("may"))
+    induced = induced.join(most, "pattern").join(candidates, "pattern").where(F.col("led") + F.col("may") >= confident * F.coalesce("n", F.lit(0))).select("pattern")
+    induced = settle(induced)
     counts = _occurrences(docs, induced)
     graph = settle(items.join(induced, "pattern", "left_semi").groupBy("pattern", "value").agg(F.max((F.col("kind") != "context").cast("double")).alias("score"), F.count("*").alias("times")).join(counts, "pattern"))
     scores = graph.select("value", "score").groupBy("value").agg(F.max("score").alias("score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprints, minhash, mixing, pii, quality, substring, suffixes, toxicity
+from . import embeddings, fingerprints, minhash, mixing, pii, quality, sentencepiece_scan, substring, suffixes, toxicity
 from .common import table
 
 
@@ -33,8 +33,12 @@ def op5_quality(spark, sf_dir):
 def op3_embeddings(spark, sf_dir):
     return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
 
+def op2_sentencepiece(spark, sf_dir):
+    return sentencepiece_scan.encode(table(spark, sf_dir, "documents"))
+
 
 QUERIES = {
+    "op2_sentencepiece": op2_sentencepiece,
     "op3_embeddings": op3_embeddings,
     "op5_quality": op5_quality,
     "op7_toxicity": op7_toxicity,

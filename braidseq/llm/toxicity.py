@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import without
 from .labelled import Lookup, held_out, sample
 
 _OUTER = ".,;:!?\"'()[]{}*#&%$|-_…«»„“”"
@@ -203,3 +204,8 @@ def classified(docs: DataFrame, labels: DataFrame, per_class: int = 2000, thresh
     """doc_id, held_out, score, predicted, neighbours of every document."""
     d = scored(docs, labels, per_class)
     return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "neighbours")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, per_class: int = 2000, threshold: float = 0.5) -> DataFrame:
+    """The documents that score below the threshold; all columns."""
+    return without(docs, scored(docs, labels, per_class).where(F.col("score") >= threshold), "doc_id")
