@@ -5,7 +5,7 @@ block has its own random unit codewords, and one codeword per block together are
 filters whose inner product with it exceeds a threshold; they are found by list decoding, block by block, leaving
 partial sums that the other blocks' best codewords cannot lift over it. Threshold and codewords follow the number of
 vectors, so that a filter is passed by about `occupancy` of unrelated vectors and a vector passes about `passes`,
-at any size. Vectors meet in filters and are verified there by their exact cosine in double precision. Equal vectors
+at any size; one that passes fewer takes the nearest beyond. Vectors meet in filters and are verified there by their exact cosine in double precision. Equal vectors
 are one class and meet others once. A pair counts in the first filter that both pass, so links are counted once.
 A filter that many vectors pass is split into blocks, and every two blocks meet in a task of their own.
 
@@ -75,6 +75,26 @@ def decoded(v: np.ndarray, dim: int, threshold: float, blocks: int, words: int,
     return row, path
 
 
+def passing(v: np.ndarray, dim: int, threshold: float, blocks: int, words: int, number: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """decoded, with the threshold lowered for vectors that lie far from all directions until they pass `least` filters."""
+    row, path = decoded(v, dim, threshold, blocks, words, number)
+    few = np.flatnonzero(np.bincount(row, minlength=len(v)) < least)
+    rows, paths = [row], [path]
+    for _ in range(40):
+        if not len(few) or words**blocks < least:
+            break
+        threshold -= 0.04
+        row, path = decoded(v[few], dim, threshold, blocks, words, number)
+        n = np.bincount(row, minlength=len(few))
+        done = (n >= least)[row]
+        rows.append(few[row[done]])
+        paths.append(path[done])
+        few = few[n < least]
+    row, path = np.concatenate(rows), np.concatenate(paths)
+    both = np.unique(np.stack([row, path]), axis=1)
+    return both[0], both[1]
+
+
 def _matrix(blobs, dtype: str) -> np.ndarray:
     x = np.frombuffer(b"".join(blobs), dtype).reshape(len(blobs), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
@@ -94,7 +114,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, codes: int = 2, passes: int = 20, occupancy: int = 96) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, codes: int = 2, passes: int = 10, occupancy: int = 96) -> DataFrame:
     """vec_id, n_links (other vectors at the cosine or more), component_id (smallest vec_id reachable), kept (vec_id is that)."""
     kind = vectors.schema["embedding"].dataType.elementType.simpleString()
     dtype = "<f4" if kind == "float" else "<f8"
@@ -115,7 +135,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, codes: int = 2, passe
                 for at in np.array_split(which, max(1, len(which) // 256)) if len(which) else []:
                     v = _matrix([blobs[i] for i in at], dtype)
                     for number in range(codes):
-                        row, path = decoded(v, dim, threshold, blocks, words, number)
+                        row, path = passing(v, dim, threshold, blocks, words, number, passes)
                         names = (path * codes + number) % (2**31 - 1)
                         for i, f in zip(row, names):
                             out[at[i]].append(f)
