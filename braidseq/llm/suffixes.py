@@ -29,7 +29,7 @@ from .units import U, batches, mix
 
 _BYTE = mix(np.arange(256, dtype=U))
 #: Bytes of snippets in a shard, and snippets that one anchor may put into one.
-SHARD, SPLIT = 1_500_000, 1500
+SHARD, SPLIT = 500_000, 1500
 
 
 def byte_grams(units: np.ndarray, k: int) -> np.ndarray:
@@ -66,6 +66,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     rank = np.empty(n, np.int64)
     rank[order] = np.repeat(head, np.diff(np.append(head, n)))
     have = 7
+    heads = new
     while True:
         sizes = np.diff(np.append(head, n))
         tied = np.repeat(sizes > 1, sizes)
@@ -83,7 +84,8 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
         fresh = np.concatenate([[True], pair[1:] != pair[:-1]])
         begins = at[fresh]
         rank[suffix] = np.repeat(begins, np.diff(np.append(np.flatnonzero(fresh), len(at))))
-        head = np.union1d(head, begins)
+        heads[begins] = True
+        head = np.flatnonzero(heads)
         have *= 2
     return order
 
