@@ -4,7 +4,8 @@ Base spans are matches of four patterns that pass a check (parts of an address,
 the bootstrapping: the two words before a seed are a pattern; its confidence is the share of its occurrences in the
 whole corpus that lead to an accepted identifier. Words that hold a digit, at least six characters and no base span
 are candidates; a candidate's score is 1 - prod(1 - confidence) over the confident patterns it stands behind. In
-rounds, accepted candidates count as identifiers and raise their patterns. Accepted ones are spans of kind `context`.
+rounds, accepted candidates count as identifiers and raise their patterns. Contexts that are common words are told by
+the documents that may hold identifiers, before any count over the whole corpus. Accepted ones are spans of kind `context`.
 
 Nulls: a null text is empty. Empty texts have no spans. Repeated rows get the same spans. Extra columns are ignored.
 Very long texts and runs of digits are matched without backtracking. An empty table gives an empty result.
