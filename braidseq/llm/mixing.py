@@ -123,11 +123,12 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, most:
     got = pieces(places, slots(settle(sources)), block)
     got = got.groupBy("doc_id", "text_hash", "sid", "start").agg(F.array_sort(F.collect_list(F.struct("lo", "hi", "times"))).alias("parts"))
     got = got.drop("sid", "start").dropDuplicates(["doc_id", "text_hash"])
-    rows = docs.withColumn("text_hash", F.xxhash64("text"))
-    rows = rows.join(got.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    rows = rows.withColumn("words", words).withColumn("pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("parts", lambda p: p["times"])))))
-    part = F.transform(F.filter("parts", lambda p: p["times"] >= F.col("pass")), lambda p: F.slice("words", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))
+    got = got.select(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash"), F.col("parts").alias("_mix_parts"))
+    rows = docs.join(got, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.xxhash64("text") == F.col("_mix_hash")))
+    rows = rows.withColumn("_mix_words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    rows = rows.withColumn("_mix_pass", F.explode(F.sequence(F.lit(1), F.array_max(F.transform("_mix_parts", lambda p: p["times"])))))
+    chosen = F.filter("_mix_parts", lambda p: p["times"] >= F.col("_mix_pass"))
+    part = F.transform(chosen, lambda p: F.slice("_mix_words", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))
     rows = rows.withColumn("text", F.array_join(F.flatten(part), " "))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))

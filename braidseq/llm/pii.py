@@ -153,16 +153,17 @@ def redacted(docs: DataFrame) -> DataFrame:
         return F.transform(k, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.lit(k).alias("k")))
 
     named = F.concat(*[names(k) for k in (*KINDS, "context")])
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.array_sort(named).alias("spans")).where(F.size("spans") > 0)
-    d = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    d = d.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left")
+    spans = spans.select(F.col("doc_id").alias("_pii_id"), F.col("text_hash").alias("_pii_hash"), F.array_sort(named).alias("_pii_spans")).where(F.size("_pii_spans") > 0)
+    same = F.col("doc_id").eqNullSafe(F.col("_pii_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_pii_hash"))
+    d = docs.join(spans, same, "left")
 
     def step(acc, x):
         new = F.concat(acc["out"], F.substring("text", acc["p"] + 1, x["s"] - acc["p"]), F.lit("["), F.upper(x["k"]), F.lit("]"))
         return F.struct(F.greatest(acc["p"], x["e"]).alias("p"), F.when(x["s"] >= acc["p"], new).otherwise(acc["out"]).alias("out"))
 
-    text = F.aggregate("spans", F.struct(F.lit(0).alias("p"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring("text", acc["p"] + 1, F.char_length("text"))))
-    d = d.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(text))
+    text = F.aggregate("_pii_spans", F.struct(F.lit(0).alias("p"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring("text", acc["p"] + 1, F.char_length("text"))))
+    none = F.col("_pii_spans").isNull()
+    d = d.withColumn("text", F.when(none, F.col("text")).otherwise(text))
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+        d = d.withColumn("n_chars", F.when(none, F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return d.select(*docs.columns)

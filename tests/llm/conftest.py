@@ -9,7 +9,7 @@ def spark():
     return s
 
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, h string, sid string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size string, h string, sid string, words string, spans string, text_hash string, rep string"
 
 
 @pytest.fixture(scope="session")
@@ -17,7 +17,7 @@ def docs_of(spark):
     """A table of documents from texts: ids 1, 2, ...; sources in turn, one of them null; columns whose names clash with those used inside."""
 
     def make(texts, ids=None):
-        rows = [((ids[i] if ids else i + 1), t, None, [None, "b", "a"][i % 3], None, "x", "y", "z") for i, t in enumerate(texts)]
+        rows = [((ids[i] if ids else i + 1), t, None, [None, "b", "a"][i % 3], None, "x", "y", "z", "v", "u", "t", "s") for i, t in enumerate(texts)]
         return spark.createDataFrame(rows, SCHEMA)
 
     return make

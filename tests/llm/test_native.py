@@ -51,6 +51,7 @@ def test_pii(docs_of):
     got = check_pii(docs_of(TEXTS))
     assert got[18]["spans"] == "context:12:19"  # the pattern "login is" leads to three seeds and one unseen identifier
     red = {r["doc_id"]: r["text"] for r in pii.redacted(docs_of(TEXTS)).collect()}
+    assert pii.redacted(docs_of(TEXTS)).first()["spans"] == "u"
     assert red[16] == "😀 [EMAIL] 😀 [IP]" and red[14] == "dup dup" and red[1] is None
 
 
@@ -115,6 +116,7 @@ def test_mixing(docs_of, spark):
     for s, w in (("a", 5), ("b", 2), (None, 1)):  # by code point, null last
         assert abs(target[s] - total * w / 8) < 1e-6 or target[s] == 3 * size[s]
         assert abs(took[s] - target[s]) <= 16
+    assert mixing.mixed_documents(docs, block=4).first()["words"] == "v"
     words = Counter()
     for r in mixing.mixed_documents(docs, block=4).collect():
         words[r["doc_id"]] += len(W.findall(r["text"]))
