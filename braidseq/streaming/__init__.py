@@ -1,0 +1 @@
+"""No streaming operators: the blueprint lists none, all inputs are read whole."""
