@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import shuffle_parts
 from .labelled import Lookup
+from .units import batches
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -135,6 +136,21 @@ class Pieces:
     def merged(self, unit: str) -> tuple:
         """Ids of a unit by merges: the neighbours whose union is the piece of highest score, the leftmost of equals, until there are none."""
         n = len(unit)
+        if n <= 48:  # few neighbours: plain lists beat a heap
+            get, parts = self.scores.get, list(unit)
+            pairs = [get(a + b, NONE) for a, b in zip(parts, parts[1:])]
+            while pairs:
+                best = max(pairs)
+                if best == NONE:
+                    break
+                i = pairs.index(best)
+                parts[i] += parts.pop(i + 1)
+                del pairs[i]
+                if i:
+                    pairs[i - 1] = get(parts[i - 1] + parts[i], NONE)
+                if i < len(pairs):
+                    pairs[i] = get(parts[i] + parts[i + 1], NONE)
+            return self._numbers(parts)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         live, heap = [True] * n, []
 
@@ -242,11 +258,13 @@ def encode(docs: DataFrame, model: bytes | None = None, chunk: int = 16_384) ->
         p = shared.value
         unit = Lookup(p.merged if p.bpe else lambda u: p.best(u)[0])
         for frame in frames:
-            out = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"]):
-                ids = ids_of(MARK + text.replace(" ", MARK), unit) if text else []
-                out.append((doc_id, len(ids), np.array(ids, np.int32), p.decode(ids) == text))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "round_trip"]).astype({"doc_id": "Int64"})
+            # Ids leave the worker in small parts.
+            for at in batches(frame["text"], 500_000):
+                out = []
+                for doc_id, text in zip(frame["doc_id"].iloc[at], frame["text"].iloc[at]):
+                    ids = ids_of(MARK + text.replace(" ", MARK), unit) if text else []
+                    out.append((doc_id, len(ids), np.array(ids, np.int32), p.decode(ids) == text))
+                yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "round_trip"]).astype({"doc_id": "Int64"})
 
     if pieces.bpe:
         return docs.mapInPandas(short, ENCODED)
