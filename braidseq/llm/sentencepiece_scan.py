@@ -256,14 +256,22 @@ def encode(docs: DataFrame, model: bytes | None = None, chunk: int = 16_384) ->
 
     def short(frames):
         p = shared.value
-        unit = Lookup(p.merged if p.bpe else lambda u: p.best(u)[0])
+
+        def known(u):
+            """A unit's ids and what they decode to, as bytes: both of a text are those of its units, one after the other."""
+            ids = p.merged(u) if p.bpe else p.best(u)[0]
+            return np.array(ids, "<i4").tobytes(), b"".join(map(p.raw.__getitem__, ids))
+
+        unit = Lookup(known, 200_000)
         for frame in frames:
             # Ids leave the worker in small parts.
             for at in batches(frame["text"], 500_000):
                 out = []
                 for doc_id, text in zip(frame["doc_id"].iloc[at], frame["text"].iloc[at]):
-                    ids = ids_of(MARK + text.replace(" ", MARK), unit) if text else []
-                    out.append((doc_id, len(ids), np.array(ids, np.int32), p.decode(ids) == text))
+                    got = list(map(unit.__getitem__, UNIT.findall(MARK + text.replace(" ", MARK)))) if text else []
+                    ids = np.frombuffer(b"".join([g[0] for g in got]), "<i4")
+                    back = b"".join([g[1] for g in got])[1:]
+                    out.append((doc_id, len(ids), ids, back == text.encode("utf-8", "surrogatepass")))
                 yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "round_trip"]).astype({"doc_id": "Int64"})
 
     if pieces.bpe:
