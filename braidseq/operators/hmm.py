@@ -318,25 +318,30 @@ def align(pairs: DataFrame, a: np.ndarray, start: np.ndarray, steps: list[tuple[
     with np.errstate(divide="ignore"):
         la, ls = np.log(a), np.log(start)
 
+    def emitted(s, i, j, x, y):
+        """Log emissions of a state by where it starts; each pair of different symbol runs is asked for once."""
+        runs = [[tuple(z[at : at + size]) for at in range(len(z) + 1 - size)] for z, size in ((x, i), (y, j))]
+        kinds = [{r: k for k, r in enumerate(dict.fromkeys(rs))} for rs in runs]
+        e = np.array([[emit(s, list(p), list(q)) for q in kinds[1]] for p in kinds[0]], float).reshape(len(kinds[0]), len(kinds[1]))
+        at = [np.array([k[r] for r in rs], int) for rs, k in zip(runs, kinds)]
+        return np.log(np.maximum(e, 0))[at[0][:, None], at[1][None]]
+
     def best(x, y):
         n = len(steps)
         d = np.full((len(x) + 1, len(y) + 1, n), -np.inf)
-        back = np.full(d.shape, -1)
-        for u in range(len(x) + 1):
-            for v in range(len(y) + 1):
-                for s, (i, j) in enumerate(steps):
-                    if u < i or v < j or (u, v) == (0, 0):
-                        continue
-                    e = emit(s, x[u - i : u], y[v - j : v])
-                    if e <= 0:
-                        continue
-                    if (u - i, v - j) == (0, 0):
-                        w, p = ls[s], -1
-                    else:
-                        ways = d[u - i, v - j] + la[:, s]
-                        p = int(ways.argmax())
-                        w = ways[p]
-                    d[u, v, s], back[u, v, s] = w + np.log(e), p
+        back = np.full(d.shape, -1, np.int16)
+        with np.errstate(divide="ignore"):
+            e = [emitted(s, i, j, x, y) for s, (i, j) in enumerate(steps)]
+        # Cells of one antidiagonal need only earlier ones, so they go together.
+        for t in range(1, len(x) + len(y) + 1):
+            every = np.arange(max(0, t - len(y)), min(len(x), t) + 1)
+            for s, (i, j) in enumerate(steps):
+                u = every[(every >= i) & (t - every >= j)]
+                v = t - u
+                ways = d[u - i, v - j] + la[:, s]
+                first, seen = (u == i) & (v == j), e[s][u - i, v - j]
+                d[u, v, s] = np.where(first, ls[s], ways.max(axis=1)) + seen
+                back[u, v, s] = np.where(first, -1, ways.argmax(axis=1))
         s = int(d[-1, -1].argmax())
         if not np.isfinite(d[-1, -1, s]):
             return None, None

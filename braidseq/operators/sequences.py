@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,16 +56,46 @@ def mean_sequence(seqs: DataFrame, most: int | None = None) -> DataFrame:
     return sums.crossJoin(F.broadcast(n)).select("pos", (F.col("s") / F.col("all")).alias("mean"), "n")
 
 
-def scatter(seqs: DataFrame, most: int) -> DataFrame:
+def scatter(seqs: DataFrame, most: int | None = None) -> DataFrame:
     """i, j, s, n: sums of products of deviations from the positions' own means, over sequences that reach both.
 
-    The positions are bounded by `most`, so a sequence makes at most most**2 products, summed within each task.
+    Nulls (and NaN) count in n only. A task sums its sequences' products in tiles of positions, of which it holds a bounded number.
     """
     means = by_position(seqs, most).groupBy("pos").agg(F.avg("x").alias("m"))
-    m = F.broadcast(means.agg(F.map_from_entries(F.collect_list(F.struct("pos", "m"))).alias("means")))
-    dev = seqs.crossJoin(m).select(F.transform(F.slice("obs", 1, most), lambda x, i: x - F.element_at("means", i)).alias("d"))
-    pairs = dev.select("d", F.posexplode("d").alias("i", "a")).select("i", "a", F.posexplode("d").alias("j", "b"))
-    return pairs.groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"), F.count("*").alias("n"))
+    m = F.broadcast(means.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("means")))
+    obs = F.slice("obs", 1, most) if most else F.col("obs")
+    dev = seqs.crossJoin(m).select(F.transform(obs, lambda x, i: x - F.get("means", i)).alias("obs"))
+    parts = dev.mapInPandas(_products, "i int, j int, s double, known long, n long")
+    return parts.groupBy("i", "j").agg(F.when(F.sum("known") > 0, F.sum("s")).alias("s"), F.sum("n").alias("n"))
+
+
+def _products(frames, tile: int = 256, held: int = 64):
+    """Sums of products, products without nulls and sequences, of each two positions."""
+    from .hmm import padded
+
+    sums: dict = {}
+
+    def out():
+        for (a, b), (s, known, n) in sums.items():
+            i, j = np.nonzero(n)
+            yield pd.DataFrame({"i": a + i, "j": b + j, "s": s[i, j], "known": known[i, j].astype(int), "n": n[i, j].astype(int)})
+        sums.clear()
+
+    for frame in frames:
+        for _, x, lengths in padded(frame):
+            reach = (np.arange(x.shape[1])[None] < lengths[:, None]).astype(float)
+            known = np.where(np.isnan(x), 0, reach)
+            x = np.where(known > 0, x, 0)
+            for a in range(0, x.shape[1], tile):
+                for b in range(0, x.shape[1], tile):
+                    long = slice(int(np.searchsorted(lengths, max(a, b), "right")), None)  # they come in order of length
+                    part = np.stack([z[long, a : a + tile].T @ z[long, b : b + tile] for z in (x, known, reach)])
+                    if (a, b) not in sums:
+                        if len(sums) >= held:
+                            yield from out()
+                        sums[a, b] = np.zeros((3, tile, tile))
+                    sums[a, b][:, : part.shape[1], : part.shape[2]] += part
+    yield from out()
 
 
 def grams(seqs: DataFrame, k: int) -> DataFrame:

@@ -186,6 +186,11 @@ def posterior_states(spark, sf_dir):
     return hmm.posterior(event_seqs(spark, sf_dir, 20), CALM).select("seq_id", "pos", "state", F.round("p", 6).alias("p"))
 
 
+def posterior_states_whole(spark, sf_dir):
+    """posterior_states on whole sequences; the other one is kept as its SQL states it, on the first 20 events."""
+    return hmm.posterior(event_seqs(spark, sf_dir), CALM).select("seq_id", "pos", "state", F.round("p", 6).alias("p"))
+
+
 def model_scores(spark, sf_dir):
     return hmm.scores(event_seqs(spark, sf_dir), {0: CALM, 1: BRISK}).select("seq_id", "model_id", F.round("logp", 6).alias("logp"))
 
@@ -244,9 +249,11 @@ def sampled_like_users(spark, sf_dir):
 
 
 def pair_alignments(spark, sf_dir):
-    """Each user's first 12 symbols against the next user's, with states match, x only, y only."""
-    s = event_seqs(spark, sf_dir, 12).select("seq_id", F.col("obs").alias("x"))
+    """Each user's symbols against the next user's, with states match, x only, y only."""
+    s = event_seqs(spark, sf_dir).select("seq_id", F.col("obs").alias("x"))
     pairs = s.join(s.select((F.col("seq_id") - 1).alias("seq_id"), F.col("x").alias("y")), "seq_id")
+    # Few bytes but long work: the pairs go to all tasks.
+    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     a = np.array([[0.8, 0.1, 0.1], [0.7, 0.3, 0.0], [0.7, 0.0, 0.3]])
     return hmm.align(pairs, a, np.array([0.8, 0.1, 0.1]), [(1, 1), (1, 0), (0, 1)], _pair_emission).select("seq_id", F.size("path").alias("len"), "logp")
 
@@ -259,10 +266,20 @@ def mean_sequence(spark, sf_dir):
     return sequences.mean_sequence(value_seqs(spark, sf_dir), 50).select(F.col("pos").alias("pos"), F.round("mean", 6).alias("mean"), "n")
 
 
+def mean_sequence_whole(spark, sf_dir):
+    """mean_sequence to the end of the longest sequence; the other one is kept as its SQL states it, for 50 positions."""
+    return sequences.mean_sequence(value_seqs(spark, sf_dir)).select("pos", F.round("mean", 6).alias("mean"), "n")
+
+
 def scatter_matrix(spark, sf_dir):
     return sequences.scatter(value_seqs(spark, sf_dir), 8).select("i", "j", F.round("s", 4).alias("s"), "n")
 
 
+def scatter_matrix_whole(spark, sf_dir):
+    """scatter_matrix of all positions; the other one is kept as its SQL states it, for 8 positions."""
+    return sequences.scatter(value_seqs(spark, sf_dir)).select("i", "j", F.round("s", 4).alias("s"), "n")
+
+
 def bernoulli_split(spark, sf_dir):
     return sequences.split(table(spark, sf_dir, "events").select("event_id"), "event_id", 0.7).groupBy("part").agg(F.count("*").alias("n"))
 
@@ -424,7 +441,7 @@ QUERIES = {
     for f in (
         nt_counts, nt_shares, codon_frames, codon_rollup, revcomp_start_stop, codon_types, event_sequences, sequence_profile, gap_lengths, gap_list, contained, lengths_by_strand, mirrored,
         islands_by_type, overlap_pairs, overlap_match, unmatched, uncovered_cuts, transition_counts, kgram_background, forward_loglik, forward_loglik_fold, backward_loglik, silent_loglik,
-        viterbi_logp, viterbi_states, posterior_states, model_scores, best_model, set_likelihood, gauss_loglik, normal_densities, em_one_step, em_trained, gauss_trained, model_clusters,
-        model_mixture, sampled_like_users, pair_alignments, mean_sequence, scatter_matrix, bernoulli_split, model_normalize, base_vectors, codon_model,
+        viterbi_logp, viterbi_states, posterior_states, posterior_states_whole, model_scores, best_model, set_likelihood, gauss_loglik, normal_densities, em_one_step, em_trained, gauss_trained, model_clusters,
+        model_mixture, sampled_like_users, pair_alignments, mean_sequence, mean_sequence_whole, scatter_matrix, scatter_matrix_whole, bernoulli_split, model_normalize, base_vectors, codon_model,
     )
 }
