@@ -125,6 +125,10 @@ def baum_welch(seqs: DataFrame, m: Model, steps: int = STEPS, gain: float = GAIN
             if now - last <= gain * abs(now) and np.isfinite(last):
                 break
             last, m = now, maximized(m, e)
+        else:
+            # Out of steps: the likelihood of the model that goes back, not of the one before it.
+            e = expected(seqs, m, labelled)
+            now = e["logp"][0] + PENALTY * e["logp"][1]
         return m, now
     finally:
         seqs.unpersist()
@@ -187,30 +191,41 @@ def gradient(seqs: DataFrame, m: Model, steps: int = 20, rate: float = 0.1) -> t
         seqs.unpersist()
 
 
-def cluster(seqs: DataFrame, models: list[Model], rounds: int = 10, steps: int = 20) -> tuple[list[Model], DataFrame]:
+def cluster(seqs: DataFrame, models: list[Model], rounds: int | None = None, steps: int = 20) -> tuple[list[Model], DataFrame]:
     """k models: each sequence to its best model, each model trained on its own, until no label changes.
 
-    A model without members keeps its parameters. Returns the models and (seq_id, model_id, logp).
+    Rounds train by `steps` steps until no label changes, then by STEPS until none does again. A model without members
+    keeps its parameters. Returns the models and (seq_id, model_id, logp), the labels that these models give. Without
+    `rounds`, labels that still change after STEPS rounds are an error.
     """
     from .hmm import classify
 
     seqs, before = seqs.persist(), None
-    for _ in range(rounds):
+    for _ in range(STEPS if rounds is None else rounds):
         labels = classify(seqs, dict(enumerate(models))).persist()
-        if before is not None and labels.join(before.select("seq_id", F.col("model_id").alias("old")), "seq_id").where("not (model_id <=> old)").limit(1).count() == 0:
-            break
+        if before is not None:
+            same = labels.join(before.select("seq_id", F.col("model_id").alias("old")), "seq_id").where("not (model_id <=> old)").limit(1).count() == 0
+            before.unpersist()
+            if same and steps >= STEPS:
+                return models, labels
+            steps = STEPS if same else steps
         own = seqs.join(labels.select("seq_id", "model_id"), "seq_id").persist()
         sizes = {r["model_id"] for r in own.select("model_id").distinct().collect()}
         models = [baum_welch(own.where(F.col("model_id") == k), m, steps)[0] if k in sizes else m for k, m in enumerate(models)]
         own.unpersist()
         before = labels
-    return models, labels
+    if rounds is None:
+        raise RuntimeError(f"labels still change after {STEPS} rounds")
+    return models, classify(seqs, dict(enumerate(models)))
 
 
-def mixture(seqs: DataFrame, models: list[Model], rounds: int = 20, gain: float = 1e-3, steps: int = 2) -> tuple[list[Model], float]:
-    """EM over a mixture of models: soft weights of each sequence, then each model trained by them. Priors are kept in the models."""
+def mixture(seqs: DataFrame, models: list[Model], rounds: int = STEPS, gain: float = GAIN, steps: int = 10) -> tuple[list[Model], float]:
+    """EM over a mixture of models: soft weights of each sequence, then each model trained by them. Priors are kept in the models.
+
+    Ends at a relative gain of `gain` or after `rounds`; the log-likelihood is that of the models returned.
+    """
     seqs, last = seqs.persist(), -np.inf
-    for _ in range(rounds):
+    for turn in range(rounds + 1):
         joint = scores(seqs, dict(enumerate(models))).na.drop(subset=["logp"])
         priors = F.create_map(*[F.lit(x) for k, m in enumerate(models) for x in (k, float(np.log(max(m.prior, 1e-300))))])
         joint = joint.withColumn("j", F.col("logp") + F.element_at(priors, F.col("model_id")))
@@ -218,7 +233,8 @@ def mixture(seqs: DataFrame, models: list[Model], rounds: int = 20, gain: float
         top = F.array_max(F.map_values("js"))
         wide = wide.withColumn("all", top + F.log(F.aggregate(F.map_values("js"), F.lit(0.0), lambda s, x: s + F.exp(x - top)))).persist()
         now = wide.agg(F.sum("all")).first()[0] or 0.0
-        if np.isfinite(last) and now - last <= gain * abs(now):
+        if turn == rounds or (np.isfinite(last) and now - last <= gain * abs(now)):
+            wide.unpersist()
             break
         last = now
         soft = [seqs.drop("weight").join(wide.select("seq_id", F.coalesce(F.exp(F.element_at("js", F.lit(k)) - F.col("all")), F.lit(0.0)).alias("weight")), "seq_id") for k in range(len(models))]
@@ -226,4 +242,4 @@ def mixture(seqs: DataFrame, models: list[Model], rounds: int = 20, gain: float
         share = [s.agg(F.sum("weight")).first()[0] / n for s in soft]
         models = [replace(baum_welch(s, m, steps)[0], prior=p) for s, m, p in zip(soft, models, share)]
         wide.unpersist()
-    return models, last
+    return models, now

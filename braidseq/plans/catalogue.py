@@ -223,22 +223,22 @@ def em_one_step(spark, sf_dir):
 
 
 def em_trained(spark, sf_dir):
-    m, logp = training.baum_welch(event_seqs(spark, sf_dir), CALM, steps=5)
+    m, logp = training.baum_welch(event_seqs(spark, sf_dir), CALM)
     return models.tables(spark, {0: m})["transitions"].withColumn("logp", F.lit(float(logp)))
 
 
 def gauss_trained(spark, sf_dir):
-    m, _ = training.baum_welch(value_seqs(spark, sf_dir), GAUSS, steps=4)
+    m, _ = training.baum_welch(value_seqs(spark, sf_dir), GAUSS)
     return models.tables(spark, {0: m})["components"]
 
 
 def model_clusters(spark, sf_dir):
-    _, labels = training.cluster(event_seqs(spark, sf_dir), [CALM, BRISK], rounds=2, steps=2)
+    _, labels = training.cluster(event_seqs(spark, sf_dir), [CALM, BRISK])
     return labels.groupBy("model_id").agg(F.count("*").alias("n"), F.sum("logp").alias("logp"))
 
 
 def model_mixture(spark, sf_dir):
-    fitted, logp = training.mixture(event_seqs(spark, sf_dir), [CALM, BRISK], rounds=2, steps=1)
+    fitted, logp = training.mixture(event_seqs(spark, sf_dir), [CALM, BRISK])
     return spark.createDataFrame([(k, float(m.prior), float(logp)) for k, m in enumerate(fitted)], "model_id int, prior double, logp double")
 
 
