@@ -66,12 +66,18 @@ def score() -> Column:
     return shared / (F.greatest("hi", "r_hi") - F.least("lo", "r_lo") + 1)
 
 
-def matched(left: DataFrame, right: DataFrame, keys: list[str], ident: str, width: int) -> DataFrame:
-    """One to one: pairs that are each other's best by score, ties to the smaller identifiers."""
-    pairs = overlaps(left, right, keys, width).withColumn("score", score())
+def matched(left: DataFrame, right: DataFrame | None, keys: list[str], ident: str, width: int) -> DataFrame:
+    """One to one: pairs that are each other's best by score, ties to the smaller identifiers.
+
+    Without a right table the pairs are of the left one with itself, each once, the smaller identifier on the left.
+    """
+    pairs = overlaps(left, left if right is None else right, keys, width).withColumn("score", score())
+    if right is None:
+        pairs = pairs.where(F.col(ident) != F.col(f"r_{ident}"))
     mine = Window.partitionBy(*keys, ident).orderBy(F.desc("score"), f"r_{ident}")
     yours = Window.partitionBy(*keys, f"r_{ident}").orderBy(F.desc("score"), ident)
-    return pairs.withColumn("a", F.row_number().over(mine)).withColumn("b", F.row_number().over(yours)).where("a = 1 and b = 1").drop("a", "b")
+    best = pairs.withColumn("a", F.row_number().over(mine)).withColumn("b", F.row_number().over(yours)).where("a = 1 and b = 1").drop("a", "b")
+    return best.where(F.col(ident) < F.col(f"r_{ident}")) if right is None else best
 
 
 def uncovered(points: DataFrame, features: DataFrame, keys: list[str], width: int) -> DataFrame:

@@ -138,6 +138,29 @@ def unmatched(spark, sf_dir):
     return a.join(intervals.matched(a, b, ["contig_id"], "feature_id", 64), ["contig_id", "feature_id"], "left_anti").groupBy("contig_id").agg(F.count("*").alias("n"))
 
 
+def _one_set(spark, sf_dir):
+    return intervals.spans(stays(spark, sf_dir)).select("contig_id", "feature_id", "lo", "hi")
+
+
+def overlap_pairs_whole(spark, sf_dir):
+    """Overlaps among all stays; overlap_pairs, overlap_match and unmatched are kept as their SQL states them, even against odd orders."""
+    d = _one_set(spark, sf_dir)
+    pairs = intervals.overlaps(d, d, ["contig_id"], 64).where("feature_id < r_feature_id")
+    return pairs.select("contig_id", "feature_id", "r_feature_id", F.round(intervals.score(), 9).alias("score"))
+
+
+def overlap_match_whole(spark, sf_dir):
+    m = intervals.matched(_one_set(spark, sf_dir), None, ["contig_id"], "feature_id", 64)
+    return m.select("contig_id", "feature_id", "r_feature_id", F.round("score", 9).alias("score"))
+
+
+def unmatched_whole(spark, sf_dir):
+    d = _one_set(spark, sf_dir)
+    m = intervals.matched(d, None, ["contig_id"], "feature_id", 64)
+    both = m.select("contig_id", F.explode(F.array("feature_id", "r_feature_id")).alias("feature_id"))
+    return d.join(both, ["contig_id", "feature_id"], "left_anti").groupBy("contig_id").agg(F.count("*").alias("n"))
+
+
 def uncovered_cuts(spark, sf_dir):
     d = intervals.spans(stays(spark, sf_dir))
     ends = d.select("contig_id", (F.col("hi") + 1).alias("at")).distinct()
@@ -440,7 +463,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         nt_counts, nt_shares, codon_frames, codon_rollup, revcomp_start_stop, codon_types, event_sequences, sequence_profile, gap_lengths, gap_list, contained, lengths_by_strand, mirrored,
-        islands_by_type, overlap_pairs, overlap_match, unmatched, uncovered_cuts, transition_counts, kgram_background, forward_loglik, forward_loglik_fold, backward_loglik, silent_loglik,
+        islands_by_type, overlap_pairs, overlap_match, unmatched, overlap_pairs_whole, overlap_match_whole, unmatched_whole, uncovered_cuts, transition_counts, kgram_background, forward_loglik, forward_loglik_fold, backward_loglik, silent_loglik,
         viterbi_logp, viterbi_states, posterior_states, posterior_states_whole, model_scores, best_model, set_likelihood, gauss_loglik, normal_densities, em_one_step, em_trained, gauss_trained, model_clusters,
         model_mixture, sampled_like_users, pair_alignments, mean_sequence, mean_sequence_whole, scatter_matrix, scatter_matrix_whole, bernoulli_split, model_normalize, base_vectors, codon_model,
     )

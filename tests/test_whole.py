@@ -106,3 +106,28 @@ def test_alignments_of_whole_sequences(spark, users):
     got = {r["seq_id"]: r["len"] for r in catalogue.QUERIES["pair_alignments"](spark, SF).collect()}
     assert set(got) == {u for u in users if u + 1 in users}
     assert all(n >= max(len(users[u][0]), len(users[u + 1][0])) for u, n in got.items())
+
+
+def by_hand(stays):
+    """(pairs with scores, each other's best) among the intervals of one contig."""
+    pairs = {(f, g): (min(b, d) - max(a, c) + 1) / (max(b, d) - min(a, c) + 1) for f, a, b in stays for g, c, d in stays if f != g and a <= d and c <= b}
+    best = {f: min((-s, h) for (g, h), s in pairs.items() if g == f)[1] for f, _ in pairs}
+    return {k: s for k, s in pairs.items() if k[0] < k[1]}, {(f, g) for f, g in best.items() if f < g and best[g] == f}
+
+
+@given
+def test_overlaps_of_all_orders(spark):
+    contigs = defaultdict(list)
+    for r in catalogue._one_set(spark, SF).collect():
+        contigs[r["contig_id"]].append((r["feature_id"], r["lo"], r["hi"]))
+    pairs, best, alone = {}, set(), {}
+    for c, x in contigs.items():
+        own, match = by_hand(x)
+        pairs |= {(c, *k): s for k, s in own.items()}
+        best |= {(c, *k) for k in match}
+        alone[c] = len(x) - 2 * len(match)
+    got = {(r["contig_id"], r["feature_id"], r["r_feature_id"]): r["score"] for r in catalogue.QUERIES["overlap_pairs_whole"](spark, SF).collect()}
+    assert got.keys() == pairs.keys() and all(s == pytest.approx(pairs[k], abs=1e-8) for k, s in got.items())
+    assert any((f - g) % 2 == 0 for _, f, g in got)
+    assert {tuple(r)[:3] for r in catalogue.QUERIES["overlap_match_whole"](spark, SF).collect()} == best
+    assert {r["contig_id"]: r["n"] for r in catalogue.QUERIES["unmatched_whole"](spark, SF).collect()} == {c: n for c, n in alone.items() if n}
