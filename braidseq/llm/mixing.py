@@ -1,9 +1,11 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Every source's words, laid end to end in a fixed order of documents, are packed into blocks of a fixed length.
+Every source's words, laid end to end in a fixed order of documents, are packed into blocks of a fixed length, which is
+less for sources of few words.
 Sources share the output by weight, no more than `most` times their own size (water filling). A source's target
-is a number of blocks; an output slot draws one of all these by a pseudorandom permutation of the slots, so each
-output shard holds a multinomial draw of sources, conditioned on the totals of the corpus, which are met exactly.
+is a number of blocks, by the words that they hold on average; an output slot draws one of all these by a
+pseudorandom permutation of the slots, so each output shard holds a multinomial draw of sources, conditioned on the
+totals of the corpus, which are met exactly.
 The r-th draw of a source takes the block at place r of a second permutation, over that source's blocks: pass
 r div N of the source, never a block twice in one pass. Slots and documents meet by (source, block).
 
@@ -59,6 +61,11 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = 3) -> DataFrame:
     return s.select("source", "sid", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("w") * shared).alias("target"))
 
 
+def length(block: int) -> Column:
+    """Words in a block of a source: fewer where a source has so few that whole blocks could not meet its target."""
+    return F.greatest(F.lit(1), F.least(F.lit(block), F.ceil(F.col("source_size") / block))).cast("long")
+
+
 def packed(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, most: int = 3) -> tuple[DataFrame, DataFrame]:
     """Documents with their places, and sources with their numbers of blocks and draws.
 
@@ -76,8 +83,10 @@ def packed(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, most: int = 3)
     places = base.withColumn("run", F.sum("size").over(run)).join(sums, ["sid", "bucket"])
     places = places.select("doc_id", "text_hash", "size", "source_size", "target", "sid", (F.col("offset") + F.col("run") - F.col("size")).alias("start"))
     first = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    draws = F.round(F.col("target") / block).cast("long")
-    sources = sources.select("sid", F.ceil(F.col("source_size") / block).cast("long").alias("n_blocks"), draws.alias("draws"))
+    sources = sources.withColumn("n_blocks", F.ceil(F.col("source_size") / length(block)).cast("long"))
+    # By true words: the last block is not full, so blocks hold source_size / n_blocks words on average.
+    draws = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("n_blocks") / F.col("source_size"))).otherwise(0).cast("long")
+    sources = sources.select("sid", "n_blocks", draws.alias("draws"))
     return places, sources.withColumn("first", F.coalesce(F.sum("draws").over(first), F.lit(0)))
 
 
@@ -94,6 +103,7 @@ def slots(sources: DataFrame, per_shard: int = 4096, chunk: int = 8192) -> DataF
 
 def pieces(places: DataFrame, mix: DataFrame, block: int = BLOCK) -> DataFrame:
     """Which words of which document the mix takes: places' columns, block, lo, hi (words of the document, hi exclusive), times."""
+    block = length(block)
     start, end = F.col("start"), F.col("start") + F.col("size")
     parts = places.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(start / block), F.floor((end - 1) / block))))
     parts = parts.withColumn("lo", F.greatest(F.lit(0), F.col("block") * block - start)).withColumn("hi", F.least(F.col("size"), (F.col("block") + 1) * block - start))
@@ -105,7 +115,7 @@ def taken(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, most: int = 3) -
     """doc_id, size, source_size, target, taken (words that the mix takes, repeats counted) of every document."""
     places, sources = packed(docs, weights, block, most)
     places, sources = settle(places), settle(sources)
-    got = pieces(places.select("sid", "start", "size"), slots(sources), block)
+    got = pieces(places.select("sid", "start", "size", "source_size"), slots(sources), block)
     # A place is its source's and start: no two documents that have words share one.
     got = got.groupBy("sid", "start").agg(F.sum((F.col("hi") - F.col("lo")) * F.col("times")).alias("taken"))
     full = places.where("size > 0").join(got, ["sid", "start"], "left")
