@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import BROADCAST_ROWS, settle
 from .labelled import Lookup, held_out, sample
 
 _OUTER = ".,;:!?\"'()[]{}*#&%$|-_…«»„“”"
@@ -176,11 +176,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, least: int =
 SCORED = "doc_id long, score double, neighbours array<struct<doc_id:long,cosine:double,toxic:int>>"
 
 
-def scored(docs: DataFrame, labels: DataFrame, per_class: int = 2000, evidence: int = 3) -> DataFrame:
-    """docs' doc_id, score and the nearest examples that speak for it."""
+def scored(docs: DataFrame, labels: DataFrame, per_class: int = 2000, evidence: int = 3, hashed: bool = False) -> DataFrame:
+    """docs' doc_id, score and the nearest examples that speak for it; hashed: text_hash, which tells rows of one doc_id apart."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *([F.xxhash64("text").alias("text_hash")] if hashed else []))
     model = fit(docs, labels, per_class)
     if model is None:
-        return docs.select(F.col("doc_id").cast("long"), F.lit(0.0).alias("score"), F.array().cast("array<struct<doc_id:long,cosine:double,toxic:int>>").alias("neighbours"))
+        return rows.select(*rows.drop("text").columns, F.lit(0.0).alias("score"), F.array().cast("array<struct<doc_id:long,cosine:double,toxic:int>>").alias("neighbours"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
 
     def run(frames):
@@ -195,9 +196,10 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = 2000, evidence:
                 score = 1 / (1 + np.exp(-(slope * (index.vote(at, cosines) * 6 - 3) + shift)))
                 near = [(int(index.ids[i]), float(c), int(index.y[i])) for i, c in zip(at[:evidence], cosines)]
                 out.append((doc_id, float(score), near))
-            yield pd.DataFrame(out, columns=["doc_id", "score", "neighbours"]).astype({"doc_id": "Int64"})
+            got = pd.DataFrame(out, columns=["doc_id", "score", "neighbours"]).astype({"doc_id": "Int64"})
+            yield got.assign(text_hash=frame["text_hash"].to_numpy()) if hashed else got
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, SCORED)
+    return rows.mapInPandas(run, SCORED + (", text_hash long" if hashed else ""))
 
 
 def classified(docs: DataFrame, labels: DataFrame, per_class: int = 2000, threshold: float = 0.5) -> DataFrame:
@@ -207,5 +209,8 @@ def classified(docs: DataFrame, labels: DataFrame, per_class: int = 2000, thresh
 
 
 def accepted(docs: DataFrame, labels: DataFrame, per_class: int = 2000, threshold: float = 0.5) -> DataFrame:
-    """The documents that score below the threshold; all columns."""
-    return without(docs, scored(docs, labels, per_class).where(F.col("score") >= threshold), "doc_id")
+    """The documents that score below the threshold; all columns. Each row by its own text, whatever its doc_id, null ones too."""
+    bad = scored(docs, labels, per_class, hashed=True).where(F.col("score") >= threshold)
+    bad = settle(bad.select(F.col("doc_id").alias("_tox_id"), F.col("text_hash").alias("_tox_hash")).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_tox_id")) & (F.xxhash64("text") == F.col("_tox_hash"))
+    return docs.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, same, "left_anti")
