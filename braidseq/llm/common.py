@@ -67,11 +67,12 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
     return digest(a) == digest(b)
 
 
-def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 500) -> DataFrame:
     """Connected components by alternating large and small stars.
 
     edges: pairs of longs, in any direction, repeated or not; null ends and loops are ignored.
     Returns (node, component), component the smallest node reachable; only nodes that have an edge appear.
+    Rounds go on until no edge changes; if some still do after `rounds`, that is an error.
     Each round is two aggregations and joins in Spark; state is written to the checkpoint folder, never sent to the driver.
     """
     e = settle(
@@ -93,6 +94,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v", rounds: int = 30) -
         if _same(e, after):
             break
         e = after
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
