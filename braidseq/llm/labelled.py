@@ -28,14 +28,18 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> tu
 
 
 class Lookup(dict):
-    """A bounded cache of what a function gives for a word."""
+    """A bounded cache of what a function gives for a word, in two generations: when one is full, the words not asked for since the last time go."""
 
     def __init__(self, of, most: int = 300_000):
         super().__init__()
-        self.of, self.most = of, most
+        self.of, self.most, self.before = of, most // 2, {}
 
     def __missing__(self, word):
         if len(self) >= self.most:
+            self.before = dict(self)
             self.clear()
-        value = self[word] = self.of(word)
+        value = self.before.get(word, self)
+        if value is self:
+            value = self.of(word)
+        self[word] = value
         return value

@@ -11,7 +11,8 @@ unit) is a step of its own; within a chunk whole units come from a cache and onl
 The scan serves files of the unigram type, whose encoder seeks the best-scoring path. A file of the BPE type defines its
 ids by merges in order of rank, which no sum of scores expresses: on the public BPE file the best-scoring path gave none
 of 100 documents the ids of the file's own encoder. For such files a unit is encoded by its merges (exactly as the
-library does) and whole documents unit by unit; the README says so. Equal scores of the scan: the longest last piece
+library does); no merge crosses a unit's border, so giant documents are cut there, their parts encoded on their own and put
+together in order. The README says so. Equal scores of the scan: the longest last piece
 wins; at a boundary, the nearest cut.
 
 Nulls are empty texts and have no ids. Repeated rows give one row each. A text that itself holds the space mark is
@@ -254,31 +255,40 @@ def encode(docs: DataFrame, model: bytes | None = None, chunk: int = 16_384) ->
     def ids_of(text, unit):
         return list(chain.from_iterable(map(unit.__getitem__, UNIT.findall(text))))
 
-    def short(frames):
-        p = shared.value
+    def coder():
+        """Of a list of units: their ids as bytes, and whether they decode to themselves. Units are met again and again, so both are kept."""
+        p, odd = shared.value, set()
 
         def known(u):
-            """A unit's ids and what they decode to, as bytes: both of a text are those of its units, one after the other."""
             ids = p.merged(u) if p.bpe else p.best(u)[0]
-            return np.array(ids, "<i4").tobytes(), b"".join(map(p.raw.__getitem__, ids))
+            if b"".join(map(p.raw.__getitem__, ids)) != u.replace(MARK, " ").encode("utf-8", "surrogatepass"):
+                odd.add(u)
+            return np.array(ids, "<i4").tobytes()
+
+        unit = Lookup(known, 600_000)
+
+        def code(units):
+            got = b"".join(map(unit.__getitem__, units))
+            return np.frombuffer(got, "<i4"), odd.isdisjoint(units)
 
-        unit = Lookup(known, 200_000)
+        return code
+
+    def short(frames):
+        code = coder()
         for frame in frames:
             # Ids leave the worker in small parts.
             for at in batches(frame["text"], 500_000):
                 out = []
                 for doc_id, text in zip(frame["doc_id"].iloc[at], frame["text"].iloc[at]):
-                    got = list(map(unit.__getitem__, UNIT.findall(MARK + text.replace(" ", MARK)))) if text else []
-                    ids = np.frombuffer(b"".join([g[0] for g in got]), "<i4")
-                    back = b"".join([g[1] for g in got])[1:]
-                    out.append((doc_id, len(ids), ids, back == text.encode("utf-8", "surrogatepass")))
+                    ids, same = code(UNIT.findall(MARK + text.replace(" ", MARK)) if text else [])
+                    out.append((doc_id, len(ids), ids, same and MARK not in text))
                 yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "round_trip"]).astype({"doc_id": "Int64"})
 
-    if pieces.bpe:
-        return docs.mapInPandas(short, ENCODED)
-    # Giant documents: one row per chunk, with what follows it as far as a piece can reach. A rest shorter than a piece joins the chunk before it.
     long = docs.where(size > chunk).withColumn("key", F.xxhash64("doc_id", "text"))
     rows = long.groupBy("key").agg(F.count("*").alias("rows"))
+    if pieces.bpe:
+        return docs.where(size <= chunk).mapInPandas(short, ENCODED).unionByName(_by_units(long, rows, chunk, coder))
+    # Giant documents: one row per chunk, with what follows it as far as a piece can reach. A rest shorter than a piece joins the chunk before it.
     n = F.greatest(F.lit(1), F.floor((size + 1 - L) / chunk) + F.when((size + 1 - L) % chunk > 0, 1).otherwise(0)).cast("int")
     chunks = long.dropDuplicates(["key"]).withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     whole = F.concat(F.lit(MARK), F.replace("text", F.lit(" "), F.lit(MARK)))
@@ -328,6 +338,36 @@ def encode(docs: DataFrame, model: bytes | None = None, chunk: int = 16_384) ->
     return docs.where(size <= chunk).mapInPandas(short, ENCODED).unionByName(giant)
 
 
+def _by_units(long: DataFrame, rows: DataFrame, chunk: int, coder) -> DataFrame:
+    """Giant documents for files of the BPE type: no merge crosses from one unit into the next, so they are cut between units and the parts encoded on their own."""
+
+    def cut(frames):
+        for frame in frames:
+            for doc_id, key, text in zip(frame["doc_id"], frame["key"], frame["text"]):
+                text = MARK + text.replace(" ", MARK)
+                ends = [m.end() for m in UNIT.finditer(text)]
+                begin, parts = 0, []
+                for e in ends:
+                    if e - begin >= chunk or e == len(text):
+                        parts.append((doc_id, key, len(parts), text[begin:e]))
+                        begin = e
+                yield pd.DataFrame(parts, columns=["doc_id", "key", "k", "part"]).astype({"doc_id": "Int64"})
+
+    def encoded(frames):
+        code = coder()
+        for frame in frames:
+            got = [code(UNIT.findall(t)) for t in frame["part"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "key": frame["key"], "k": frame["k"], "ids": [g[0] for g in got], "same": [g[1] for g in got]}).astype({"doc_id": "Int64"})
+
+    parts = long.dropDuplicates(["key"]).select("doc_id", "key", "text").mapInPandas(cut, "doc_id long, key long, k int, part string")
+    parts = parts.repartition(shuffle_parts(long), "key", "k").mapInPandas(encoded, "doc_id long, key long, k int, ids array<int>, same boolean")
+    ids = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids")
+    whole = parts.groupBy("key").agg(F.first("doc_id").alias("doc_id"), ids, F.min("same").alias("same"))
+    marks = long.groupBy("key").agg(F.max(F.col("text").contains(MARK)).alias("marked"))
+    full = whole.join(rows, "key").join(marks, "key").withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    return full.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.col("same") & ~F.col("marked")).alias("round_trip"))
+
+
 def decode(encoded: DataFrame, model: bytes | None = None) -> DataFrame:
     """encoded (doc_id, ids) with its texts; null ids are empty texts."""
     if model is None:

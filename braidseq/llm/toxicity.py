@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples, exact by TF-IDF cosine over a block-max inverted index.
 
 Terms are lower-case words without outer punctuation and their first 4, 5 and 6 characters. The vocabulary is chosen
-on the labelled sample: terms whose documents differ between the classes by a chi-square test. Their document
+on the labelled sample: terms whose documents differ between the classes by a chi-square test (all terms, where no term passes it). Their document
 frequencies are counted over all documents. Examples are vectors of log(1 + tf) * idf of unit length, sorted so that
 like ones share a block; the index keeps postings per block and term and each block's greatest weights. A document's
 blocks are visited in order of their bounds until none can enter its nearest k. Neighbours vote by the square of their
@@ -43,6 +43,25 @@ def _terms(text: str | None, lookup) -> Counter:
     return out
 
 
+def finder(vocabulary: dict[str, int]):
+    """What gives the numbers, in order, of a word's terms that are in the vocabulary."""
+    words = {t: i for t, i in vocabulary.items() if not t.endswith("*") or len(t) not in (5, 6, 7)}
+    heads = [(n, {t[:-1]: i for t, i in vocabulary.items() if t.endswith("*") and len(t) == n + 1}) for n in (4, 5, 6)]
+
+    def known(word: str) -> tuple[int, ...]:
+        w = word.strip(_OUTER)
+        size = len(w)
+        found = [words[w]] if w in words else []
+        for n, head in heads:
+            if size <= n:
+                break
+            if (start := w[:n]) in head:
+                found.append(head[start])
+        return tuple(sorted(found))
+
+    return known
+
+
 class Index:
     """The examples by block and term. Arrays only, so it goes to executors as it is."""
 
@@ -64,23 +83,24 @@ class Index:
         """Examples (numbers) and cosines of the k nearest with a cosine above 0; equal ones in order. but: an example left out."""
         bound = weights @ self.most[terms]
         by = np.argsort(-bound, kind="stable")
-        score = np.zeros(self.n)
-        best = np.empty(0)
+        near, score = np.empty(0, np.int64), np.empty(0)
         for g in range(0, len(by), GROUP):
             blocks = by[g : g + GROUP]
-            if bound[blocks[0]] <= 0 or (len(best) >= k and bound[blocks[0]] < best[-1] - 1e-12):
+            if bound[blocks[0]] <= 0 or (len(near) >= k and bound[blocks[0]] < score[-1] - 1e-12):
                 break
             cell = blocks[:, None] * self.n_terms + terms[None, :]
             lo, size = self.begin[cell].ravel(), (self.begin[cell + 1] - self.begin[cell]).ravel()
             at = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
-            np.add.at(score, self.doc[at], np.repeat(np.tile(weights, len(blocks)), size) * self.weight[at])
+            # Scores of the visited blocks alone, one block after the other.
+            base = np.repeat(np.arange(len(blocks)) - blocks, len(terms)) * BLOCK
+            here = np.bincount(self.doc[at] + np.repeat(base, size), np.repeat(np.tile(weights, len(blocks)), size) * self.weight[at], len(blocks) * BLOCK)
             if but >= 0:
-                score[but] = 0
-            top = score[score > 0]
-            best = np.sort(top)[::-1][:k]
-        at = np.flatnonzero(score > 0)
-        at = at[np.lexsort((at, -score[at]))][:k]
-        return at, score[at]
+                here[(blocks[np.arange(len(here)) // BLOCK] * BLOCK + np.arange(len(here)) % BLOCK) == but] = 0
+            good = np.flatnonzero(here > 0 if len(near) < k else here >= score[-1])
+            near, score = np.concatenate([near, blocks[good // BLOCK] * BLOCK + good % BLOCK]), np.concatenate([score, here[good]])
+            order = np.lexsort((near, -score))[:k]
+            near, score = near[order], score[order]
+        return near, score
 
     def vote(self, at: np.ndarray, cosines: np.ndarray) -> float:
         w = cosines**2 * np.where(self.y[at] == 1, self.weigh[1], self.weigh[0])
@@ -125,12 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, least: int =
     num = F.pow(a * (n[0] - b) - b * (n[1] - a), F.lit(2.0)) * total
     test = num / (F.lit(float(n[0] * n[1])) * (a + b) * (F.lit(float(total)) - a - b + 1e-9))
     # As many terms at most as the bounded sample has.
-    vocabulary = {r["term"]: i for i, r in enumerate(seen.where((a + b >= least) & (test >= chi2)).select("term").orderBy("term").collect())}
-    if not vocabulary:
+    telling = (a + b >= least) & (test >= chi2)
+    terms = seen.where(telling).select("term").orderBy("term").collect()
+    # From so few examples that no term can pass the test, all of the sample's terms are taken.
+    terms = terms or seen.select("term").orderBy("term").collect()
+    if not terms:
         return None
-
-    def known(word):
-        return tuple(sorted(vocabulary[t] for t in terms_of(word) if t in vocabulary))
+    vocabulary = {r["term"]: i for i, r in enumerate(terms)}
+    known = finder(vocabulary)
 
     def frequencies(frames):
         lookup, df, docs_seen = Lookup(known), np.zeros(len(vocabulary) + 1, np.int64), 0
@@ -186,7 +208,7 @@ def scored(docs: DataFrame, labels: DataFrame, per_class: int = 2000, evidence:
 
     def run(frames):
         vocabulary, idf, index = shared.value
-        lookup = Lookup(lambda word: tuple(sorted(vocabulary[t] for t in terms_of(word) if t in vocabulary)))
+        lookup = Lookup(finder(vocabulary))
         slope, shift = index.scale
         for frame in frames:
             out = []
