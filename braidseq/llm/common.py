@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word, as every operator here reads it: a run of anything but ASCII white space.
@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def settle(df: DataFrame) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder and cut its lineage.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where none is set (tests) a local one is made.
+    The folder is the session's ``spark.checkpoint.dir``; only where none is set and Spark is local (tests) one is made.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not (spark.conf.get("spark.checkpoint.dir", None) or context.master.split("[")[0] == "local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
 
@@ -56,6 +58,41 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def removed(path: str, spark: SparkSession) -> None:
+    """Delete a folder that `written` made, by the file system of its path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """docs as (d, text), d one long for each document that sorts as its doc_id does, and what leads from d back to doc_id.
+
+    Where every row has a doc_id of its own, d is that and the second is None. Else documents are the distinct pairs of
+    doc_id and text: those without a doc_id come first, those of one doc_id in the order of their texts' hashes; rows that
+    agree in both are one document given twice. Those are numbered in order by a sort over ranges. A null text is empty.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    if not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").take(1):
+        return rows.select(F.col("doc_id").alias("d"), "text"), None
+    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash").asc()]
+    keys = rows.select("doc_id", F.xxhash64("text").alias("text_hash")).distinct().repartitionByRange(shuffle_parts(docs), *order)
+    keys = settle(keys.withColumn("part", F.spark_partition_id()))
+    sizes = keys.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    keys = keys.withColumn("nth", F.row_number().over(Window.partitionBy("part").orderBy(*order))).join(F.broadcast(before), "part")
+    keys = settle(keys.select("doc_id", "text_hash", (F.col("nth") + F.col("before")).alias("d")))
+    k = keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "d")
+    rows = rows.join(k, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).select("d", "text")
+    return rows, keys.select("d", "doc_id")
+
+
+def named(results: DataFrame, names: DataFrame | None) -> DataFrame:
+    """results with doc_id in place of d."""
+    if names is None:
+        return results.withColumnRenamed("d", "doc_id")
+    return results.join(names, "d").select("doc_id", *[c for c in results.columns if c != "d"])
+
+
 def sha256(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
 

@@ -111,6 +111,8 @@ def seeds(docs: DataFrame, units_of, length: int, k: int, unique: bool, gram_has
     holds goes through in overlapping parts, so that every window is in one of them.
     """
     room = (1 << BITS) - 1
+    if length - k + 1 >= 1024:
+        raise ValueError("an anchor may have at most 1023 windows: length - k must be less than 1023")
 
     def run(frames):
         for frame in frames:
@@ -173,11 +175,6 @@ def covered(n: int, length: int, codes, windows) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """d (doc_id, the least long for null) and text of docs."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
-
-
 def with_marks(docs: DataFrame, marks: DataFrame, limit: int) -> list[DataFrame]:
     """docs (d, text) with the columns codes and windows of marks, null where it has none.
 

@@ -5,9 +5,9 @@ both ways: if the whole context agrees, all of the anchor's windows repeat; else
 the first occurrence of the same words. Consecutive repeated windows are a maximal repeat; its words are removed,
 in all documents but where they stand first (smaller doc_id, then earlier start).
 
-Nulls: a null text has no words; a null doc_id counts as the smallest. Empty and short texts lose nothing. Rows that
-share a doc_id are taken as one document given twice and get the same result. Very long texts go through in
-overlapping parts. Extra columns are ignored. An empty table gives an empty result.
+Nulls: a null text has no words; a null doc_id counts as the smallest. Empty and short texts lose nothing. Rows of
+one doc_id (or none) with different texts are documents of their own, in the order of the texts' hashes; rows that agree in
+doc_id and text are one document given twice and get the same result. Very long texts go through in overlapping parts. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import seeds
-from .common import BROADCAST_ROWS, only, settle
+from .common import BROADCAST_ROWS, named, numbered, only, settle
 from .units import Words, batches
 
 
@@ -55,18 +55,18 @@ def repeats(docs: DataFrame, length: int = 20, k: int = 6, limit: int = BROADCAS
                 yield pd.DataFrame({"w": np.concatenate(h), "d": np.concatenate(d), "p": np.concatenate(p)})
 
     texts = only(docs, opened, "d", limit).dropDuplicates(["d"]).join(opened, "d")
-    single = texts.mapInPandas(windows, "w long, d long, p long")
+    single = settle(texts.mapInPandas(windows, "w long, d long, p long"))
     first = single.groupBy("w").agg(F.min(F.struct("d", "p")).alias("first"), F.count("*").alias("n")).where("n > 1").select("w", "first")
     later = single.join(first, "w").where(F.struct("d", "p") > F.col("first")).groupBy("d").agg(F.collect_list("p").alias("windows"))
     return settle(marks.where(F.exists("codes", lambda c: F.floor(c / 2) % 2 == 1)).join(later, "d", "full"))
 
 
-CUT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+CUT = "d long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
 def cut(docs: DataFrame, length: int = 20, k: int = 6, texts: bool = True, limit: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if texts, kept: the words that stay, joined by one space."""
-    docs = seeds.keyed(docs)
+    docs, names = numbered(docs)
     marks = repeats(docs, length, k, limit)
 
     def run(frames):
@@ -79,9 +79,9 @@ def cut(docs: DataFrame, length: int = 20, k: int = 6, texts: bool = True, limit
                     gone = seeds.covered(n, length, codes, windows)
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 kept = b" ".join(words)
-                out.append((d if d > -(2**63) else None, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if texts else None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
+                out.append((d, n, n - len(words), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "surrogatepass") if texts else None))
+            yield pd.DataFrame(out, columns=["d", "n_words", "n_removed", "kept_sha256", "kept"])
 
     parts = [p.mapInPandas(run, CUT) for p in seeds.with_marks(docs, marks, limit)]
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = named(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), names)
     return out if texts else out.drop("kept")

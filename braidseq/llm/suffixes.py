@@ -2,14 +2,16 @@
 
 Anchors (see `seeds`) route the places where long strings may repeat: an anchor's occurrences of equal whole contexts
 are settled there, the open ones go on as snippets of bytes. Snippets of one anchor go to one shard; an anchor with
-more of them than a shard should hold is split over several. A shard's suffix array is made by Larsson-Sadakane
+more of them than a shard should hold is split over several. What of a snippet shares no stretch around its anchor with
+another one can't repeat and is left out (see `aligned`). A shard's suffix array is made by Larsson-Sadakane
 refinement in numpy (groups of equal rank are sorted by the rank a doubled distance on, single ones are left alone),
 and its common prefixes by Kasai's algorithm, run in many lanes at once. Windows that share their whole length with a
-neighbour in the array repeat. Shards of a split anchor also give the hashes of their distinct windows, which are
-merged across shards by binary search in sorted runs.
+neighbour in the array repeat. Shards of a split anchor also give the first of each of their distinct windows in runs sorted by
+hash; binary search in the merged runs tells which of them other shards have too.
 
-Nulls: a null text is empty; a null doc_id counts as the smallest. Empty and short texts lose nothing. Rows that
-share a doc_id are taken as one document given twice and get the same result. Very long texts go through in
+Nulls: a null text is empty; a null doc_id counts as the smallest. Empty and short texts lose nothing. Rows of one
+doc_id (or none) with different texts are documents of their own; rows that agree in doc_id and text are one document given
+twice and get the same result. Very long texts go through in
 overlapping parts. Extra columns are ignored. An empty table gives an empty result.
 """
 
@@ -24,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import seeds
-from .common import BROADCAST_ROWS, only, settle, shuffle_parts
+from .common import BROADCAST_ROWS, named, numbered, only, settle, shuffle_parts, written
 from .units import U, batches, mix
 
 _BYTE = mix(np.arange(256, dtype=U))
 #: Bytes of snippets in a shard, and snippets that one anchor may put into one.
-SHARD, SPLIT = 500_000, 1500
+SHARD, SPLIT = 1_000_000, 1500
+#: Stretches around an anchor that are compared before a shard's suffix array is made.
+LEVELS = 8
 
 
 def byte_grams(units: np.ndarray, k: int) -> np.ndarray:
@@ -147,6 +151,35 @@ def shard_repeats(snippets: list[bytes], m: np.ndarray, length: int) -> tuple[np
     return snippet[order][keep], place[order][keep], classes[keep]
 
 
+def aligned(pieces: list[bytes], group: np.ndarray, at: np.ndarray, m: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window (last < first: none) of each snippet that may equal one of another snippet of its group.
+
+    at: where the anchor of k bytes begins in a snippet. A window holds the anchor, l bytes before it and r after, l + r the
+    rest of its length; with s an eighth of that, it holds s * t bytes before and s * (7 - t) after, where t is l div s (7 at
+    most). So equal windows agree in that stretch, and windows whose stretch no other snippet shares are left out.
+    """
+    rest = length - k
+    levels = max(1, min(LEVELS, rest))
+    s = max(1, rest // levels)
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    base = np.cumsum(sizes) - sizes
+    hashes = seeds.Ranges(_BYTE[np.frombuffer(b"".join(pieces), np.uint8)])
+    t = np.arange(levels)
+    lo, hi = at[:, None] - s * t, at[:, None] + k + s * (levels - 1 - t)
+    ok = (lo >= 0) & (hi <= sizes[:, None])
+    who, level = np.nonzero(ok)
+    h = hashes.of(base[who] + lo[ok], base[who] + hi[ok])
+    h = mix(h ^ mix(group.astype(U))[who]) + level.astype(U)
+    _, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
+    shared = n[inverse] > 1
+    least, most = np.full(len(pieces), levels), np.full(len(pieces), -1)
+    np.minimum.at(least, who[shared], level[shared])
+    np.maximum.at(most, who[shared], level[shared])
+    first = np.where(most == levels - 1, 0, at - s * (most + 1) + 1).clip(0)
+    last = np.minimum(at - s * least, m - 1)
+    return first, np.where(most < 0, first - 1, last)
+
+
 SHARDED = "d long, p long, w long, local boolean"
 
 
@@ -164,32 +197,47 @@ def repeats(docs: DataFrame, length: int = 400, k: int = 32, limit: int = BROADC
                 for p, m in zip(*map(np.ndarray.tolist, seeds.unpacked(codes, 1))):
                     piece = raw[p : p + m - 1 + length]
                     g = byte_grams(_BYTE[np.frombuffer(piece[:length], np.uint8)], k) & ~low  # the anchor is the least of these
-                    out.append((int(g.min().view(np.int64)), d, p, m, piece))
-            yield pd.DataFrame(out, columns=["a", "d", "p", "m", "piece"])
-
-    pieces = only(docs, opened, "d", limit).dropDuplicates(["d"]).join(opened, "d").mapInPandas(snippets, "a long, d long, p long, m int, piece binary")
-    wide = pieces.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT)
+                    at = int(g.argmin())
+                    out.append((int(g[at].view(np.int64)), d, p, m, at, piece))
+            yield pd.DataFrame(out, columns=["a", "d", "p", "m", "at", "piece"])
+
+    pieces = only(docs, opened, "d", limit).dropDuplicates(["d"]).join(opened, "d").mapInPandas(snippets, "a long, d long, p long, m int, at int, piece binary")
+    pieces = written(pieces)
+    # Anchors of very many snippets, few by their nature; they meet the snippets before any shuffle.
+    wide = settle(pieces.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT))
     salt = F.coalesce(F.pmod(F.xxhash64("d", "p"), F.ceil(F.col("n") / SPLIT)), F.lit(-1)).alias("salt")
-    dealt = pieces.join(wide, "a", "left").select("a", salt, "d", "p", "m", "piece")
+    dealt = pieces.join(F.broadcast(wide) if wide.count() <= limit else wide, "a", "left").select("a", salt, "d", "p", "m", "at", "piece")
     dealt = dealt.repartition(shuffle_parts(docs), "a", "salt").sortWithinPartitions("a", "salt")
 
     def sharded(frames):
         """Snippets in order of their anchors, in shards of about SHARD bytes; one anchor's stay together."""
 
         def shard(rows):
-            s, at, c = shard_repeats(list(rows["piece"]), rows["m"].to_numpy(np.int64), length)
-            d, p = rows["d"].to_numpy(np.int64)[s], rows["p"].to_numpy(np.int64)[s] + at
+            split = rows["salt"].to_numpy() >= 0
+            m, pieces = rows["m"].to_numpy(np.int64), list(rows["piece"])
+            # All of a split anchor's windows go on to be merged.
+            first, last = aligned(pieces, rows["a"].to_numpy(), rows["at"].to_numpy(np.int64), m, length, k)
+            first, last = np.where(split, 0, first), np.where(split, m - 1, last)
+            kept = np.flatnonzero(last >= first)
+            if not len(kept):
+                return None
+            first, last, split = first[kept], last[kept], split[kept]
+            pieces = [pieces[i][f : e + length] for i, f, e in zip(kept, first, last)]
+            s, at, c = shard_repeats(pieces, last - first + 1, length)
+            d, p = rows["d"].to_numpy(np.int64)[kept][s], (rows["p"].to_numpy(np.int64)[kept] + first)[s] + at
             new = np.concatenate([[True], c[1:] != c[:-1]])
             group = np.cumsum(new) - 1
             local = np.bincount(group)[group] > 1
-            split = rows["salt"].to_numpy()[s] >= 0
             # A window that repeats here is settled; of a split anchor one of each kind goes on to be merged.
+            on = np.flatnonzero(split[s] & new)
             w = np.zeros(len(d), np.int64)
-            for i in np.flatnonzero(split & new):
-                piece = rows["piece"].iloc[s[i]][at[i] : at[i] + length]
-                w[i] = int.from_bytes(hashlib.blake2b(piece, digest_size=8).digest(), "little", signed=True)
-            keep = local | (split & new)
-            return pd.DataFrame({"d": d, "p": p, "w": np.where(split & new, w, 0), "local": local})[keep]
+            if len(on):
+                sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+                begin = (np.cumsum(sizes) - sizes)[s[on]] + at[on]
+                w[on] = seeds.Ranges(_BYTE[np.frombuffer(b"".join(pieces), np.uint8)]).of(begin, begin + length).view(np.int64)
+            keep = local.copy()
+            keep[on] = True
+            return pd.DataFrame({"d": d, "p": p, "w": w, "local": local})[keep]
 
         held = None
         for frame in frames:
@@ -200,15 +248,16 @@ def repeats(docs: DataFrame, length: int = 400, k: int = 32, limit: int = BROADC
                 edge = edge[size[edge - 1] >= SHARD]
                 if not len(edge):
                     break
-                yield shard(held.iloc[: edge[0]])
+                if (out := shard(held.iloc[: edge[0]])) is not None:
+                    yield out
                 held = held.iloc[edge[0] :].reset_index(drop=True)
-        if held is not None and len(held):
-            yield shard(held)
+        if held is not None and len(held) and (out := shard(held)) is not None:
+            yield out
 
     found = settle(dealt.mapInPandas(sharded, SHARDED))
 
     def merged(frames):
-        """Sorted runs of (w, d, p): a window repeats if binary search finds its hash more than once, or already repeated in its shard."""
+        """Sorted runs of (w, d, p): a window repeats if binary search finds its hash more than once. What repeats in its shard is known."""
         held = None
         for frame in chain(frames, [None]):
             rows = held if frame is None else frame if held is None else pd.concat([held, frame], ignore_index=True)
@@ -221,19 +270,19 @@ def repeats(docs: DataFrame, length: int = 400, k: int = 32, limit: int = BROADC
             n = np.searchsorted(w, w, "right") - np.searchsorted(w, w, "left")
             yield part.loc[(n > 1) & ~part["local"].to_numpy(), ["d", "p"]]
 
-    runs = found.where("w <> 0")
-    firsts = runs.groupBy("w").agg(F.count("*").alias("n")).where("n > 1").select("w")
-    across = runs.join(firsts, "w").repartition(shuffle_parts(docs), "w").sortWithinPartitions("w").select("d", "p", "w", "local").mapInPandas(merged, "d long, p long")
+    # A shard sends each of its windows once, so a hash comes as often as its anchor has shards.
+    runs = found.where("w <> 0").repartition(shuffle_parts(docs), "w").sortWithinPartitions("w")
+    across = runs.select("d", "p", "w", "local").mapInPandas(merged, "d long, p long")
     windows = found.where("local").select("d", "p").union(across).groupBy("d").agg(F.collect_list("p").alias("windows"))
     return settle(marks.where(F.exists("codes", lambda c: F.floor(c / 2) % 2 == 1)).join(windows, "d", "full"))
 
 
-CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+CUT = "d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def cut(docs: DataFrame, length: int = 400, k: int = 32, texts: bool = True, limit: int = BROADCAST_ROWS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256 and, if texts, kept: the bytes that stay."""
-    docs = seeds.keyed(docs)
+    docs, names = numbered(docs)
     marks = repeats(docs, length, k, limit)
 
     def run(frames):
@@ -246,9 +295,9 @@ def cut(docs: DataFrame, length: int = 400, k: int = 32, texts: bool = True, lim
                     gone = seeds.covered(len(raw), length, codes, windows)
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
                     spans = int(np.count_nonzero(np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1))
-                out.append((d if d > -(2**63) else None, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
+                out.append((d, len(raw), len(raw) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept if texts else None))
+            yield pd.DataFrame(out, columns=["d", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     parts = [p.mapInPandas(run, CUT) for p in seeds.with_marks(docs, marks, limit)]
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = named(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), names)
     return out if texts else out.drop("kept")

@@ -13,3 +13,60 @@ def test_toxic_rows_by_their_own_text(spark, docs_of):
     got = toxicity.accepted(docs.select("doc_id", "text").unionByName(more), labels)
     rest = sorted(((r["doc_id"], r["text"]) for r in got.collect() if r["doc_id"] in (None, 9001)), key=str)
     assert sorted([(None, good), (9001, good + " x")], key=str) == rest
+
+
+def several(spark):
+    """Rows without a doc_id and rows of one doc_id, with different texts; some given twice."""
+    import random
+
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    a, b, c = prose(120), prose(120), prose(120)
+    rows = [(None, a + " " + prose(30)), (None, prose(40) + " " + b), (None, prose(50)), (7, prose(20) + " " + a), (7, b + " " + prose(10)), (7, prose(60)), (-(2**63), c), (3, prose(10) + " " + c), (2**62 + 1, prose(70)), (9, None), (9, "")]
+    return rows + rows[1:2] + rows[4:5]
+
+
+def test_suffixes_with_null_and_shared_ids(spark):
+    from collections import Counter
+
+    from braidseq.llm import suffixes
+
+    rows = several(spark)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"]) for r in suffixes.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    one = [(i, (t or "").encode()) for i, t in dict.fromkeys((i, t or "") for i, t in rows)]
+    seen = Counter(t[p : p + 400] for _, t in one for p in range(len(t) - 399))
+    want = {}
+    for i, t in one:
+        gone = [False] * len(t)
+        for p in range(len(t) - 399):
+            if seen[t[p : p + 400]] > 1:
+                gone[p : p + 400] = [True] * 400
+        want[i, t] = sum(gone)
+    assert sum(want.values()) > 2000
+    assert got == Counter((i, len((t or "").encode()), want[i, (t or "").encode()]) for i, t in rows)
+
+
+def test_substring_with_null_and_shared_ids(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from braidseq.llm import substring
+
+    rows = several(spark)
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in substring.cut(d).collect())
+    order = d.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).distinct().orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()
+    seen, want = set(), {}
+    for i, t in order:
+        w = t.split()
+        gone = [False] * len(w)
+        for p in range(len(w) - 19):
+            k = tuple(w[p : p + 20])
+            if k in seen:
+                gone[p : p + 20] = [True] * 20
+            seen.add(k)
+        want[i, t] = sum(gone)
+    assert sum(want.values()) > 200
+    assert got == Counter((i, len((t or "").split()), want[i, t or ""]) for i, t in rows)
