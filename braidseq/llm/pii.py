@@ -1,14 +1,20 @@
 """Personal data by fixed patterns and bootstrapped contexts, with DataFrame functions only.
 
-Base spans are matches of four patterns that pass a check (parts of an address, Luhn, digits). They are the seeds of
-the bootstrapping: the two words before a seed are a pattern; its confidence is the share of its occurrences in the
-whole corpus that lead to an accepted identifier. Words that hold a digit, at least six characters and no base span
-are candidates; a candidate's score is 1 - prod(1 - confidence) over the confident patterns it stands behind. In
-rounds, accepted candidates count as identifiers and raise their patterns. Contexts that are common words are told by
-the documents that may hold identifiers, before any count over the whole corpus. Accepted ones are spans of kind `context`.
-
-Nulls: a null text is empty. Empty texts have no spans. Repeated rows get the same spans. Extra columns are ignored.
-Very long texts and runs of digits are matched without backtracking. An empty table gives an empty result.
+Base spans are matches of four patterns that pass a check (parts of an address, Luhn, digits). They are the sure seeds of
+the bootstrapping, with score 1. Candidates are runs of letters, digits and _+/- of six or more that hold a digit and meet no base
+span; those that look machine-made (16 or more hex digits, or capitals and digits) are weak seeds, with a prior of 0.8.
+
+Every item (base span or candidate) has lexical patterns, made of lexemes (words or single punctuation marks): the two and the
+three lexemes before it, the lexemes on both sides of it, and, where it begins with four letters, these with its length.
+In rounds, items with a score of 0.5 or more induce the patterns that lead to at least three of them; a pattern's occurrences are
+counted over the whole corpus; its confidence is the sum of the scores of the items that it leads to, over its occurrences. A
+candidate's score is 1 - prod(1 - confidence) over its confident patterns. What rises induces patterns in the next round; rounds
+end when no pattern is new and no score rises. Candidates that confident patterns lead to are spans of kind `context`; weak
+seeds that none leads to are not. Patterns of common words are ruled out by the documents that may hold identifiers, before any
+count over the whole corpus.
+
+Nulls: a null text is empty; a null doc_id keeps its row. Empty texts have no spans. Repeated rows get the same spans. Extra
+columns are ignored. Very long texts and runs of digits are matched without backtracking. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +37,11 @@ PATTERNS = {
 }
 #: What a text must hold for the pattern to be tried.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"(?:[0-9][\x20-]?){15}[0-9]", "phone": r"\+[0-9][\x20().0-9-]"}
-CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]{6,}+"
+CANDIDATE = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{6,}+"
+#: Weak seeds.
+MACHINE_MADE = r"^(?:(?=.*[a-f].*[a-f])(?=.*[0-9].*[0-9])[0-9a-f]{16,}|(?=(?:.*[A-Z]){4})(?=.*[0-9])[A-Z0-9]{16,})$"
+PRIOR = 0.8
+LEXEME = r"[\p{L}\p{N}_]++|[^\p{L}\p{N}_\s]"
 
 
 def _digits(m: Column) -> Column:
@@ -74,45 +84,98 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return docs.withColumns({k: found(text, PATTERNS[k], lambda m, k=k: _valid(k, m), HINTS[k]) for k in KINDS})
 
 
-def _context(text: Column, s: Column) -> Column:
-    """The two words before a place, in lower case, '' if there are not two within 64 characters."""
-    left = F.substring(text, F.greatest(s - 64, F.lit(0)) + 1, F.least(s, F.lit(64)))
-    return F.lower(F.regexp_replace(F.regexp_extract(left, r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1), r"[\x20\x09-\x0D]+", " "))
+def _named(kind: str, *lexemes: Column) -> Column:
+    """A pattern's name; null if it lacks a lexeme."""
+    return F.concat(F.lit(kind), *[F.concat(F.lit(" "), x) for x in lexemes])
+
+
+def _patterns(text: Column, s: Column, e: Column, value: Column) -> Column:
+    """The patterns of an item at s..e. Lexemes are sought within 64 characters before it and 40 after."""
+    lexemes = lambda c: F.regexp_extract_all(F.lower(c), F.lit(LEXEME), F.lit(0))
+    near = lexemes(F.substring(text, F.greatest(s - 64, F.lit(0)) + 1, F.least(s, F.lit(64))))
+    near = F.when(s > 64, F.slice(near, F.lit(2), F.greatest(F.size(near) - 1, F.lit(0)))).otherwise(near)  # the first may be cut
+    near = F.slice(F.concat(F.array_repeat(F.lit(None).cast("string"), 3), near), -3, 3)
+    after = F.get(lexemes(F.substring(text, e + 1, F.lit(40))), F.lit(0))
+    one, two, three = (F.element_at(near, -i) for i in (1, 2, 3))
+    inner = F.when(value.rlike("^[A-Za-z]{4}"), F.concat(F.lit("inner "), F.substring(value, 1, 4), F.lit(" "), F.char_length(value)))
+    return F.array_compact(F.array(_named("two", two, one), _named("three", three, two, one), _named("around", one, after), inner))
 
 
 def _occurrences(docs: DataFrame, patterns: DataFrame) -> DataFrame:
-    """How often each pattern stands before a word, over all words of all documents."""
-    words = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 2), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i)))
-    rows = docs.select(words.alias("words")).where(F.size("words") > 2).select(F.explode(pairs).alias("pattern"))
+    """How often each of the patterns of lexemes stands at a word, over all words of docs."""
     held = F.broadcast(patterns) if patterns.count() <= BROADCAST_ROWS else patterns
+    words = docs.select(F.regexp_extract_all(F.lower("text"), F.lit(LEXEME), F.lit(0)).alias("w")).where(F.size("w") > 1)
+    at = lambda i: F.get("w", i)
+    every = F.transform(
+        F.sequence(F.lit(1), F.size("w") - 1),
+        lambda i: F.when(at(i).rlike(r"^[\p{L}\p{N}_]"), F.array(_named("two", F.when(i > 1, at(i - 2)), at(i - 1)), _named("three", F.when(i > 2, at(i - 3)), F.when(i > 1, at(i - 2)), at(i - 1)), _named("around", at(i - 1), at(i + 1)))),
+    )
+    rows = words.select(F.explode(every).alias("p")).select(F.explode("p").alias("pattern"))
     return rows.join(held, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"))
 
 
-def contextual(docs: DataFrame, spanned: DataFrame, least_seeds: int = 3, confident: float = 0.5, accepted: float = 0.5, rounds: int = 3) -> DataFrame:
-    """Accepted candidates: doc_id, text_hash, s, e. spanned: doc_id, text_hash, items (kind, s, e, value, pattern)."""
-    items = spanned.select("doc_id", "text_hash", F.explode("items").alias("x")).select("doc_id", "text_hash", "x.*").where("pattern <> ''")
-    seeds = items.where("kind <> 'context'")
-    induced = seeds.groupBy("pattern").agg(F.countDistinct("value").alias("seeds")).where(F.col("seeds") >= least_seeds).select("pattern")
-    induced = settle(induced)
-    if not induced.take(1):
-        return items.limit(0).select("doc_id", "text_hash", "s", "e")
-    # Most common pairs of words fail already on the documents that may hold identifiers; only the rest are counted over all.
-    induced = settle(induced.join(_occurrences(docs.where(F.col("text").contains("@") | F.col("text").contains("+")), induced), "pattern", "left"))
-    most = seeds.groupBy("pattern").agg(F.count("*").alias("led"))
-    candidates = items.where("kind = 'context'").groupBy("pattern").agg(F.count("*").alias("may"))
-    induced = induced.join(most, "pattern").join(candidates, "pattern").where(F.col("led") + F.col("may") >= confident * F.coalesce("n", F.lit(0))).select("pattern")
-    induced = settle(induced)
-    counts = _occurrences(docs, induced)
-    graph = settle(items.join(induced, "pattern", "left_semi").groupBy("pattern", "value").agg(F.max((F.col("kind") != "context").cast("double")).alias("score"), F.count("*").alias("times")).join(counts, "pattern"))
-    scores = graph.select("value", "score").groupBy("value").agg(F.max("score").alias("score"))
+def _anew(counts: DataFrame) -> DataFrame:
+    """pattern and n as new columns: a union of checkpoints can't carry over what Spark has noted of theirs."""
+    return counts.select(F.concat("pattern", F.lit("")).alias("pattern"), (F.col("n").cast("double") + 0.0).alias("n"))
+
+
+def _counted(docs: DataFrame, fresh: DataFrame, confident: float) -> DataFrame:
+    """pattern, n (its occurrences in the corpus) of the patterns of fresh (pattern, times, kind) that may be confident.
+
+    Those of the items themselves (kind inner) occur as often as their items. Most of the others are common words and
+    fail already on the documents that may hold identifiers; only the rest are counted over all, and only in documents that hold one of
+    the lexemes before their places, if those are few.
+    """
+    lexical = settle(fresh.where("kind <> 'inner'"))
+    some = docs.where(F.col("text").contains("@") | F.col("text").contains("+") | F.col("text").contains("="))
+    lexical = settle(lexical.join(_occurrences(some, lexical.select("pattern")), "pattern", "left").where(F.col("times") >= confident * F.coalesce("n", F.lit(0))).select("pattern"))
+    before = F.when(F.col("pattern").startswith("around "), 2).otherwise(-1)  # "around x y", "two x y", "three x y z"
+    lead = [r[0] for r in lexical.select(F.element_at(F.split("pattern", " "), before).alias("x")).distinct().limit(33).collect()]
+    if len(lead) <= 32:
+        docs = docs.where(F.exists(F.array(*[F.lit(x) for x in lead]), lambda x: F.contains(F.lower("text"), x)) if lead else F.lit(False))
+    return settle(fresh.where("kind = 'inner'").select("pattern", F.col("times").alias("n")).unionByName(_occurrences(docs, lexical)))
+
+
+def contextual(docs: DataFrame, spanned: DataFrame, least_seeds: int = 3, confident: float = 0.5, accepted: float = 0.5, rounds: int = 100) -> DataFrame:
+    """Accepted candidates: doc_id, text_hash, s, e. spanned: doc_id, text_hash, items (kind, s, e, value, patterns)."""
+    items = spanned.select("doc_id", "text_hash", F.explode("items").alias("x")).select("doc_id", "text_hash", "x.*")
+    prior = F.when(F.col("kind") != "context", 1.0).when(F.col("value").rlike(MACHINE_MADE), PRIOR).otherwise(0.0)
+    graph = items.select(prior.alias("prior"), "value", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("prior").alias("prior"), F.count("*").alias("times"))
+    # A pattern that leads to few values can't be induced.
+    graph = settle(graph)
+    often = graph.groupBy("pattern").agg(F.count("*").alias("values"), F.sum("times").alias("all")).where(F.col("values") >= least_seeds)
+    often = settle(often.select("pattern", "all"))
+    graph = settle(graph.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "pattern"))
+    scores = settle(graph.groupBy("value").agg(F.max("prior").alias("score")).withColumn("raised", F.lit(0.0)))
+    known, judged = None, None
     for _ in range(rounds):
-        linked = graph.select("pattern", "value", "times", "n").join(scores, "value")
-        weight = linked.groupBy("pattern").agg((F.sum(F.col("times") * F.col("score")) / F.max("n")).alias("confidence")).where(F.col("confidence") >= confident)
-        raised = linked.join(weight, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1.000001 - F.least("confidence", F.lit(1.0)))))).alias("raised"))
-        scores = settle(scores.join(raised, "value", "left").select("value", F.when(F.col("score") >= 1, 1.0).when(F.col("raised") >= accepted, F.col("raised")).otherwise(0.0).alias("score")))
-    good = scores.where(F.col("score") >= accepted).select("value")
-    return items.where("kind = 'context'").join(induced, "pattern", "left_semi").join(good, "value", "left_semi").select("doc_id", "text_hash", "s", "e")
+        linked = graph.join(scores, "value")
+        led = linked.groupBy("pattern", "all").agg(F.count_if(F.col("score") >= accepted).alias("seeds"), F.sum(F.col("times") * F.col("score")).alias("sure"))
+        led = settle(led)
+        fresh = led.where(F.col("seeds") >= least_seeds).select("pattern", F.col("all").alias("times"), F.split("pattern", " ")[0].alias("kind"))
+        fresh = settle(fresh if judged is None else fresh.join(judged, "pattern", "left_anti"))
+        new = fresh.count()
+        if new:
+            more = _counted(docs, fresh, confident)
+            known = more if known is None else settle(_anew(known).unionByName(_anew(more)))
+            names = fresh.select("pattern", F.lit(0).alias("n"))
+            judged = names if judged is None else settle(_anew(judged).unionByName(_anew(names)))
+        if known is None:
+            return items.limit(0).select("doc_id", "text_hash", "s", "e")
+        weight = led.join(known, "pattern").select("pattern", F.least(F.lit(1.0), F.col("sure") / F.col("n")).alias("confidence")).where(F.col("confidence") >= confident)
+        weight = settle(weight)
+        weight = F.broadcast(weight) if weight.count() <= BROADCAST_ROWS else weight
+        raised = graph.join(weight, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1.000001 - F.col("confidence"))))).alias("now"))
+        after = settle(scores.join(raised, "value", "left").select("value", F.greatest("score", F.coalesce("now", F.lit(0.0))).alias("score"), F.greatest("raised", F.coalesce("now", F.lit(0.0))).alias("raised"), (F.coalesce("now", F.lit(0.0)) > F.col("score") + 0.01).alias("rose")))
+        rising = bool(after.where("rose").take(1))
+        scores = after.drop("rose")
+        if not new and not rising:
+            break
+    else:
+        raise RuntimeError(f"scores still rise after {rounds} rounds")
+    good = scores.where(F.col("raised") >= accepted).select("value")
+    here = items.where("kind = 'context'").select("doc_id", "text_hash", "s", "e", "value", F.explode("patterns").alias("pattern"))
+    return here.join(weight.select("pattern"), "pattern", "left_semi").join(good, "value", "left_semi").select("doc_id", "text_hash", "s", "e")
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -123,7 +186,14 @@ def extract(docs: DataFrame) -> DataFrame:
     base = F.concat(*[F.col(k) for k in KINDS])
     clear = lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]))
     d = d.withColumn("context", F.filter("context", clear))
-    item = lambda k: F.transform(k, lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.substring("text", x["s"] + 1, x["e"] - x["s"]).alias("value"), _context(F.col("text"), x["s"]).alias("pattern")))
+
+    def item(k):
+        def one(x):
+            value = F.substring("text", x["s"] + 1, x["e"] - x["s"])
+            return F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), value.alias("value"), _patterns(F.col("text"), x["s"], x["e"], value).alias("patterns"))
+
+        return F.transform(k, one)
+
     d = d.withColumn("items", F.concat(*[item(k) for k in (*KINDS, "context")]))
     spanned = settle(d.select("doc_id", "text_hash", *KINDS, "items"))
     added = contextual(docs, spanned).distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("context"))
@@ -140,9 +210,11 @@ def _joined(kinds) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Counts of the base spans, their digest, and all spans as text."""
+    """Counts of the spans by kind and of all, the base spans' digest, and all spans as text."""
     d = extract(docs)
-    return d.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS], sha256(_joined(KINDS)).alias("base_sha256"), _joined((*KINDS, "context")).alias("spans"))
+    counts = {k: F.size(k).cast("long") for k in (*KINDS, "context")}
+    base = [counts[k].alias(f"n_{k}") for k in KINDS]
+    return d.select("doc_id", *base, sha256(_joined(KINDS)).alias("base_sha256"), _joined((*KINDS, "context")).alias("spans"), counts["context"].alias("n_context"), sum(counts.values(), F.lit(0)).cast("long").alias("n_spans"))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
