@@ -191,10 +191,10 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, block: int = BLOCK, most:
     got = got.groupBy("doc_id", "text_hash", "pass").agg(F.min(F.struct("start", "parts", "at")).alias("x"))
     got = settle(got.select(F.col("doc_id").alias("_mix_id"), F.col("text_hash").alias("_mix_hash"), F.struct("x.parts", "x.at").alias("_mix")))
     rows = docs.hint("merge").join(got, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.xxhash64("text") == F.col("_mix_hash")))
-    # Every word with the white space after it, the last one too.
+    # Every word with the white space after it, the last one too; found once for a text and bound by the outer function.
     words = F.regexp_extract_all(F.concat("text", F.lit(" ")), F.lit(WORD + SPACE), F.lit(0))
-    chosen = F.transform("_mix.parts", lambda p: F.slice("_mix_words", (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))
-    rows = rows.withColumn("_mix_words", words).withColumn("text", F.regexp_replace(F.array_join(F.flatten(chosen), ""), SPACE + "$", ""))
+    taken = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("_mix.parts", lambda p: F.slice(w, (p["lo"] + 1).cast("int"), (p["hi"] - p["lo"]).cast("int")))), ""))
+    rows = rows.withColumn("text", F.rtrim(F.element_at(taken, 1), F.lit(" \t\n\x0b\f\r")))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     return rows.select(*docs.columns, *([F.col("_mix.at.shard").alias("mix_shard"), F.col("_mix.at.place").alias("mix_place")] if placed else []))

@@ -127,7 +127,7 @@ def _counted(docs: DataFrame, fresh: DataFrame, confident: float) -> DataFrame:
     the lexemes before their places, if those are few.
     """
     lexical = settle(fresh.where("kind <> 'inner'"))
-    some = docs.where(F.col("text").contains("@") | F.col("text").contains("+") | F.col("text").contains("="))
+    some = docs.where(F.col("text").rlike("[0-9]"))
     lexical = settle(lexical.join(_occurrences(some, lexical.select("pattern")), "pattern", "left").where(F.col("times") >= confident * F.coalesce("n", F.lit(0))).select("pattern"))
     before = F.when(F.col("pattern").startswith("around "), 2).otherwise(-1)  # "around x y", "two x y", "three x y z"
     lead = [r[0] for r in lexical.select(F.element_at(F.split("pattern", " "), before).alias("x")).distinct().limit(33).collect()]
