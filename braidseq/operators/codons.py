@@ -22,16 +22,26 @@ def codon_counts(seqs: DataFrame, frame: int = 0, seq: str = "seq", by: list[str
 
 
 def six_frames(seqs: DataFrame, seq: str = "seq") -> DataFrame:
-    """frame (1..3 direct, 4..6 reverse complement), codon, n, share of the frame. One pass over the strings."""
-    direct, back = F.upper(seq), F.upper(dna.reverse_complement(F.col(seq)))
-    framed = F.concat(*[F.transform(dna.codons(s, f), _tag(k)) for k, (s, f) in enumerate([(s, f) for s in (direct, back) for f in range(3)], 1)])
-    counts = seqs.select(F.explode(framed).alias("x")).select("x.*").groupBy("frame", "codon").agg(F.count("*").alias("n"))
+    """frame (1..3 direct, 4..6 reverse complement), codon, n, share of the frame.
+
+    Codons are counted on the direct strand only. Read backwards, a string of n letters has from offset f the codons that begin
+    at the places of n - f modulo 3, complemented; so the counts by place and n modulo 3 give the other three frames too.
+    """
+    s = F.upper(seq)
+    placed = F.concat(*[F.transform(dna.codons(s, f), _at(f)) for f in range(3)])
+    each = seqs.select((F.char_length(seq) % 3).alias("rest"), F.explode(placed).alias("x")).select("rest", "x.place", "x.codon")
+    each = each.groupBy("rest", "place", "codon").agg(F.count("*").alias("n"))
+    both = F.array(
+        F.struct((F.col("place") + 1).alias("frame"), F.col("codon").alias("codon")),
+        F.struct((F.pmod(F.col("rest") - F.col("place"), F.lit(3)) + 4).alias("frame"), F.upper(dna.reverse_complement(F.col("codon"))).alias("codon")),
+    )
+    counts = each.select(F.explode(both).alias("x"), "n").groupBy("x.frame", "x.codon").agg(F.sum("n").alias("n"))
     every = counts.groupBy("frame").agg(F.sum("n").alias("total"))
     return counts.join(F.broadcast(every), "frame").select("frame", "codon", "n", (F.col("n") / F.col("total")).alias("share"))
 
 
-def _tag(frame: int):
-    return lambda c: F.struct(F.lit(frame).alias("frame"), c.alias("codon"))
+def _at(place: int):
+    return lambda c: F.struct(F.lit(place).alias("place"), c.alias("codon"))
 
 
 def valid_genes(seqs: DataFrame, seq: str = "seq", codons: bool = True, letters: bool = True, thirds: bool = True) -> DataFrame:
