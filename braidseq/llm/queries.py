@@ -50,4 +50,29 @@ QUERIES = {
     "op9_mixing": op9_mixing,
 }
 
-SQL: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+#: Smallest node that links (a, b) reach from each node, both ways.
+_REACH = """both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+ reach AS (SELECT a AS node, a AS other FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.other),
+ label AS (SELECT node, min(other) AS component FROM reach GROUP BY node)"""
+
+SQL: dict[str, str] = {
+    "op1_minhash": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS ws FROM documents),
+ g AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 3], ' ') END AS s FROM w, LATERAL (SELECT unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i) WHERE len(ws) > 0),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+ shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+ links AS (SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)), {_REACH}
+ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(component, d.doc_id) AS component_id, coalesce(component, d.doc_id) = d.doc_id AS kept FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN label ON node = d.doc_id""",
+    "op3_embeddings": f"""WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ fit AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM fit x JOIN fit y ON x.vec_id < y.vec_id AND len(x.e) = len(y.e) WHERE list_cosine_similarity(x.e, y.e) >= 0.95), {_REACH}
+ SELECT v.vec_id, (SELECT count(*) FROM both_ways l WHERE l.a = v.vec_id) AS n_links, coalesce(component, v.vec_id) AS component_id, coalesce(component, v.vec_id) = v.vec_id AS kept FROM v LEFT JOIN label ON node = v.vec_id""",
+    "op4_substring": f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
+ win AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, len(ws) - 18)) AS i) WHERE len(ws) >= 20),
+ again AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY s ORDER BY doc_id, i) > 1),
+ gone AS (SELECT DISTINCT doc_id, j FROM again, LATERAL (SELECT unnest(range(i, i + 20)) AS j)),
+ per AS (SELECT doc_id, list(j) AS js FROM gone GROUP BY doc_id),
+ kept AS (SELECT w.doc_id, len(ws) AS n, coalesce(len(js), 0) AS r, ws, js FROM w LEFT JOIN per ON per.doc_id = w.doc_id),
+ left_over AS (SELECT k.doc_id, string_agg(x, ' ' ORDER BY j) AS t FROM (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS j FROM kept) k LEFT JOIN gone USING (doc_id, j) WHERE gone.j IS NULL GROUP BY k.doc_id)
+ SELECT k.doc_id, k.n AS n_words, k.r AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM kept k LEFT JOIN left_over l ON l.doc_id = k.doc_id""",
+}
