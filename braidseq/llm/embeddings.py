@@ -46,6 +46,7 @@ def code(dim: int, blocks: int, words: int, number: int):
     return rotation, parts
 
 
+@lru_cache(1000)
 def plan(n: int, dim: int, passes: int, occupancy: int) -> tuple[float, int, int]:
     """Threshold, blocks and codewords per block for n vectors."""
     share = min(0.25, occupancy / max(n, 1))
@@ -123,15 +124,21 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, codes: int = 2, passe
     rows = rows.withColumn("fit", F.coalesce(finite, F.lit(False)) & F.col("vec_id").isNotNull())
     classes = rows.where("fit").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = settle(classes)
-    plans = {r["d"]: plan(r["n"], r["d"], passes, occupancy) for r in classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).where("n > 1").limit(1000).collect()}
+    # How many vectors of its length there are goes with each vector, so that there may be any number of lengths.
+    lengths = classes.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("peers"))
+    counted = classes.withColumn("dim", F.size("embedding")).join(lengths, "dim").drop("dim")
 
     def decode(frames):
         for frame in frames:
             blobs = [np.asarray(e, dtype).tobytes() for e in frame["embedding"]]
             size = np.array([len(b) // np.dtype(dtype).itemsize for b in blobs])
             out = [[] for _ in blobs]
-            for dim, (threshold, blocks, words) in plans.items():
+            for dim in np.unique(size).tolist():
                 which = np.flatnonzero(size == dim)
+                peers = int(frame["peers"].iloc[which[0]])
+                if peers < 2:
+                    continue
+                threshold, blocks, words = plan(peers, dim, passes, occupancy)
                 for at in np.array_split(which, max(1, len(which) // 256)) if len(which) else []:
                     v = _matrix([blobs[i] for i in at], dtype)
                     for number in range(codes):
@@ -142,7 +149,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, codes: int = 2, passe
             names = [np.unique(np.array(f, np.int32)) for f in out]
             yield pd.DataFrame({"rep": frame["rep"], "copies": frame["copies"], "dim": size, "vector": blobs, "filters": names})
 
-    passed = settle(classes.mapInPandas(decode, "rep long, copies long, dim int, vector binary, filters array<int>"))
+    passed = settle(counted.mapInPandas(decode, "rep long, copies long, dim int, vector binary, filters array<int>"))
     cells = passed.withColumn("filter", F.explode("filters"))
     wide = settle(cells.groupBy("dim", "filter").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT))
     cells = cells.join(F.broadcast(wide) if wide.count() <= BROADCAST_ROWS else wide, ["dim", "filter"], "left")

@@ -284,6 +284,8 @@ def encode(docs: DataFrame, model: bytes | None = None, chunk: int = 16_384) ->
                     out.append((doc_id, len(ids), ids, same and MARK not in text))
                 yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "round_trip"]).astype({"doc_id": "Int64"})
 
+    # Units are short steps, so parts between units can be longer than the chunks whose matrices are scanned.
+    chunk = 4 * chunk if pieces.bpe else chunk
     long = docs.where(size > chunk).withColumn("key", F.xxhash64("doc_id", "text"))
     rows = long.groupBy("key").agg(F.count("*").alias("rows"))
     if pieces.bpe:
