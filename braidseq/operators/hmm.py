@@ -278,10 +278,10 @@ def kbest(seqs: DataFrame, m: Model, k: int = 3, threshold: float = log(0.03)) -
 
     def best(obs):
         b = emissions(m, np.array([obs], float))[0]
-        hypotheses = {}
+        hypotheses, start = {}, m.a[0][0] if m.from_first else m.pi
         for s in range(m.n):
-            if m.pi[s] * b[0, s] > 0:
-                hypotheses.setdefault((m.labels[s],), np.zeros(m.n))[s] = m.pi[s] * b[0, s]
+            if start[s] * b[0, s] > 0:
+                hypotheses.setdefault((m.labels[s],), np.zeros(m.n))[s] = start[s] * b[0, s]
         shift = 0.0
         for t in range(1, len(obs)):
             new = {}

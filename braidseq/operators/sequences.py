@@ -40,7 +40,7 @@ def truncated(seqs: DataFrame, ratio: float, seed: int = 0) -> DataFrame:
 
 def split(rows: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """rows with part, train or test, by a hash of the key: the same at every run and partitioning."""
-    u = F.pmod(F.col(key) * 2654435761 + seed, F.lit(1000))
+    u = F.pmod(F.col(key) % 1000 * (2654435761 % 1000) + seed % 1000, F.lit(1000))  # 2654435761 * key + seed, within a long for any key
     return rows.withColumn("part", F.when(u < share * 1000, "train").otherwise("test"))
 
 
