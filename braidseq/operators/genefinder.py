@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import dna
 from ..plans.models import Model
 from . import codons, hmm, intervals
+from .state import settle
 
 BASES = "ACGT"
 
@@ -84,13 +85,15 @@ def find(contigs: DataFrame, m: Model) -> DataFrame:
 
 
 def evaluate(truth: DataFrame, found: DataFrame, width: int = 10_000) -> DataFrame:
-    """Counts of genes in truth, found, matched and exact, and the sum of scores, by strand."""
+    """By strand: genes in truth and found, matched one to one by falling score, and how well they agree (see intervals.agreement)."""
     keys = ["contig_id", "reverse"]
-    t, f = (intervals.spans(d).withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy("lo", "hi"))) for d in (truth, found))
-    pairs = intervals.matched(t.select(*keys, "id", "lo", "hi"), f.select(*keys, "id", "lo", "hi"), keys, "id", width)
-    m = pairs.groupBy("reverse").agg(F.count("*").alias("matched"), F.sum((F.col("score") == 1).cast("long")).alias("exact"), F.sum("score").alias("score"))
+    t, f = (intervals.spans(d).withColumn("id", F.row_number().over(Window.partitionBy(*keys).orderBy("lo", "hi"))).select(*keys, "id", "lo", "hi") for d in (truth, found))
+    t, f = settle(t), settle(f)
+    pairs = intervals.assigned(t, f, keys, "id", width)
+    m = pairs.groupBy("reverse").agg(F.count("*").alias("matched"), F.count_if(F.col("score") == 1).alias("exact"), F.sum("score").alias("score"))
     counts = t.groupBy("reverse").agg(F.count("*").alias("annotated")).join(f.groupBy("reverse").agg(F.count("*").alias("predicted")), "reverse", "full")
-    return counts.join(m, "reverse", "left").na.fill(0)
+    agree = intervals.agreement(t, f, pairs, keys, "id", ["reverse"]).drop("perfect").withColumnRenamed("score", "net_score")
+    return counts.join(m, "reverse", "left").join(agree, "reverse", "left").na.fill(0)
 
 
 def best_cut(features: DataFrame, wanted: float) -> DataFrame:

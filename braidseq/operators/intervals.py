@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .state import settle
+
 #: Lengths of short and of long gaps.
 SHORT, LONG = (1, 14), (10, None)
 
@@ -66,6 +68,13 @@ def score() -> Column:
     return shared / (F.greatest("hi", "r_hi") - F.least("lo", "r_lo") + 1)
 
 
+def _mutual(pairs: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """The pairs that are each other's best by score, ties to the smaller identifiers."""
+    mine = Window.partitionBy(*keys, ident).orderBy(F.desc("score"), f"r_{ident}")
+    yours = Window.partitionBy(*keys, f"r_{ident}").orderBy(F.desc("score"), ident)
+    return pairs.withColumn("a", F.row_number().over(mine)).withColumn("b", F.row_number().over(yours)).where("a = 1 and b = 1").drop("a", "b")
+
+
 def matched(left: DataFrame, right: DataFrame | None, keys: list[str], ident: str, width: int) -> DataFrame:
     """One to one: pairs that are each other's best by score, ties to the smaller identifiers.
 
@@ -74,12 +83,45 @@ def matched(left: DataFrame, right: DataFrame | None, keys: list[str], ident: st
     pairs = overlaps(left, left if right is None else right, keys, width).withColumn("score", score())
     if right is None:
         pairs = pairs.where(F.col(ident) != F.col(f"r_{ident}"))
-    mine = Window.partitionBy(*keys, ident).orderBy(F.desc("score"), f"r_{ident}")
-    yours = Window.partitionBy(*keys, f"r_{ident}").orderBy(F.desc("score"), ident)
-    best = pairs.withColumn("a", F.row_number().over(mine)).withColumn("b", F.row_number().over(yours)).where("a = 1 and b = 1").drop("a", "b")
+    best = _mutual(pairs, keys, ident)
     return best.where(F.col(ident) < F.col(f"r_{ident}")) if right is None else best
 
 
+def assigned(left: DataFrame, right: DataFrame, keys: list[str], ident: str, width: int) -> DataFrame:
+    """One to one: pairs by falling score, ties to the smaller identifiers, each passed over if either side is taken.
+
+    Pairs that are each other's best are what that order takes first, so they are taken all at once, and the rest of
+    the pairs goes on without their intervals until none is left. No task holds a whole key. Rounds are as many as the longest chain of
+    intervals that wait for one another. Null keys and identifiers match nothing.
+    """
+    r = f"r_{ident}"
+    rest = settle(overlaps(left, right, keys, width).where(F.col(ident).isNotNull() & F.col(r).isNotNull()).withColumn("score", score()))
+    rounds = []
+    while not rounds or rest.take(1):
+        best = settle(_mutual(rest, keys, ident))
+        rounds.append(best)
+        rest = settle(rest.join(best.select(*keys, ident), [*keys, ident], "left_anti").join(best.select(*keys, r), [*keys, r], "left_anti"))
+    out = rounds[0]
+    for best in rounds[1:]:
+        out = out.unionByName(best)
+    return out
+
+
+def agreement(left: DataFrame, right: DataFrame, pairs: DataFrame, keys: list[str], ident: str, by: list[str]) -> DataFrame:
+    """by, counts of pairs of score 1, from 0.8, from 0.5 and below, of left and right intervals without a partner, and the score.
+
+    The score is the sum of the pairs' scores less one for each interval without a partner. by: some of the keys, or none.
+    """
+    r = pairs.select(*keys, F.col(f"r_{ident}").alias(ident))
+    rows = pairs.select(*by, F.lit("pair").alias("kind"), "score")
+    for kind, every, used in (("left", left, pairs.select(*keys, ident)), ("right", right, r)):
+        rows = rows.unionByName(every.join(used, [*keys, ident], "left_anti").select(*by, F.lit(kind).alias("kind"), F.lit(-1.0).alias("score")))
+    s, pair = F.col("score"), F.col("kind") == "pair"
+    parts = {"perfect": pair & (s == 1), "partial80": pair & (s >= 0.8) & (s < 1), "partial50": pair & (s >= 0.5) & (s < 0.8), "partial0": pair & (s < 0.5)}
+    parts |= {"false_negatives": F.col("kind") == "left", "false_positives": F.col("kind") == "right"}
+    return rows.groupBy(*by).agg(*[F.count_if(c).alias(k) for k, c in parts.items()], F.coalesce(F.sum("score"), F.lit(0.0)).alias("score"))
+
+
 def uncovered(points: DataFrame, features: DataFrame, keys: list[str], width: int) -> DataFrame:
     """Points (keys, at) that no interval (lo, hi) covers."""
     f = binned(features, width).select(*[F.col(k).alias(f"f_{k}") for k in (*keys, "bin", "lo", "hi")])

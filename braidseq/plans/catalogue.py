@@ -161,6 +161,27 @@ def unmatched_whole(spark, sf_dir):
     return d.join(both, ["contig_id", "feature_id"], "left_anti").groupBy("contig_id").agg(F.count("*").alias("n"))
 
 
+def shipped(spark, sf_dir) -> DataFrame:
+    """Per customer and order the days from its first to its last shipping."""
+    at = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    d = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("contig_id"), F.col("o_orderkey").alias("feature_id"))
+    return o.join(d, F.col("feature_id") == F.col("l_orderkey")).select("contig_id", "feature_id", "lo", "hi")
+
+
+def greedy_match(spark, sf_dir):
+    """Stays against shippings of a customer, one to one by falling score."""
+    m = intervals.assigned(_one_set(spark, sf_dir), shipped(spark, sf_dir), ["contig_id"], "feature_id", 64)
+    return m.select("contig_id", "feature_id", "r_feature_id", F.round("score", 9).alias("score"))
+
+
+def match_agreement(spark, sf_dir):
+    a, b = _one_set(spark, sf_dir), shipped(spark, sf_dir)
+    m = intervals.assigned(a, b, ["contig_id"], "feature_id", 64)
+    d = intervals.agreement(a, b, m, ["contig_id"], "feature_id", ["contig_id"])
+    return d.withColumn("score", F.round("score", 6))
+
+
 def uncovered_cuts(spark, sf_dir):
     d = intervals.spans(stays(spark, sf_dir))
     ends = d.select("contig_id", (F.col("hi") + 1).alias("at")).distinct()
@@ -406,6 +427,15 @@ _PLAIN = PAUSED.without_silent()
 _MATCH = """pairs AS (SELECT l.contig_id, l.feature_id, r.feature_id AS r_feature_id, (LEAST(l.hi, r.hi) - GREATEST(l.lo, r.lo) + 1) / CAST(GREATEST(l.hi, r.hi) - LEAST(l.lo, r.lo) + 1 AS DOUBLE) AS score
  FROM iv l JOIN iv r ON l.contig_id = r.contig_id AND l.lo <= r.hi AND r.lo <= l.hi WHERE l.feature_id % 2 = 0 AND r.feature_id % 2 = 1),
  best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY contig_id, feature_id ORDER BY score DESC, r_feature_id) AS a, ROW_NUMBER() OVER (PARTITION BY contig_id, r_feature_id ORDER BY score DESC, feature_id) AS b FROM pairs)"""
+#: Pairs in order, one after the other, with the intervals of both sides that are taken.
+_GREEDY = f"""WITH RECURSIVE {_STAYS}, sp AS (SELECT o_custkey AS contig_id, o_orderkey AS feature_id, min(datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS lo, max(datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS hi
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
+ pairs AS (SELECT l.contig_id, l.feature_id AS x, r.feature_id AS y, (LEAST(l.hi, r.hi) - GREATEST(l.lo, r.lo) + 1) / CAST(GREATEST(l.hi, r.hi) - LEAST(l.lo, r.lo) + 1 AS DOUBLE) AS score FROM iv l JOIN sp r ON l.contig_id = r.contig_id AND l.lo <= r.hi AND r.lo <= l.hi),
+ ranked AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY contig_id ORDER BY score DESC, x, y) AS k FROM pairs),
+ g AS (SELECT contig_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS xs, CAST([] AS BIGINT[]) AS ys, false AS took, CAST(NULL AS BIGINT) AS x, CAST(NULL AS BIGINT) AS y, CAST(NULL AS DOUBLE) AS score FROM (SELECT DISTINCT contig_id FROM ranked)
+ UNION ALL SELECT g.contig_id, p.k, CASE WHEN list_contains(g.xs, p.x) OR list_contains(g.ys, p.y) THEN g.xs ELSE list_append(g.xs, p.x) END, CASE WHEN list_contains(g.xs, p.x) OR list_contains(g.ys, p.y) THEN g.ys ELSE list_append(g.ys, p.y) END,
+ NOT (list_contains(g.xs, p.x) OR list_contains(g.ys, p.y)), p.x, p.y, p.score FROM g JOIN ranked p ON p.contig_id = g.contig_id AND p.k = g.k + 1),
+ taken AS (SELECT contig_id, x, y, score FROM g WHERE took)"""
 _GAPS = "before AS (SELECT contig_id, lo, max(hi) OVER (PARTITION BY contig_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM iv), gaps AS (SELECT contig_id, h + 1 AS gap_start, lo - 1 AS gap_end FROM before WHERE h + 1 <= lo - 1)"
 
 
@@ -436,6 +466,10 @@ SQL: dict[str, str] = {
     "overlap_pairs": f"WITH {_STAYS}, {_MATCH} SELECT contig_id, feature_id, r_feature_id, round(score, 9) AS score FROM pairs",
     "overlap_match": f"WITH {_STAYS}, {_MATCH} SELECT contig_id, feature_id, r_feature_id, round(score, 9) AS score FROM best WHERE a = 1 AND b = 1",
     "unmatched": f"WITH {_STAYS}, {_MATCH} SELECT contig_id, count(*) AS n FROM iv WHERE feature_id % 2 = 0 AND feature_id NOT IN (SELECT feature_id FROM best WHERE a = 1 AND b = 1) GROUP BY contig_id",
+    "greedy_match": f"{_GREEDY} SELECT contig_id, x AS feature_id, y AS r_feature_id, round(score, 9) AS score FROM taken",
+    "match_agreement": f"""{_GREEDY}, u AS (SELECT contig_id, 'pair' AS kind, score FROM taken UNION ALL SELECT contig_id, 'left', -1.0 FROM iv WHERE feature_id NOT IN (SELECT x FROM taken) UNION ALL SELECT contig_id, 'right', -1.0 FROM sp WHERE feature_id NOT IN (SELECT y FROM taken))
+ SELECT contig_id, count(*) FILTER (kind = 'pair' AND score = 1) AS perfect, count(*) FILTER (kind = 'pair' AND score >= 0.8 AND score < 1) AS partial80, count(*) FILTER (kind = 'pair' AND score >= 0.5 AND score < 0.8) AS partial50,
+ count(*) FILTER (kind = 'pair' AND score < 0.5) AS partial0, count(*) FILTER (kind = 'left') AS false_negatives, count(*) FILTER (kind = 'right') AS false_positives, round(sum(score), 6) AS score FROM u GROUP BY contig_id""",
     "uncovered_cuts": f'WITH {_STAYS}, p AS (SELECT DISTINCT contig_id, hi + 1 AS "at" FROM iv) SELECT contig_id, "at" FROM p WHERE NOT EXISTS (SELECT 1 FROM iv WHERE iv.contig_id = p.contig_id AND p."at" BETWEEN iv.lo AND iv.hi)',
     "transition_counts": f"WITH {_ORDERED}, m AS (SELECT sym AS src, lead(sym) OVER (PARTITION BY user_id ORDER BY t) AS dst FROM ord) SELECT src, dst, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY src), 9) AS p FROM m WHERE dst IS NOT NULL GROUP BY src, dst",
     "kgram_background": f"WITH {_ORDERED}, m AS (SELECT sym AS s0, lead(sym) OVER w AS s1, lead(sym, 2) OVER w AS s2 FROM ord WINDOW w AS (PARTITION BY user_id ORDER BY t)), g AS (SELECT s0, s1, s2, count(*) AS n FROM m WHERE s2 IS NOT NULL GROUP BY ALL), e AS (SELECT CAST(a AS INTEGER) AS s0, CAST(b AS INTEGER) AS s1, CAST(c AS INTEGER) AS s2 FROM range(5) x(a), range(5) y(b), range(5) z(c)) SELECT s0, s1, s2, coalesce(n, 0) + 1 AS n, round((coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) OVER (PARTITION BY s0, s1), 9) AS p FROM e LEFT JOIN g USING (s0, s1, s2)",
@@ -463,7 +497,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         nt_counts, nt_shares, codon_frames, codon_rollup, revcomp_start_stop, codon_types, event_sequences, sequence_profile, gap_lengths, gap_list, contained, lengths_by_strand, mirrored,
-        islands_by_type, overlap_pairs, overlap_match, unmatched, overlap_pairs_whole, overlap_match_whole, unmatched_whole, uncovered_cuts, transition_counts, kgram_background, forward_loglik, forward_loglik_fold, backward_loglik, silent_loglik,
+        islands_by_type, overlap_pairs, overlap_match, unmatched, overlap_pairs_whole, overlap_match_whole, unmatched_whole, greedy_match, match_agreement, uncovered_cuts, transition_counts, kgram_background, forward_loglik, forward_loglik_fold, backward_loglik, silent_loglik,
         viterbi_logp, viterbi_states, posterior_states, posterior_states_whole, model_scores, best_model, set_likelihood, gauss_loglik, normal_densities, em_one_step, em_trained, gauss_trained, model_clusters,
         model_mixture, sampled_like_users, pair_alignments, mean_sequence, mean_sequence_whole, scatter_matrix, scatter_matrix_whole, bernoulli_split, model_normalize, base_vectors, codon_model,
     )

@@ -20,7 +20,7 @@ def rows(got, columns):
 @pytest.fixture(scope="module")
 def db():
     db = duckdb.connect()
-    for t in ("events", "documents", "orders"):
+    for t in ("events", "documents", "orders", "lineitem"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return db
 
