@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna, numeric
 from ..operators import codons, hmm, intervals, sampling, sequences, training
+from ..sources import text
 from . import models
 from .models import Model
 
@@ -182,6 +183,20 @@ def match_agreement(spark, sf_dir):
     return d.withColumn("score", F.round("score", 6))
 
 
+def plotted(spark, sf_dir):
+    """Each user's values as text for plotting."""
+    return value_seqs(spark, sf_dir).select("seq_id", text.gnu_text().alias("lines"))
+
+
+def listed_symbols(spark, sf_dir):
+    return event_seqs(spark, sf_dir).select("seq_id", text.mathematica_text().alias("line"))
+
+
+def xml_symbols(spark, sf_dir):
+    seqs = event_seqs(spark, sf_dir).withColumn("label", F.when(F.col("seq_id") % 3 > 0, F.col("seq_id") % 3))
+    return seqs.select("seq_id", text.xml_text("%d").alias("line"))
+
+
 def uncovered_cuts(spark, sf_dir):
     d = intervals.spans(stays(spark, sf_dir))
     ends = d.select("contig_id", (F.col("hi") + 1).alias("at")).distinct()
@@ -466,6 +481,9 @@ SQL: dict[str, str] = {
     "overlap_pairs": f"WITH {_STAYS}, {_MATCH} SELECT contig_id, feature_id, r_feature_id, round(score, 9) AS score FROM pairs",
     "overlap_match": f"WITH {_STAYS}, {_MATCH} SELECT contig_id, feature_id, r_feature_id, round(score, 9) AS score FROM best WHERE a = 1 AND b = 1",
     "unmatched": f"WITH {_STAYS}, {_MATCH} SELECT contig_id, count(*) AS n FROM iv WHERE feature_id % 2 = 0 AND feature_id NOT IN (SELECT feature_id FROM best WHERE a = 1 AND b = 1) GROUP BY contig_id",
+    "plotted": "SELECT user_id AS seq_id, string_agg(printf('%.8f', CAST(value AS DOUBLE)) || chr(10), '' ORDER BY ts, event_id) || chr(10) || chr(10) AS lines FROM events GROUP BY user_id",
+    "listed_symbols": f"WITH {_ORDERED} SELECT user_id AS seq_id, '{{' || string_agg(CAST(sym AS VARCHAR), ', ' ORDER BY t) || '}}' AS line FROM ord GROUP BY user_id",
+    "xml_symbols": f"WITH {_ORDERED} SELECT user_id AS seq_id, '  1 <Sequence id=\"seq' || user_id || '\">' || CASE WHEN user_id % 3 > 0 THEN '<Label>' || user_id % 3 || '</Label>' ELSE '' END || '<!-- Length: ' || count(*) || ' --> ' || string_agg(CAST(sym AS VARCHAR), ' ' ORDER BY t) || '  </Sequence>' AS line FROM ord GROUP BY user_id",
     "greedy_match": f"{_GREEDY} SELECT contig_id, x AS feature_id, y AS r_feature_id, round(score, 9) AS score FROM taken",
     "match_agreement": f"""{_GREEDY}, u AS (SELECT contig_id, 'pair' AS kind, score FROM taken UNION ALL SELECT contig_id, 'left', -1.0 FROM iv WHERE feature_id NOT IN (SELECT x FROM taken) UNION ALL SELECT contig_id, 'right', -1.0 FROM sp WHERE feature_id NOT IN (SELECT y FROM taken))
  SELECT contig_id, count(*) FILTER (kind = 'pair' AND score = 1) AS perfect, count(*) FILTER (kind = 'pair' AND score >= 0.8 AND score < 1) AS partial80, count(*) FILTER (kind = 'pair' AND score >= 0.5 AND score < 0.8) AS partial50,
@@ -497,7 +515,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         nt_counts, nt_shares, codon_frames, codon_rollup, revcomp_start_stop, codon_types, event_sequences, sequence_profile, gap_lengths, gap_list, contained, lengths_by_strand, mirrored,
-        islands_by_type, overlap_pairs, overlap_match, unmatched, overlap_pairs_whole, overlap_match_whole, unmatched_whole, greedy_match, match_agreement, uncovered_cuts, transition_counts, kgram_background, forward_loglik, forward_loglik_fold, backward_loglik, silent_loglik,
+        islands_by_type, overlap_pairs, overlap_match, unmatched, overlap_pairs_whole, overlap_match_whole, unmatched_whole, greedy_match, match_agreement, plotted, listed_symbols, xml_symbols, uncovered_cuts, transition_counts, kgram_background, forward_loglik, forward_loglik_fold, backward_loglik, silent_loglik,
         viterbi_logp, viterbi_states, posterior_states, posterior_states_whole, model_scores, best_model, set_likelihood, gauss_loglik, normal_densities, em_one_step, em_trained, gauss_trained, model_clusters,
         model_mixture, sampled_like_users, pair_alignments, mean_sequence, mean_sequence_whole, scatter_matrix, scatter_matrix_whole, bernoulli_split, model_normalize, base_vectors, codon_model,
     )

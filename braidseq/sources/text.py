@@ -132,6 +132,60 @@ def write_sequences(seqs: DataFrame, path: str, kind: str = "SEQ", decimals: int
     sequence_lines(seqs, decimals).mapInPandas(run, "value string").write.mode("overwrite").text(path)
 
 
+def _listed(items, pattern: str, between: str):
+    return F.array_join(F.transform(items, lambda x: F.format_string(pattern, x)), between)
+
+
+def gnu_text(decimals: int = 8):
+    """A sequence for plotting: a value to a line, and two empty lines after the last."""
+    return F.concat(_listed("obs", f"%.{decimals}f\n", ""), F.lit("\n\n"))
+
+
+def mathematica_text(pattern: str = "%d"):
+    """A sequence as a list in braces."""
+    return F.concat(F.lit("{"), _listed("obs", pattern, ", "), F.lit("}"))
+
+
+def xml_text(pattern: str = "%f"):
+    """A sequence as an XML element with its weight in front, its identifier and length, and its label if it has one."""
+    label = F.coalesce(F.concat(F.lit("<Label>"), F.col("label").cast("string"), F.lit("</Label>")), F.lit(""))
+    head = F.concat(F.format_string("  %.0f <Sequence id=\"seq%d\">", "weight", "seq_id"), label, F.format_string("<!-- Length: %d --> ", F.size("obs")))
+    return F.concat(head, _listed("obs", pattern, " "), F.lit("  </Sequence>"))
+
+
+def write_xml(seqs: DataFrame, path: str, pattern: str = "%f") -> None:
+    """Part files, each a whole document of sequences. A null label is left out."""
+    seqs = seqs if "label" in seqs.columns else seqs.withColumn("label", F.lit(None).cast("long"))
+    head, tail = '<Sequences type="int" >\n <DiscretePD>', " </DiscretePD>\n</Sequences>"
+    _whole(seqs.select(xml_text(pattern).alias("value")), head, "", tail).write.mode("overwrite").text(path)
+
+
+def write_mathematica(seqs: DataFrame, path: str, name: str = "Seq", pattern: str = "%d") -> None:
+    """Part files, each a list of lists that is assigned to `name`."""
+    _whole(seqs.select(mathematica_text(pattern).alias("value")), f"{name} = {{", ",", "};").write.mode("overwrite").text(path)
+
+
+def write_gnu(seqs: DataFrame, path: str, decimals: int = 8) -> None:
+    lines = gnu_text(decimals)  # the writer adds the last line break
+    seqs.select(F.substring(lines, F.lit(1), F.char_length(lines) - 1).alias("value")).write.mode("overwrite").text(path)
+
+
+def _whole(lines: DataFrame, head: str, between: str, tail: str) -> DataFrame:
+    """The lines of each partition with a head and a tail of their own; `between` ends every line but the last. No partition is held as a whole."""
+
+    def run(frames):
+        last = None
+        for frame in frames:
+            values = frame["value"].tolist()
+            if values:
+                yield pd.DataFrame({"value": [head if last is None else last + between, *[v + between for v in values[:-1]]]})
+                last = values[-1]
+        if last is not None:
+            yield pd.DataFrame({"value": [last, tail]})
+
+    return lines.mapInPandas(run, "value string")
+
+
 def letters(spark: SparkSession, path: str) -> DataFrame:
     """seq_id, seq: every run of letters of the text files under path, in lower case."""
     lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.regexp_extract_all(F.lower("value"), F.lit("[a-z]+"), F.lit(0))).alias("seq_id", "seq"))
@@ -242,15 +296,49 @@ def text_of_model(m: Model) -> str:
     return f"{kind} = {{\n\t" + "\n\t".join(lines) + "\n};\n"
 
 
+def grid_lines(x, tab: str = "", separator: str = ",", ending: str = ";", pattern: str = "%.2f", transposed: bool = False) -> list[str]:
+    """A line for each row of a matrix (for each column if transposed); a vector is one row. Serves A, B, Pi, C, Mue, U, fixed states and labels."""
+    x = np.atleast_2d(np.asarray(x))
+    return [tab + f"{separator} ".join(pattern % v for v in row) + ending for row in (x.T if transposed else x)]
+
+
+def state_lines(m: Model) -> list[str]:
+    """Of a model of symbols, for each state: its start, its emissions, and the edges out of it and into it."""
+    edges = lambda p: "".join(f"({j}, {p[j]:.3f}) \t" for j in np.flatnonzero(p))
+    a, out = m.a[0], [f"Modelparameters: \n M = {m.symbols} \t N = {m.n}"]
+    for i in range(m.n):
+        out += ["", f"State {i} ", f" PI = {m.pi[i]:.3f} ", f" out_states = {np.count_nonzero(a[i])} ", f" in_states = {np.count_nonzero(a[:, i])} "]
+        out += [" Output probability:\t" + "".join(f"{p:.3f} \t" for p in m.b[i]), " Transition probability "]
+        out += ["  Out states (Id, a):\t" + edges(a[i]), "  In states (Id, a):\t" + edges(a[:, i])]
+    return out
+
+
+QUALIFIERS = ("gene", "note", "product", "codon_start", "translation")
+
+
 def read_genbank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """contig (contig_id, seq) and feature (contig_id, feature_id, type, idx1, idx2) of GenBank flat files; complements have idx1 > idx2."""
-    records = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n//")).alias("r")).where(F.col("r").rlike("(?m)^LOCUS"))
+    """contig (contig_id, seq) and feature (contig_id, feature_id, type, idx1, idx2, parts, and the qualifiers) of GenBank flat files.
+
+    Complements have idx1 > idx2. parts: the pieces (lo, hi) of a joined place, in the order of the file; idx1 and idx2 span them.
+    Qualifiers that a feature lacks are null; lines of one are joined by a space, those of a translation by nothing.
+    A feature without a range of places (a single base, or a place in another record) is left out.
+    """
+    records = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.replace("value", F.lit("\r"), F.lit("")), r"\n//")).alias("r")).where(F.col("r").rlike("(?m)^LOCUS"))
     records = records.withColumn("contig_id", F.regexp_extract("r", r"(?m)^ACCESSION\s+(\S+)", 1))
     contigs = records.select("contig_id", F.regexp_replace(F.regexp_extract("r", r"(?s)\nORIGIN[^\n]*\n(.*)$", 1), r"[\s\d]+", "").alias("seq"))
-    place = r"(?m)^ {5}(\w+) +(complement\()?<?(\d+)\.\.>?(\d+)"
-    hits = records.select("contig_id", F.posexplode(F.regexp_extract_all("r", F.lit(place), F.lit(0))).alias("feature_id", "x"))
-    lo, hi = F.regexp_extract("x", r"<?(\d+)\.\.", 1).cast("long"), F.regexp_extract("x", r"\.\.>?(\d+)", 1).cast("long")
-    back = F.col("x").contains("complement(")
-    return contigs, hits.select("contig_id", F.col("feature_id").cast("long"), F.regexp_extract("x", r"(\w+)", 1).alias("type"), F.when(back, hi).otherwise(lo).alias("idx1"), F.when(back, lo).otherwise(hi).alias("idx2"))
-
-
+    # A feature: a key at column 6 and the lines after it that begin further right.
+    block = r"(?m)^ {5}\S[^\n]*(?:\n {6,}[^\n]*)*+"
+    hits = records.select("contig_id", F.posexplode(F.regexp_extract_all("r", F.lit(block), F.lit(0))).alias("feature_id", "x"))
+    hits = hits.withColumn("place", F.regexp_replace(F.regexp_extract("x", r"^ {5}\S+([^/]*)", 1), r"\s+", ""))
+    pieces = F.regexp_extract_all("place", F.lit(r"(?<![\w.:])<?\d+\.\.>?\d+"), F.lit(0))
+    end = lambda p, i: F.regexp_replace(F.split(p, r"\.\.")[i], "[<>]", "").cast("long")
+    hits = hits.withColumn("parts", F.transform(pieces, lambda p: F.struct(end(p, 0).alias("lo"), end(p, 1).alias("hi")))).where(F.size("parts") > 0)
+    lo, hi, back = F.array_min(F.col("parts.lo")), F.array_max(F.col("parts.hi")), F.col("place").contains("complement(")
+
+    def qualifier(name):
+        text = F.regexp_extract("x", rf'(?s)\n {{6,}}/{name}="((?:[^"]|"")*+)"', 1)
+        bare = F.regexp_extract("x", rf"\n {{6,}}/{name}=([^\"\s]+)", 1)
+        return F.nullif(F.replace(F.regexp_replace(F.concat(text, bare), r"\s*\n\s*", "" if name == "translation" else " "), F.lit('""'), F.lit('"')), F.lit("")).alias(name)
+
+    kind = F.regexp_extract("x", r"(\S+)", 1).alias("type")
+    return contigs, hits.select("contig_id", F.col("feature_id").cast("long"), kind, F.when(back, hi).otherwise(lo).alias("idx1"), F.when(back, lo).otherwise(hi).alias("idx2"), "parts", *map(qualifier, QUALIFIERS))
