@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..plans.models import Model
-from . import codons, hmm, intervals
+from . import codons, intervals, longpath
 from .state import settle
 
 BASES = "ACGT"
@@ -72,18 +72,28 @@ def statistics(genes: DataFrame, seq: str = "seq") -> tuple[dict, dict, dict]:
     return tuple({r["codon"]: r["n"] for r in d.collect()} for d in (inner, head, tail))
 
 
-def find(contigs: DataFrame, m: Model) -> DataFrame:
-    """contig_id, idx1, idx2 of the genes on both strands; reverse ones in forward coordinates with idx1 > idx2."""
+def find(contigs: DataFrame, m: Model, size: int = longpath.SIZE) -> DataFrame:
+    """contig_id, idx1, idx2 of the genes on both strands; reverse ones in forward coordinates with idx1 > idx2.
+
+    Contigs (contig_id, seq) may be of any length: strands are cut into parts of `size` bases and decoded by a scan over parts.
+    """
+    m = m.without_silent() if m.silent.any() else m
     strands = contigs.select("contig_id", F.char_length("seq").alias("len"), F.explode(F.array(F.struct(F.lit(False).alias("reverse"), F.col("seq").alias("s")), F.struct(F.lit(True).alias("reverse"), dna.reverse_complement(F.col("seq")).alias("s")))).alias("x"))
-    strands = strands.select("contig_id", "len", "x.reverse", dna.ints(F.col("x.s")).alias("obs")).withColumn("seq_id", F.xxhash64("contig_id", "reverse"))
-    gap = [i for i, n in enumerate(m.names) if n.startswith("intergenic")]
-    path = hmm.decode(strands, m).select("seq_id", F.posexplode("path").alias("pos", "state"))
-    path = path.withColumn("state", (~F.col("state").isin(gap)).cast("int"))
-    runs = intervals.islands(path, ["seq_id"], ["pos"], "state").where("state = 1").join(strands.drop("obs"), "seq_id")
+    strands = strands.select("contig_id", "len", "x.reverse", "x.s").withColumn("seq_id", F.xxhash64("contig_id", "reverse"))
+    parts = strands.where("len > 0").select("seq_id", "s", F.explode(F.sequence(F.lit(0), F.floor((F.col("len") - 1) / size).cast("int"))).alias("part"))
+    bases = dna.ints(F.substring(F.col("s"), F.col("part") * size + 1, F.lit(size)))
+    # A letter that is no base is a missing symbol.
+    parts = settle(parts.select("seq_id", F.col("part").cast("long").alias("part"), F.transform(bases, lambda x: F.coalesce(x, F.lit(m.symbols))).alias("obs")))
+    runs = genes_of(longpath.decode_parts(parts, m).withColumn("offset", F.col("part") * size), m).join(strands.drop("s"), "seq_id")
     first, last = F.col("first") + 1, F.col("last") + 1
     return runs.select("contig_id", F.when(F.col("reverse"), F.col("len") - first + 1).otherwise(first).alias("idx1"), F.when(F.col("reverse"), F.col("len") - last + 1).otherwise(last).alias("idx2"))
 
 
+def genes_of(paths: DataFrame, m: Model) -> DataFrame:
+    """seq_id, first, last (places from 0) of the runs of states that are not of a gap, of paths in parts."""
+    return longpath.runs(paths, [int(not n.startswith("intergenic")) for n in m.names]).where("kind = 1").drop("kind")
+
+
 def evaluate(truth: DataFrame, found: DataFrame, width: int = 10_000) -> DataFrame:
     """By strand: genes in truth and found, matched one to one by falling score, and how well they agree (see intervals.agreement)."""
     keys = ["contig_id", "reverse"]

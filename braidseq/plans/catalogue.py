@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna, numeric
-from ..operators import codons, hmm, intervals, sampling, sequences, training
+from ..operators import codons, genefinder, hmm, intervals, longpath, sampling, sequences, training
+from ..operators.state import settle
 from ..sources import text
 from . import models
 from .models import Model
@@ -368,6 +369,37 @@ def codon_model(spark, sf_dir):
     return models.tables(spark, {0: genefinder.genic(counts, starts, stops)})["transitions"]
 
 
+def viterbi_stream(spark, sf_dir):
+    """All events as one sequence, in parts: the best state of each place."""
+    e = table(spark, sf_dir, "events").select("ts", "event_id", F.array((F.array_position(F.array(*map(F.lit, TYPES)), F.col("event_type")) - 1).cast("int")).alias("obs"))
+    parts = longpath.gathered(longpath.one_contig(e, ["ts", "event_id"]), 1024)
+    d = longpath.decode_parts(parts, CALM)
+    return d.select((F.col("part") * 1024).alias("at"), F.posexplode("path").alias("pos", "state")).select((F.col("at") + F.col("pos")).alias("pos"), "state")
+
+
+def stream_loglik(spark, sf_dir):
+    """The best path's log-likelihood over all events as one sequence."""
+    e = table(spark, sf_dir, "events").select("ts", "event_id", F.array((F.array_position(F.array(*map(F.lit, TYPES)), F.col("event_type")) - 1).cast("int")).alias("obs"))
+    parts = longpath.gathered(longpath.one_contig(e, ["ts", "event_id"]), 1024)
+    return longpath.decode_parts(parts, CALM).groupBy("seq_id").agg(F.round(F.sum("logp"), 4).alias("logp"), F.sum(F.size("path")).alias("n"))
+
+
+def gene_model(counts: dict[str, int], gap: float = 300.0) -> Model:
+    """Genes of the counted codons between gaps; every codon, start and stop counts once more."""
+    inner = {a + b + c: counts.get(a + b + c, 0) + 1 for a in genefinder.BASES for b in genefinder.BASES for c in genefinder.BASES if a + b + c not in dna.STOPS}
+    starts, stops = ({c: counts.get(c, 0) + 1 for c in kind} for kind in (dna.STARTS, dna.STOPS))
+    return genefinder.joined(genefinder.genic(inner, starts, stops), genefinder.dumb_intergenic(gap), 1 / gap)
+
+
+def genes_of_corpus(spark, sf_dir):
+    """All documents' bases as one contig, in order of doc_id, and the genes found in it."""
+    d = strings(spark, sf_dir)
+    m = gene_model({r["codon"]: r["n"] for r in codons.codon_counts(d).collect()})
+    parts = settle(longpath.one_contig(d.select("doc_id", dna.ints(F.col("seq")).alias("obs")), ["doc_id"]))
+    paths = longpath.decode_parts(parts, m).join(parts.select("seq_id", "part", "offset"), ["seq_id", "part"])
+    return genefinder.genes_of(paths, m).select(F.col("first").alias("first_base"), F.col("last").alias("last_base"))
+
+
 _ORDERED = """ord AS (SELECT user_id, CAST(list_position(['click','error','purchase','signup','view'], event_type) - 1 AS INTEGER) AS sym, CAST(value AS DOUBLE) AS value,
  ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events)"""
 _BASES = "s AS (SELECT doc_id, lang, regexp_replace(lower(text), '[^acgt]', '', 'g') AS seq FROM documents)"
@@ -406,6 +438,9 @@ _VITERBI = f"""WITH RECURSIVE {_ORDERED},
  CASE WHEN {_VIT_STEP[0][1]} > {_VIT_STEP[0][0]} THEN v.w1 ELSE v.w0 END || '0', CASE WHEN {_VIT_STEP[1][1]} > {_VIT_STEP[1][0]} THEN v.w1 ELSE v.w0 END || '1'
  FROM v JOIN ord o ON o.user_id = v.user_id AND o.t = v.t + 1)"""
 
+#: All events as one sequence.
+_STREAM = _VITERBI.replace("PARTITION BY user_id ORDER BY ts", "ORDER BY ts").replace("SELECT user_id, t, ", "SELECT t, ").replace("SELECT o.user_id, o.t, ", "SELECT o.t, ").replace("o.user_id = v.user_id AND ", "").replace("ord AS (", "ord AS MATERIALIZED (")
+
 
 def _posterior_sql(most: int | None) -> str:
     """f (forward) and g (backward, scaled by its own sums) up to a place."""
@@ -504,6 +539,8 @@ SQL: dict[str, str] = {
     "gauss_loglik": _GAUSS_SQL,
     "normal_densities": f"SELECT event_id, round(exp(-(value - 50.0) * (value - 50.0) / 1800.0) / sqrt({2 * np.pi * 900!r}), 9) AS density FROM (SELECT event_id, CAST(value AS DOUBLE) AS value FROM events)",
     "em_one_step": _em_sql(),
+    "viterbi_stream": f"{_STREAM}, best AS (SELECT CASE WHEN d1 > d0 THEN w1 ELSE w0 END AS path FROM v ORDER BY t DESC LIMIT 1) SELECT o.t - 1 AS pos, CAST(substr(path, CAST(o.t AS BIGINT), 1) AS INTEGER) AS state FROM ord o, best",
+    "stream_loglik": f"{_STREAM} SELECT CAST(0 AS BIGINT) AS seq_id, round(GREATEST(d0, d1), 4) AS logp, t AS n FROM v ORDER BY t DESC LIMIT 1",
     "mean_sequence": f"WITH {_ORDERED} SELECT CAST(t - 1 AS INTEGER) AS pos, round(sum(value) / (SELECT count(DISTINCT user_id) FROM events), 6) AS mean, count(*) AS n FROM ord WHERE t <= 50 GROUP BY t",
     "scatter_matrix": f"WITH {_ORDERED}, d AS (SELECT user_id, t, value - avg(value) OVER (PARTITION BY t) AS x FROM ord WHERE t <= 8) SELECT CAST(a.t - 1 AS INTEGER) AS i, CAST(b.t - 1 AS INTEGER) AS j, round(sum(a.x * b.x), 4) AS s, count(*) AS n FROM d a JOIN d b USING (user_id) GROUP BY a.t, b.t",
     "bernoulli_split": "SELECT CASE WHEN (event_id * 2654435761) % 1000 < 700 THEN 'train' ELSE 'test' END AS part, count(*) AS n FROM events GROUP BY 1",
@@ -517,6 +554,6 @@ QUERIES = {
         nt_counts, nt_shares, codon_frames, codon_rollup, revcomp_start_stop, codon_types, event_sequences, sequence_profile, gap_lengths, gap_list, contained, lengths_by_strand, mirrored,
         islands_by_type, overlap_pairs, overlap_match, unmatched, overlap_pairs_whole, overlap_match_whole, unmatched_whole, greedy_match, match_agreement, plotted, listed_symbols, xml_symbols, uncovered_cuts, transition_counts, kgram_background, forward_loglik, forward_loglik_fold, backward_loglik, silent_loglik,
         viterbi_logp, viterbi_states, posterior_states, posterior_states_whole, model_scores, best_model, set_likelihood, gauss_loglik, normal_densities, em_one_step, em_trained, gauss_trained, model_clusters,
-        model_mixture, sampled_like_users, pair_alignments, mean_sequence, mean_sequence_whole, scatter_matrix, scatter_matrix_whole, bernoulli_split, model_normalize, base_vectors, codon_model,
+        model_mixture, sampled_like_users, pair_alignments, mean_sequence, mean_sequence_whole, scatter_matrix, scatter_matrix_whole, bernoulli_split, model_normalize, base_vectors, codon_model, viterbi_stream, stream_loglik, genes_of_corpus,
     )
 }
