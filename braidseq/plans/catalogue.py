@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna, numeric
-from ..operators import codons, genefinder, hmm, intervals, longpath, sampling, sequences, training
+from ..operators import codons, discriminative, genefinder, hmm, intervals, longpath, pairs, sampling, sequences, training
 from ..operators.state import settle
 from ..sources import text
 from . import models
@@ -400,6 +400,61 @@ def genes_of_corpus(spark, sf_dir):
     return genefinder.genes_of(paths, m).select(F.col("first").alias("first_base"), F.col("last").alias("last_base"))
 
 
+def labelled_seqs(spark, sf_dir) -> DataFrame:
+    """Event sequences labelled by whether the user's values are 50 or more on average."""
+    kind = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("seq_id")).agg((F.avg(F.col("value").cast("double")) >= 50).cast("int").alias("label"))
+    return event_seqs(spark, sf_dir).join(kind, "seq_id")
+
+
+def class_margins(spark, sf_dir):
+    """How well two models tell each sequence's class, and how much it weighs in training against the other class."""
+    d = discriminative.margin_table(labelled_seqs(spark, sf_dir), [CALM, BRISK])
+    return d.select("seq_id", "label", *[F.round(c, 6).alias(c) for c in ("margin", "performance", "slope")], "best")
+
+
+def class_errors(spark, sf_dir):
+    return discriminative.errors(labelled_seqs(spark, sf_dir), [CALM, BRISK])
+
+
+def _told_apart(spark, sf_dir, form):
+    fitted, seen = discriminative.train(labelled_seqs(spark, sf_dir), [CALM, BRISK], form)
+    t = models.tables(spark, dict(enumerate(fitted)))["transitions"]
+    return t.select("model_id", "src", "dst", "p", F.lit(seen[0]).alias("before"), F.lit(seen[-1]).alias("after"))
+
+
+def told_apart_gradient(spark, sf_dir):
+    return _told_apart(spark, sf_dir, "gradient")
+
+
+def told_apart_closed(spark, sf_dir):
+    return _told_apart(spark, sf_dir, "closed")
+
+
+#: Match, x only, y only; after an error (symbol 1) on either side gaps are likelier.
+PAIRS = pairs.PairModel.of(
+    [0.8, 0.1, 0.1], [[[0.8, 0.1, 0.1], [0.7, 0.3, 0.0], [0.7, 0.0, 0.3]], [[0.4, 0.3, 0.3], [0.3, 0.7, 0.0], [0.3, 0.0, 0.7]]], [(1, 1), (1, 0), (0, 1)],
+    [np.where(np.eye(5) > 0, 0.16, 0.01), np.full((5, 1), 0.2), np.full((1, 5), 0.2)], class_of=lambda state, cell: ((cell.x == 1) | (cell.y == 1)).astype(int),
+)
+
+
+def _neighbours(spark, sf_dir):
+    s = event_seqs(spark, sf_dir).select("seq_id", F.col("obs").alias("x"))
+    return s.join(s.select((F.col("seq_id") - 1).alias("seq_id"), F.col("x").alias("y")), "seq_id")
+
+
+def pair_classes(spark, sf_dir):
+    """Each user's symbols against the next user's under a pair model with transition classes; large tables are divided."""
+    d = pairs.align(_neighbours(spark, sf_dir), PAIRS, most=1 << 11)
+    return d.select("seq_id", F.concat_ws("", F.transform("path", lambda x: x.cast("string"))).alias("path"), F.round("logp", 5).alias("logp"))
+
+
+def pair_path_logp(spark, sf_dir):
+    """Log-likelihood of the alignments that pair_classes finds, from their paths."""
+    both = _neighbours(spark, sf_dir)
+    d = pairs.path_logp(both.join(pairs.align(both, PAIRS), "seq_id").drop("logp"), PAIRS)
+    return d.select("seq_id", F.round("logp", 5).alias("logp"))
+
+
 _ORDERED = """ord AS (SELECT user_id, CAST(list_position(['click','error','purchase','signup','view'], event_type) - 1 AS INTEGER) AS sym, CAST(value AS DOUBLE) AS value,
  ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events)"""
 _BASES = "s AS (SELECT doc_id, lang, regexp_replace(lower(text), '[^acgt]', '', 'g') AS seq FROM documents)"
@@ -441,6 +496,39 @@ _VITERBI = f"""WITH RECURSIVE {_ORDERED},
 #: All events as one sequence.
 _STREAM = _VITERBI.replace("PARTITION BY user_id ORDER BY ts", "ORDER BY ts").replace("SELECT user_id, t, ", "SELECT t, ").replace("SELECT o.user_id, o.t, ", "SELECT o.t, ").replace("o.user_id = v.user_id AND ", "").replace("ord AS (", "ord AS MATERIALIZED (")
 
+_MARGINS = f"""WITH RECURSIVE {_ORDERED}, {_forward_cte(CALM)}, {_forward_cte(BRISK, 'h')}, x AS (SELECT user_id, l FROM f {_LAST}), y AS (SELECT user_id, l FROM h {_LAST}),
+ k AS (SELECT user_id, CASE WHEN avg(CAST(value AS DOUBLE)) >= 50 THEN 1 ELSE 0 END AS label FROM events GROUP BY user_id),
+ g AS (SELECT user_id AS seq_id, label, CASE WHEN label = 0 THEN x.l - y.l ELSE y.l - x.l END AS margin, CASE WHEN y.l > x.l THEN 1 ELSE 0 END AS best FROM x JOIN y USING (user_id) JOIN k USING (user_id))"""
+
+
+def _pairs_sql() -> str:
+    """Antidiagonal by antidiagonal: a row for each cell with the whole-number scores and the paths of its three states; two antidiagonals are carried."""
+    whole = lambda p: str(round(float(np.log(p)) * 2**30)) if p > 0 else "NULL"
+    step = []
+    for s, (dx, dy) in enumerate(PAIRS.steps):
+        # What leads into the cell comes from one cell: up and left, left, or up.
+        p = ("m", "l", "u")[s]
+        ways = [f"CASE WHEN i.xs = 1 OR i.ys = 1 THEN {p}.d{r} + {whole(PAIRS.a[1, r, s])} ELSE {p}.d{r} + {whole(PAIRS.a[0, r, s])} END" for r in range(3)]
+        said = f"CASE WHEN i.xs = i.ys THEN {whole(0.16)} ELSE {whole(0.01)} END" if s == 0 else whole(0.2)
+        step.append((ways, said, dx, dy))
+    low = "-4000000000000000000"
+    cols = []
+    for s, (ways, said, dx, dy) in enumerate(step):
+        w = [f"coalesce({x}, {low})" for x in ways]
+        first = f"i.u = {dx} AND i.v = {dy}"
+        top = f"greatest({', '.join(w)})"
+        p = ("m", "l", "u")[s]
+        cols.append(f"CASE WHEN {first} THEN {whole(PAIRS.start[s])} + {said} WHEN {top} > {low} THEN {top} + {said} END AS d{s}")
+        cols.append(f"CASE WHEN {first} THEN '{s}' WHEN {w[0]} = {top} THEN {p}.w0 || '{s}' WHEN {w[1]} = {top} THEN {p}.w1 || '{s}' ELSE {p}.w2 || '{s}' END AS w{s}")
+    return f"""WITH RECURSIVE {_ORDERED}, n AS (SELECT user_id, max(t) AS n FROM ord GROUP BY user_id),
+ syms AS (SELECT a.user_id AS seq_id, a.n AS nx, b.n AS ny FROM n a JOIN n b ON b.user_id = a.user_id + 1),
+ cells AS MATERIALIZED (SELECT p.seq_id, u, v, u + v AS t, x.sym AS xs, y.sym AS ys FROM syms p, LATERAL (SELECT unnest(range(0, p.nx + 1)) AS u), LATERAL (SELECT unnest(range(0, p.ny + 1)) AS v) LEFT JOIN ord x ON x.user_id = p.seq_id AND x.t = u LEFT JOIN ord y ON y.user_id = p.seq_id + 1 AND y.t = v),
+ d AS (SELECT seq_id, CAST(0 AS BIGINT) AS now, CAST(0 AS BIGINT) AS u, CAST(0 AS BIGINT) AS v, CAST(NULL AS BIGINT) AS d0, CAST(NULL AS VARCHAR) AS w0, CAST(NULL AS BIGINT) AS d1, CAST(NULL AS VARCHAR) AS w1, CAST(NULL AS BIGINT) AS d2, CAST(NULL AS VARCHAR) AS w2 FROM syms
+ UNION ALL (WITH held AS (SELECT * FROM d), top AS (SELECT seq_id, max(now) AS now FROM held GROUP BY seq_id),
+ fresh AS (SELECT i.seq_id, i.t AS now, i.u, i.v, {', '.join(cols)} FROM top JOIN cells i ON i.seq_id = top.seq_id AND i.t = top.now + 1 LEFT JOIN held m ON m.seq_id = i.seq_id AND m.u = i.u - 1 AND m.v = i.v - 1 LEFT JOIN held l ON l.seq_id = i.seq_id AND l.u = i.u - 1 AND l.v = i.v LEFT JOIN held u ON u.seq_id = i.seq_id AND u.u = i.u AND u.v = i.v - 1)
+ SELECT * FROM fresh UNION ALL SELECT held.* FROM held JOIN top USING (seq_id) WHERE held.now = top.now AND EXISTS (SELECT 1 FROM fresh WHERE fresh.seq_id = held.seq_id))),
+ ends AS (SELECT DISTINCT seq_id, greatest(coalesce(d0, {low}), coalesce(d1, {low}), coalesce(d2, {low})) AS l, CASE WHEN coalesce(d0, {low}) >= greatest(coalesce(d1, {low}), coalesce(d2, {low})) THEN w0 WHEN coalesce(d1, {low}) >= coalesce(d2, {low}) THEN w1 ELSE w2 END AS path FROM d JOIN syms USING (seq_id) WHERE u = nx AND v = ny AND now = u + v)"""
+
 
 def _posterior_sql(most: int | None) -> str:
     """f (forward) and g (backward, scaled by its own sums) up to a place."""
@@ -498,6 +586,8 @@ def _bases_sql(expr: str) -> str:
     return " UNION ALL ".join(f"SELECT '{strand}' AS strand, '{b}' AS base, CAST(sum(length({e}) - length(replace({e}, '{b}', ''))) AS BIGINT) AS n FROM s" for strand, e in (("direct", "seq"), ("reverse", _RC)) for b in "acgt")
 
 
+_PAIRS_SQL = _pairs_sql()
+
 SQL: dict[str, str] = {
     "nt_counts": f"WITH {_BASES} {_bases_sql('seq')}",
     "nt_shares": f"WITH {_BASES} SELECT lang, " + ", ".join(f"round(sum(length(seq) - length(replace(seq, '{b}', ''))) / sum(length(seq)), 9) AS share_{b}" for b in "acgt") + " FROM s GROUP BY lang",
@@ -539,6 +629,10 @@ SQL: dict[str, str] = {
     "gauss_loglik": _GAUSS_SQL,
     "normal_densities": f"SELECT event_id, round(exp(-(value - 50.0) * (value - 50.0) / 1800.0) / sqrt({2 * np.pi * 900!r}), 9) AS density FROM (SELECT event_id, CAST(value AS DOUBLE) AS value FROM events)",
     "em_one_step": _em_sql(),
+    "class_margins": f"{_MARGINS} SELECT seq_id, label, round(margin, 6) AS margin, round(1 / (1 + exp(-margin)), 6) AS performance, round(1 / (1 + exp(-margin)) * (1 - 1 / (1 + exp(-margin))), 6) AS slope, best FROM g",
+    "class_errors": f"{_MARGINS} SELECT k AS label, count(*) FILTER (label = k) AS n, count(*) FILTER (label = k AND best <> k) AS false_negatives, count(*) FILTER (best = k AND label <> k) AS false_positives FROM g, (VALUES (0), (1)) c(k) WHERE label = k OR best = k GROUP BY k",
+    "pair_classes": f"{_PAIRS_SQL} SELECT seq_id, path, round(l / {2**30}.0, 5) AS logp FROM ends",
+    "pair_path_logp": f"{_PAIRS_SQL} SELECT seq_id, round(l / {2**30}.0, 5) AS logp FROM ends",
     "viterbi_stream": f"{_STREAM}, best AS (SELECT CASE WHEN d1 > d0 THEN w1 ELSE w0 END AS path FROM v ORDER BY t DESC LIMIT 1) SELECT o.t - 1 AS pos, CAST(substr(path, CAST(o.t AS BIGINT), 1) AS INTEGER) AS state FROM ord o, best",
     "stream_loglik": f"{_STREAM} SELECT CAST(0 AS BIGINT) AS seq_id, round(GREATEST(d0, d1), 4) AS logp, t AS n FROM v ORDER BY t DESC LIMIT 1",
     "mean_sequence": f"WITH {_ORDERED} SELECT CAST(t - 1 AS INTEGER) AS pos, round(sum(value) / (SELECT count(DISTINCT user_id) FROM events), 6) AS mean, count(*) AS n FROM ord WHERE t <= 50 GROUP BY t",
@@ -554,6 +648,6 @@ QUERIES = {
         nt_counts, nt_shares, codon_frames, codon_rollup, revcomp_start_stop, codon_types, event_sequences, sequence_profile, gap_lengths, gap_list, contained, lengths_by_strand, mirrored,
         islands_by_type, overlap_pairs, overlap_match, unmatched, overlap_pairs_whole, overlap_match_whole, unmatched_whole, greedy_match, match_agreement, plotted, listed_symbols, xml_symbols, uncovered_cuts, transition_counts, kgram_background, forward_loglik, forward_loglik_fold, backward_loglik, silent_loglik,
         viterbi_logp, viterbi_states, posterior_states, posterior_states_whole, model_scores, best_model, set_likelihood, gauss_loglik, normal_densities, em_one_step, em_trained, gauss_trained, model_clusters,
-        model_mixture, sampled_like_users, pair_alignments, mean_sequence, mean_sequence_whole, scatter_matrix, scatter_matrix_whole, bernoulli_split, model_normalize, base_vectors, codon_model, viterbi_stream, stream_loglik, genes_of_corpus,
+        model_mixture, sampled_like_users, pair_alignments, mean_sequence, mean_sequence_whole, scatter_matrix, scatter_matrix_whole, bernoulli_split, model_normalize, base_vectors, codon_model, viterbi_stream, stream_loglik, genes_of_corpus, class_margins, class_errors, told_apart_gradient, told_apart_closed, pair_classes, pair_path_logp,
     )
 }
