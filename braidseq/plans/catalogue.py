@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna, numeric
-from ..operators import codons, discriminative, genefinder, hmm, intervals, longpath, pairs, sampling, sequences, training
+from ..operators import codons, discriminative, genefinder, hmm, intervals, longpath, pairs, sampling, sequences, switching, training
 from ..operators.state import settle
 from ..sources import text
 from . import models
@@ -455,6 +455,15 @@ def pair_path_logp(spark, sf_dir):
     return d.select("seq_id", F.round("logp", 5).alias("logp"))
 
 
+#: Talk, a silent pause, answer; when the visits to the last two are 3 or 4 more than a multiple of 5, the second class holds.
+SWITCHED = switching.in_classes([PAUSED, Model.of(PAUSED.pi, [[0.4, 0.6, 0.0], [0.0, 0.0, 1.0], [0.8, 0.0, 0.2]], PAUSED.b)])
+
+
+def switching_paths(spark, sf_dir):
+    d = switching.decode(event_seqs(spark, sf_dir), SWITCHED, [False, True, True], lambda count, t: (count % 5 >= 3).astype(int))
+    return d.select("seq_id", F.concat_ws("", F.transform("path", lambda x: x.cast("string"))).alias("path"), F.round("logp", 6).alias("logp"), F.col("count").alias("visits"))
+
+
 _ORDERED = """ord AS (SELECT user_id, CAST(list_position(['click','error','purchase','signup','view'], event_type) - 1 AS INTEGER) AS sym, CAST(value AS DOUBLE) AS value,
  ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events)"""
 _BASES = "s AS (SELECT doc_id, lang, regexp_replace(lower(text), '[^acgt]', '', 'g') AS seq FROM documents)"
@@ -529,6 +538,23 @@ def _pairs_sql() -> str:
  SELECT * FROM fresh UNION ALL SELECT held.* FROM held JOIN top USING (seq_id) WHERE held.now = top.now AND EXISTS (SELECT 1 FROM fresh WHERE fresh.seq_id = held.seq_id))),
  ends AS (SELECT DISTINCT seq_id, greatest(coalesce(d0, {low}), coalesce(d1, {low}), coalesce(d2, {low})) AS l, CASE WHEN coalesce(d0, {low}) >= greatest(coalesce(d1, {low}), coalesce(d2, {low})) THEN w0 WHEN coalesce(d1, {low}) >= coalesce(d2, {low}) THEN w1 ELSE w2 END AS path FROM d JOIN syms USING (seq_id) WHERE u = nx AND v = ny AND now = u + v)"""
 
+#: The best of three states, the lowest of equals.
+_TOP3 = "(CASE WHEN coalesce(d0, -1e300) >= greatest(coalesce(d1, -1e300), coalesce(d2, -1e300)) THEN 0 WHEN coalesce(d1, -1e300) >= coalesce(d2, -1e300) THEN 1 ELSE 2 END)"
+
+
+def _switching_sql() -> str:
+    """v: after each symbol the scores, visits and paths of talk (0), pause (1, silent) and answer (2)."""
+    a = SWITCHED.a
+    move = lambda q, i, j: f"{q}.d{i} + CASE WHEN {q}.c{i} % 5 >= 3 THEN {_log(a[1, i, j])} ELSE {_log(a[0, i, j])} END"
+    best = lambda q, i, j, to: f"coalesce({move(q, i, to)}, -1e300) >= coalesce({move(q, j, to)}, -1e300)"
+    pick = lambda q, i, j, to, x, y: f"CASE WHEN {best(q, i, j, to)} THEN {x} ELSE {y} END"
+    said = [f"ln({_b(PAUSED, j)})" for j in range(3) if j != 1]
+    spoken = f"""SELECT o.user_id, o.t, {pick('v', 0, 2, 0, move('v', 0, 0), move('v', 2, 0))} + {said[0]} AS d0, {pick('v', 0, 2, 0, 'v.c0', 'v.c2')} AS c0, {pick('v', 0, 2, 0, 'v.w0', 'v.w2')} || '0' AS w0,
+ {pick('v', 1, 2, 2, move('v', 1, 2), move('v', 2, 2))} + {said[1]} AS d2, {pick('v', 1, 2, 2, 'v.c1', 'v.c2')} + 1 AS c2, {pick('v', 1, 2, 2, 'v.w1', 'v.w2')} || '2' AS w2 FROM v JOIN ord o ON o.user_id = v.user_id AND o.t = v.t + 1"""
+    begun = f"SELECT user_id, t, {said[0]} AS d0, CAST(0 AS BIGINT) AS c0, '0' AS w0, CAST(NULL AS DOUBLE) AS d2, CAST(0 AS BIGINT) AS c2, '' AS w2 FROM ord o WHERE t = 1"
+    paused = f"SELECT user_id, t, d0, {move('x', 0, 1)} AS d1, d2, c0, c0 + 1 AS c1, c2, w0, w0 || '1' AS w1, w2 FROM"
+    return f"WITH RECURSIVE {_ORDERED}, v AS ({paused} ({begun}) x UNION ALL {paused} ({spoken}) x)"
+
 
 def _posterior_sql(most: int | None) -> str:
     """f (forward) and g (backward, scaled by its own sums) up to a place."""
@@ -629,6 +655,7 @@ SQL: dict[str, str] = {
     "gauss_loglik": _GAUSS_SQL,
     "normal_densities": f"SELECT event_id, round(exp(-(value - 50.0) * (value - 50.0) / 1800.0) / sqrt({2 * np.pi * 900!r}), 9) AS density FROM (SELECT event_id, CAST(value AS DOUBLE) AS value FROM events)",
     "em_one_step": _em_sql(),
+    "switching_paths": f"{_switching_sql()}, e AS (SELECT * FROM v {_LAST}) SELECT user_id AS seq_id, CASE WHEN {_TOP3} = 0 THEN w0 WHEN {_TOP3} = 1 THEN w1 ELSE w2 END AS path, round(greatest(coalesce(d0, -1e300), coalesce(d1, -1e300), coalesce(d2, -1e300)), 6) AS logp, CASE WHEN {_TOP3} = 0 THEN c0 WHEN {_TOP3} = 1 THEN c1 ELSE c2 END AS visits FROM e",
     "class_margins": f"{_MARGINS} SELECT seq_id, label, round(margin, 6) AS margin, round(1 / (1 + exp(-margin)), 6) AS performance, round(1 / (1 + exp(-margin)) * (1 - 1 / (1 + exp(-margin))), 6) AS slope, best FROM g",
     "class_errors": f"{_MARGINS} SELECT k AS label, count(*) FILTER (label = k) AS n, count(*) FILTER (label = k AND best <> k) AS false_negatives, count(*) FILTER (best = k AND label <> k) AS false_positives FROM g, (VALUES (0), (1)) c(k) WHERE label = k OR best = k GROUP BY k",
     "pair_classes": f"{_PAIRS_SQL} SELECT seq_id, path, round(l / {2**30}.0, 5) AS logp FROM ends",
@@ -648,6 +675,6 @@ QUERIES = {
         nt_counts, nt_shares, codon_frames, codon_rollup, revcomp_start_stop, codon_types, event_sequences, sequence_profile, gap_lengths, gap_list, contained, lengths_by_strand, mirrored,
         islands_by_type, overlap_pairs, overlap_match, unmatched, overlap_pairs_whole, overlap_match_whole, unmatched_whole, greedy_match, match_agreement, plotted, listed_symbols, xml_symbols, uncovered_cuts, transition_counts, kgram_background, forward_loglik, forward_loglik_fold, backward_loglik, silent_loglik,
         viterbi_logp, viterbi_states, posterior_states, posterior_states_whole, model_scores, best_model, set_likelihood, gauss_loglik, normal_densities, em_one_step, em_trained, gauss_trained, model_clusters,
-        model_mixture, sampled_like_users, pair_alignments, mean_sequence, mean_sequence_whole, scatter_matrix, scatter_matrix_whole, bernoulli_split, model_normalize, base_vectors, codon_model, viterbi_stream, stream_loglik, genes_of_corpus, class_margins, class_errors, told_apart_gradient, told_apart_closed, pair_classes, pair_path_logp,
+        model_mixture, sampled_like_users, pair_alignments, mean_sequence, mean_sequence_whole, scatter_matrix, scatter_matrix_whole, bernoulli_split, model_normalize, base_vectors, codon_model, viterbi_stream, stream_loglik, genes_of_corpus, class_margins, class_errors, told_apart_gradient, told_apart_closed, pair_classes, pair_path_logp, switching_paths,
     )
 }
