@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna, numeric
-from ..operators import codons, discriminative, genefinder, hmm, intervals, longpath, pairs, sampling, sequences, switching, training
+from ..operators import codons, discriminative, gapmodels, genefinder, hmm, intervals, longpath, pairs, profiles, sampling, selection, sequences, switching, training
 from ..operators.state import settle
 from ..sources import text
 from . import models
@@ -464,6 +464,68 @@ def switching_paths(spark, sf_dir):
     return d.select("seq_id", F.concat_ws("", F.transform("path", lambda x: x.cast("string"))).alias("path"), F.round("logp", 6).alias("logp"), F.col("count").alias("visits"))
 
 
+def gap_hazards(spark, sf_dir):
+    """Rungs of a ladder of 30 from the lengths of the gaps between stays."""
+    g = intervals.gaps(stays(spark, sf_dir), ["contig_id"]).withColumn("len", F.col("gap_end") - F.col("gap_start") + 1)
+    return gapmodels.hazards(g, 30).select("rung", "n", "reached", F.round("hazard", 9).alias("hazard"), F.round("mean", 6).alias("mean"))
+
+
+def gap_loop(spark, sf_dir):
+    """The loop of a one-state gap under which the gaps between stays are likeliest."""
+    g = intervals.gaps(stays(spark, sf_dir), ["contig_id"]).select(F.xxhash64("contig_id", "gap_start").alias("seq_id"), F.concat(F.array_repeat(F.lit(0), (F.col("gap_end") - F.col("gap_start") + 1).cast("int")), F.array(F.lit(1))).alias("obs"))
+    value, score = gapmodels.best_value(g, lambda p: Model.of([1.0, 0.0], [[p, 1 - p], [0.0, 1.0]], np.eye(2)))
+    return g.limit(1).select(F.round(F.lit(value), 5).alias("value"), F.round(F.lit(score), 3).alias("score"))
+
+
+def strand_gaps(spark, sf_dir):
+    s = stays(spark, sf_dir)
+    return gapmodels.count_gaps(s, s.select("contig_id").distinct().withColumn("len", F.lit(10500)))
+
+
+def regions(spark, sf_dir) -> DataFrame:
+    """Each document's string cut in what lies from its first atg to its last taa (genic) and what is left of it and right of it."""
+    s, n = F.col("seq"), F.char_length("seq")
+    a, e = F.instr(s, "atg"), n - F.instr(F.reverse(s), "aat") + 1
+    whole = (a > 0) & (F.instr(F.reverse(s), "aat") > 0) & (e >= a + 5)
+    item = lambda region, x: F.struct(F.lit(region).alias("region"), x.alias("seq"))
+    cut = F.array(item("genic", F.substr(s, a, e - a + 1)), item("intergenic", F.substr(s, F.lit(1), a - 1)), item("intergenic", F.substr(s, e + 1)))
+    return strings(spark, sf_dir).select("doc_id", F.explode(F.when(whole, cut).otherwise(F.array(item("intergenic", s)))).alias("x")).select("doc_id", "x.region", "x.seq")
+
+
+def codon_regions(spark, sf_dir):
+    """Codons of the whole strings, of their genic parts and of the rest."""
+    parts = regions(spark, sf_dir).unionByName(strings(spark, sf_dir).select("doc_id", F.lit("whole").alias("region"), "seq"))
+    d = codons.codon_counts(parts, by=["region"])
+    return d.select("region", "codon", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("region")), 9).alias("share"))
+
+
+def gene_ends(spark, sf_dir):
+    """First and last codons of the genic parts, and whether they are whole codons."""
+    s = F.upper("seq")
+    g = regions(spark, sf_dir).where("region = 'genic'").select(F.substring(s, 1, 3).alias("head"), F.substring(s, -3, 3).alias("tail"), (F.char_length("seq") % 3 == 0).alias("thirds"))
+    return g.groupBy("head", "tail", "thirds").agg(F.count("*").alias("n"))
+
+
+def genes_read_whole(spark, sf_dir):
+    """Genic parts that the gene model reads as one gene each."""
+    g = regions(spark, sf_dir).where("region = 'genic'").select(F.col("doc_id").alias("seq_id"), "seq")
+    counts = {r["codon"]: r["n"] for r in codons.codon_counts(g).collect()}
+    inner = {c: n for c, n in counts.items() if c not in dna.STOPS}
+    return gapmodels.genic_check(g, genefinder.genic(inner, {"ATG": 1}, {"TAA": 1}))
+
+
+def position_profiles(spark, sf_dir):
+    """Left-right chains of the event sequences, one for each class of users."""
+    d = profiles.positions(labelled_seqs(spark, sf_dir), "label")
+    return d.select(F.col("key").alias("label"), "pos", "symbol", "n", F.round("p", 9).alias("p"), F.round("go_on", 9).alias("go_on"))
+
+
+def mixture_selection(spark, sf_dir):
+    """Mixtures of one to three models, two repeats each."""
+    _, rows = selection.select(event_seqs(spark, sf_dir), selection.starts(CALM, [1, 2, 3], 2))
+    return spark.createDataFrame(rows, "k int, repeat int, steps int, train double, n_train double, test double, n_test double, free int, bic double")
+
+
 _ORDERED = """ord AS (SELECT user_id, CAST(list_position(['click','error','purchase','signup','view'], event_type) - 1 AS INTEGER) AS sym, CAST(value AS DOUBLE) AS value,
  ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events)"""
 _BASES = "s AS (SELECT doc_id, lang, regexp_replace(lower(text), '[^acgt]', '', 'g') AS seq FROM documents)"
@@ -602,6 +664,19 @@ _GREEDY = f"""WITH RECURSIVE {_STAYS}, sp AS (SELECT o_custkey AS contig_id, o_o
  taken AS (SELECT contig_id, x, y, score FROM g WHERE took)"""
 _GAPS = "before AS (SELECT contig_id, lo, max(hi) OVER (PARTITION BY contig_id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS h FROM iv), gaps AS (SELECT contig_id, h + 1 AS gap_start, lo - 1 AS gap_end FROM before WHERE h + 1 <= lo - 1)"
 
+_REGIONS = f"""{_BASES}, p AS (SELECT seq, strpos(seq, 'atg') AS a, length(seq) - strpos(reverse(seq), 'aat') + 1 AS e, strpos(reverse(seq), 'aat') > 0 AS ends FROM s),
+ q AS (SELECT *, a > 0 AND ends AND e >= a + 5 AS fine FROM p),
+ parts AS (SELECT 'genic' AS region, substr(seq, a, e - a + 1) AS x FROM q WHERE fine UNION ALL SELECT 'intergenic', substr(seq, 1, a - 1) FROM q WHERE fine UNION ALL SELECT 'intergenic', substr(seq, e + 1) FROM q WHERE fine UNION ALL SELECT 'intergenic', seq FROM q WHERE NOT fine)"""
+
+
+def _loop_sql() -> str:
+    """The grid of values, then ten times finer around the best, three times."""
+    score = "(total - n) * ln(v) + n * ln(1 - v)"
+    out = f"WITH {_STAYS}, {_GAPS}, t AS (SELECT sum(gap_end - gap_start + 1) AS total, count(*) AS n FROM gaps), b0 AS (SELECT v, {score} AS s FROM t, (SELECT round(0.01 * i, 9) AS v FROM range(1, 100) r(i)) ORDER BY s DESC, v LIMIT 1)"
+    for k in range(1, 4):
+        out += f", b{k} AS (SELECT v, {score} AS s FROM t, (SELECT round(b{k - 1}.v + {0.01 / 10**k!r} * i, 9) AS v FROM b{k - 1}, range(-10, 11) r(i)) WHERE v > 0 AND v < 1 ORDER BY s DESC, v LIMIT 1)"
+    return out + " SELECT round(v, 5) AS value, round(s, 3) AS score FROM b3"
+
 
 def _frames_sql() -> str:
     parts = [f"SELECT {k} AS frame, upper(substr({e}, CAST(i * 3 + 1 + {f} AS BIGINT), 3)) AS codon FROM s, range((length(seq) - {f}) // 3) r(i) WHERE length(seq) - {f} >= 3" for k, (e, f) in enumerate([(e, f) for e in ("seq", _RC) for f in range(3)], 1)]
@@ -655,6 +730,12 @@ SQL: dict[str, str] = {
     "gauss_loglik": _GAUSS_SQL,
     "normal_densities": f"SELECT event_id, round(exp(-(value - 50.0) * (value - 50.0) / 1800.0) / sqrt({2 * np.pi * 900!r}), 9) AS density FROM (SELECT event_id, CAST(value AS DOUBLE) AS value FROM events)",
     "em_one_step": _em_sql(),
+    "gap_hazards": f"WITH {_STAYS}, {_GAPS}, r AS (SELECT CAST(least(gap_end - gap_start + 1, 30) AS INTEGER) AS rung, count(*) AS n, avg(gap_end - gap_start + 1) AS mean FROM gaps GROUP BY 1), s AS (SELECT rung, n, mean, CAST(sum(n) OVER (ORDER BY rung DESC) AS BIGINT) AS reached FROM r) SELECT rung, n, reached, round(n / reached, 9) AS hazard, round(mean, 6) AS mean FROM s",
+    "gap_loop": _loop_sql(),
+    "strand_gaps": f"WITH {_STAYS}, f AS (SELECT contig_id, lo, hi, rev AND hi > lo AS back FROM iv), g AS (SELECT contig_id, count(*) FILTER (NOT back) AS d, count(*) FILTER (back) AS r, arg_max(hi, lo * 100000 + hi) FILTER (NOT back) AS last, arg_min(lo, lo * 100000 + hi) FILTER (back) AS first FROM f GROUP BY contig_id) SELECT contig_id, d + CASE WHEN coalesce(last + 1, 1) < 10500 THEN 1 ELSE 0 END AS direct, r + CASE WHEN coalesce(first - 1, 10500) > 1 THEN 1 ELSE 0 END AS reverse FROM g",
+    "codon_regions": f"WITH {_REGIONS}, every AS (SELECT region, x FROM parts UNION ALL SELECT 'whole', seq FROM s), c AS (SELECT region, upper(substr(x, CAST(i * 3 + 1 AS BIGINT), 3)) AS codon FROM every, range(length(x) // 3) r(i)) SELECT region, codon, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY region), 9) AS share FROM c GROUP BY region, codon",
+    "gene_ends": f"WITH {_REGIONS} SELECT upper(substr(x, 1, 3)) AS head, upper(right(x, 3)) AS tail, length(x) % 3 = 0 AS thirds, count(*) AS n FROM parts WHERE region = 'genic' GROUP BY ALL",
+    "position_profiles": f"WITH {_ORDERED}, k AS (SELECT user_id, CASE WHEN avg(CAST(value AS DOUBLE)) >= 50 THEN 1 ELSE 0 END AS label, count(*) AS size FROM events GROUP BY user_id), c AS (SELECT label, CAST(t - 1 AS INTEGER) AS pos, sym AS symbol, CAST(count(*) AS DOUBLE) AS n, count(*) FILTER (size > t) AS more FROM ord JOIN k USING (user_id) GROUP BY ALL) SELECT label, pos, symbol, n, round(n / sum(n) OVER (PARTITION BY label, pos), 9) AS p, round(sum(more) OVER (PARTITION BY label, pos) / sum(n) OVER (PARTITION BY label, pos), 9) AS go_on FROM c",
     "switching_paths": f"{_switching_sql()}, e AS (SELECT * FROM v {_LAST}) SELECT user_id AS seq_id, CASE WHEN {_TOP3} = 0 THEN w0 WHEN {_TOP3} = 1 THEN w1 ELSE w2 END AS path, round(greatest(coalesce(d0, -1e300), coalesce(d1, -1e300), coalesce(d2, -1e300)), 6) AS logp, CASE WHEN {_TOP3} = 0 THEN c0 WHEN {_TOP3} = 1 THEN c1 ELSE c2 END AS visits FROM e",
     "class_margins": f"{_MARGINS} SELECT seq_id, label, round(margin, 6) AS margin, round(1 / (1 + exp(-margin)), 6) AS performance, round(1 / (1 + exp(-margin)) * (1 - 1 / (1 + exp(-margin))), 6) AS slope, best FROM g",
     "class_errors": f"{_MARGINS} SELECT k AS label, count(*) FILTER (label = k) AS n, count(*) FILTER (label = k AND best <> k) AS false_negatives, count(*) FILTER (best = k AND label <> k) AS false_positives FROM g, (VALUES (0), (1)) c(k) WHERE label = k OR best = k GROUP BY k",
@@ -676,5 +757,6 @@ QUERIES = {
         islands_by_type, overlap_pairs, overlap_match, unmatched, overlap_pairs_whole, overlap_match_whole, unmatched_whole, greedy_match, match_agreement, plotted, listed_symbols, xml_symbols, uncovered_cuts, transition_counts, kgram_background, forward_loglik, forward_loglik_fold, backward_loglik, silent_loglik,
         viterbi_logp, viterbi_states, posterior_states, posterior_states_whole, model_scores, best_model, set_likelihood, gauss_loglik, normal_densities, em_one_step, em_trained, gauss_trained, model_clusters,
         model_mixture, sampled_like_users, pair_alignments, mean_sequence, mean_sequence_whole, scatter_matrix, scatter_matrix_whole, bernoulli_split, model_normalize, base_vectors, codon_model, viterbi_stream, stream_loglik, genes_of_corpus, class_margins, class_errors, told_apart_gradient, told_apart_closed, pair_classes, pair_path_logp, switching_paths,
+        gap_hazards, gap_loop, strand_gaps, codon_regions, gene_ends, genes_read_whole, position_profiles, mixture_selection,
     )
 }
