@@ -274,38 +274,63 @@ def classify(seqs: DataFrame, models: dict[int, Model]) -> DataFrame:
 
 
 def kbest(seqs: DataFrame, m: Model, k: int = 3, threshold: float = log(0.03)) -> DataFrame:
-    """seq_id, labels, logp: the most probable labelling found with k hypotheses per state, each the sum over its paths."""
-
-    def best(obs):
-        b = emissions(m, np.array([obs], float))[0]
-        hypotheses, start = {}, m.a[0][0] if m.from_first else m.pi
-        for s in range(m.n):
-            if start[s] * b[0, s] > 0:
-                hypotheses.setdefault((m.labels[s],), np.zeros(m.n))[s] = start[s] * b[0, s]
-        shift = 0.0
-        for t in range(1, len(obs)):
-            new = {}
-            for h, g in hypotheses.items():
-                x = (g @ m.a[classes(m, t)]) * b[t]
-                for s in np.flatnonzero(x):
-                    new.setdefault((*h, m.labels[s]), np.zeros(m.n))[s] = x[s]
-            if not new:
-                return None, None
-            keep, top = set(), max(g.max() for g in new.values())
-            for s in range(m.n):
-                ranked = sorted((h for h in new if new[h][s] > top * np.exp(threshold) * 1e-12), key=lambda h: (-new[h][s], h))
-                keep |= set(ranked[:k])
-            hypotheses = {h: new[h] / top for h in keep}
-            shift += log(top)
-        if not hypotheses:
-            return None, None
-        h = min(hypotheses, key=lambda x: (-hypotheses[x].sum(), x))
-        return list(h), shift + log(hypotheses[h].sum())
+    """seq_id, labels, logp: the most probable labelling found with k hypotheses per state, each the sum over its paths.
+
+    A hypothesis goes on if in some state it is among the k best and not below `threshold` (a logarithm) of that state's best. The hypotheses
+    of all sequences of a batch go on together; each knows its parent, so they share their beginnings. Equal ones go in order of their labels.
+    """
+    labels = np.array(m.labels)
+    names = np.unique(labels)
+    share = np.exp(threshold)
+
+    def batch(obs, n):
+        b, count = emissions(m, obs), len(obs)
+        start = m.a[0][0] if m.from_first else m.pi
+        own, g, steps = np.arange(count)[n > 0], None, []
+        shift, found = np.zeros(count), [([], 0.0) if not n[i] else (None, None) for i in range(count)]
+        for t in range(obs.shape[1]):
+            x = np.tile(start, (len(own), 1)) * b[own, t] if t == 0 else (g @ m.a[classes(m, t)]) * b[own, t]
+            # Every hypothesis is followed by each label, in order of the labels.
+            parent, label = np.repeat(np.arange(len(x)), len(names)), np.tile(names, len(x))
+            x = np.where(labels[None] == label[:, None], x[parent], 0.0)
+            live = x.max(axis=1) > 0
+            parent, label, x = parent[live], label[live], x[live]
+            seq = own[parent]
+            if len(x):
+                begin = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
+                group = np.cumsum(np.concatenate([[False], seq[1:] != seq[:-1]]))
+                keep = np.zeros(len(x), bool)
+                for s in range(m.n):
+                    order = np.lexsort((np.arange(len(x)), -x[:, s], seq))
+                    best = x[order[begin], s]
+                    rank = np.arange(len(x)) - begin[group]
+                    keep[order] |= (rank < k) & (x[order, s] > 0) & (x[order, s] >= share * best[group])
+                top = np.maximum.reduceat(x.max(axis=1), begin)
+                x = x / top[group][:, None]
+                shift[seq[begin]] += np.log(top)
+                parent, label, x, seq = parent[keep], label[keep], x[keep], seq[keep]
+            steps.append((parent, label))
+            for i in np.unique(seq[n[seq] == t + 1]).tolist():
+                at = np.flatnonzero(seq == i)
+                total = x[at].sum(axis=1)
+                h, path = int(at[total.argmax()]), []
+                for up, names_of in reversed(steps):
+                    path.append(int(names_of[h]))
+                    h = int(up[h])
+                found[i] = (path[::-1], float(shift[i] + np.log(total.max())))
+            on = n[seq] > t + 1
+            # Hypotheses of sequences that have ended go; the places of the others in this step are kept for their children.
+            steps[-1] = (parent[on], label[on])
+            own, g = seq[on], x[on]
+            if not len(own):
+                break
+        return found
 
     def run(frames):
         for frame in frames:
-            got = [best(o) if o is not None and len(o) else ([], 0.0) for o in frame["obs"]]
-            yield pd.DataFrame({"seq_id": frame["seq_id"], "labels": [g[0] for g in got], "logp": [g[1] for g in got]})
+            for rows, obs, n in padded(frame, 1 << 18):
+                got = batch(obs, n)
+                yield pd.DataFrame({"seq_id": frame["seq_id"].to_numpy()[rows], "labels": [x[0] for x in got], "logp": [x[1] for x in got]})
 
     return seqs.select("seq_id", "obs").mapInPandas(run, "seq_id long, labels array<int>, logp double")
 

@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.models import Model
-from .hmm import classes, loglik
+from .hmm import classes, emissions, forward, loglik, padded
 
 
-def draw(m: Model, length: int, rng: np.random.Generator) -> tuple[list, list[int]]:
-    """Observations and states; a state without a way out ends the sequence."""
-    obs, path = [], []
-    s, t = (0 if m.from_first else int(rng.choice(m.n, p=m.pi))), 0
-    moved = not m.from_first
+def draw(m: Model, length: int, rng: np.random.Generator, begun: tuple[list, int] | None = None) -> tuple[list, list[int]]:
+    """Observations and states; a state without a way out ends the sequence. begun: observations to go on from, and the state that gave the last."""
+    obs, path = (list(begun[0]), [None] * (len(begun[0]) - 1) + [begun[1]]) if begun else ([], [])
+    s, t = begun[1] if begun else 0 if m.from_first else int(rng.choice(m.n, p=m.pi)), len(obs)
+    moved = not (begun or m.from_first)
     while t < length:
         if not moved:
             row = m.a[classes(m, t), s]
@@ -54,6 +54,57 @@ def generate(ids: DataFrame, m: Model, length: int = 100_000, seed: int = 1) ->
     return ids.mapInPandas(run, f"seq_id long, obs array<{'int' if m.b is not None else 'double'}>, states array<int>")
 
 
+def _last_states(m: Model, obs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(sequences, states): distribution of the state of the last symbol; nan where the sequence is impossible."""
+    alpha, _, logp = forward(m, emissions(m, obs), lengths)
+    p = alpha[np.arange(len(obs)), np.maximum(lengths - 1, 0)] * ~m.silent
+    total = p.sum(axis=1, keepdims=True)
+    return np.where(np.isnan(logp)[:, None] | (total <= 0), np.nan, np.divide(p, total, out=np.zeros_like(p), where=total > 0))
+
+
+def extended(seqs: DataFrame, m: Model, length: int = 100_000, seed: int = 1) -> DataFrame:
+    """seq_id, obs, states: each sequence drawn on to `length` symbols (a column `len` gives each its own) from the state distribution at its end.
+
+    states are null before the given last symbol. A sequence that is as long already stays; an empty one is drawn from its beginning; an impossible one gives null.
+    """
+    def run(frames):
+        for frame in frames:
+            sizes = frame["len"].to_numpy() if "len" in frame else np.full(len(frame), length)
+            for rows, obs, n in padded(frame):
+                last, out = _last_states(m, obs, n), []
+                for i, r in enumerate(rows):
+                    own = [] if not n[i] else list(frame["obs"].iloc[r])
+                    rng = np.random.default_rng([seed, int(frame["seq_id"].iloc[r])])
+                    if not n[i]:
+                        out.append(draw(m, int(sizes[r]), rng))
+                    elif np.isnan(last[i, 0]):
+                        out.append((None, None))
+                    else:
+                        out.append(draw(m, int(sizes[r]), rng, (own, int(rng.choice(m.n, p=last[i])))))
+                yield pd.DataFrame({"seq_id": frame["seq_id"].to_numpy()[rows], "obs": [g[0] for g in out], "states": [g[1] for g in out]})
+
+    keep = ["seq_id", "obs", *(["len"] if "len" in seqs.columns else [])]
+    return seqs.select(*keep).mapInPandas(run, f"seq_id long, obs array<{'int' if m.b is not None else 'double'}>, states array<int>")
+
+
+def next_symbols(seqs: DataFrame, m: Model) -> DataFrame:
+    """seq_id, symbol, p: distribution of the symbol after each sequence, given that one follows; none for impossible or empty sequences, or after a last state that ends."""
+    if m.b is None or m.order or len(m.a) > 1:
+        raise ValueError("a discrete model of one class without history")
+    m = m.without_silent() if m.silent.any() else m
+
+    def run(frames):
+        for frame in frames:
+            for rows, obs, n in padded(frame):
+                p = _last_states(m, obs, n) @ m.a[0] @ m.b
+                total = p.sum(axis=1)
+                good = np.flatnonzero((n > 0) & (total > 0))
+                ids = frame["seq_id"].to_numpy()[rows][good]
+                yield pd.DataFrame({"seq_id": np.repeat(ids, m.symbols), "symbol": np.tile(np.arange(m.symbols), len(good)), "p": (p[good] / total[good, None]).ravel()})
+
+    return seqs.select("seq_id", "obs").mapInPandas(run, "seq_id long, symbol int, p double")
+
+
 def words(spark: SparkSession, length: int, symbols: int) -> DataFrame:
     """All symbols ** length words in order: seq_id, obs."""
     digits = [(F.floor(F.col("id") / symbols ** (length - 1 - i)) % symbols).cast("int") for i in range(length)]

@@ -50,6 +50,10 @@ def counted(m: Model, obs, n, weight, allowed=None) -> dict[str, np.ndarray]:
         return out
     x = obs[..., None, None]
     part = m.c * np.exp(-((x - m.mu) ** 2) / (2 * m.var)) / np.sqrt(m.var)
+    if m.cut is not None:
+        from .truncated import above
+
+        part = part / above(m.cut, m.mu, m.var)
     s = part.sum(axis=-1, keepdims=True)
     part = np.divide(part, s, out=np.zeros_like(part), where=s > 0) * gamma[..., None]
     out |= {"c": part.sum(axis=(0, 1)), "x": (part * x).sum(axis=(0, 1)), "xx": (part * x * x).sum(axis=(0, 1))}
@@ -107,6 +111,12 @@ def maximized(m: Model, e: dict[str, np.ndarray]) -> Model:
     c = _share(e["c"], m.c)
     mu = np.where(some, e["x"] / np.where(some, e["c"], 1), m.mu)
     var = np.where(some, np.maximum(e["xx"] / np.where(some, e["c"], 1) - mu**2, LEAST_VARIANCE), m.var)
+    if m.cut is not None:
+        from .truncated import fitted
+
+        share = np.where(some, e["c"], 1)
+        cut_mu, cut_var = fitted(e["x"] / share, e["xx"] / share, m.cut, LEAST_VARIANCE)
+        mu, var = np.where(some, cut_mu, m.mu), np.where(some, cut_var, m.var)
     keep = fixed[:, None]
     return replace(m, pi=pi, a=a, c=np.where(keep, m.c, c), mu=np.where(keep, m.mu, mu), var=np.where(keep, m.var, var))
 

@@ -6,6 +6,8 @@ a, c, g, t of the documents' texts serve as nucleotide strings; intervals are or
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -526,6 +528,32 @@ def mixture_selection(spark, sf_dir):
     return spark.createDataFrame(rows, "k int, repeat int, steps int, train double, n_train double, test double, n_test double, free int, bic double")
 
 
+def next_symbol_shares(spark, sf_dir):
+    """Distribution of each user's next event."""
+    return sampling.next_symbols(event_seqs(spark, sf_dir), CALM).select("seq_id", "symbol", F.round("p", 9).alias("p"))
+
+
+def drawn_on(spark, sf_dir):
+    """Each user's events drawn on by ten."""
+    d = sampling.extended(event_seqs(spark, sf_dir).withColumn("len", F.size("obs") + 10), CALM)
+    return d.select("seq_id", F.size("obs").alias("len"), F.concat_ws("", F.transform(F.slice("obs", F.size("obs") - 9, F.lit(10)), lambda x: x.cast("string"))).alias("more"))
+
+
+#: Two calm states of one label, one busy one of another.
+LABELLED = Model.of([0.4, 0.3, 0.3], [[0.8, 0.1, 0.1], [0.1, 0.7, 0.2], [0.2, 0.1, 0.7]], [[0.5, 0.1, 0.2, 0.1, 0.1], [0.2, 0.1, 0.1, 0.1, 0.5], [0.1, 0.4, 0.1, 0.2, 0.2]], labels=(0, 0, 1))
+
+
+def kbest_labels(spark, sf_dir):
+    d = hmm.kbest(event_seqs(spark, sf_dir), LABELLED)
+    return d.select("seq_id", F.concat_ws("", F.transform("labels", lambda x: x.cast("string"))).alias("labels"), F.round("logp", 6).alias("logp"))
+
+
+def cut_trained(spark, sf_dir):
+    """GAUSS cut off below 0 and trained."""
+    m, logp = training.baum_welch(value_seqs(spark, sf_dir), replace(GAUSS, cut=0.0))
+    return models.tables(spark, {0: m})["components"].withColumn("logp", F.lit(float(logp)))
+
+
 _ORDERED = """ord AS (SELECT user_id, CAST(list_position(['click','error','purchase','signup','view'], event_type) - 1 AS INTEGER) AS sym, CAST(value AS DOUBLE) AS value,
  ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events)"""
 _BASES = "s AS (SELECT doc_id, lang, regexp_replace(lower(text), '[^acgt]', '', 'g') AS seq FROM documents)"
@@ -730,6 +758,7 @@ SQL: dict[str, str] = {
     "gauss_loglik": _GAUSS_SQL,
     "normal_densities": f"SELECT event_id, round(exp(-(value - 50.0) * (value - 50.0) / 1800.0) / sqrt({2 * np.pi * 900!r}), 9) AS density FROM (SELECT event_id, CAST(value AS DOUBLE) AS value FROM events)",
     "em_one_step": _em_sql(),
+    "next_symbol_shares": f"{_FORWARD}, e AS (SELECT user_id, p0 * {float(CALM.a[0, 0, 0])!r} + p1 * {float(CALM.a[0, 1, 0])!r} AS q0, p0 * {float(CALM.a[0, 0, 1])!r} + p1 * {float(CALM.a[0, 1, 1])!r} AS q1 FROM f {_LAST}), o(sym) AS (VALUES (0), (1), (2), (3), (4)) SELECT user_id AS seq_id, o.sym AS symbol, round(q0 * ({_b(CALM, 0)}) + q1 * ({_b(CALM, 1)}), 9) AS p FROM e, o",
     "gap_hazards": f"WITH {_STAYS}, {_GAPS}, r AS (SELECT CAST(least(gap_end - gap_start + 1, 30) AS INTEGER) AS rung, count(*) AS n, avg(gap_end - gap_start + 1) AS mean FROM gaps GROUP BY 1), s AS (SELECT rung, n, mean, CAST(sum(n) OVER (ORDER BY rung DESC) AS BIGINT) AS reached FROM r) SELECT rung, n, reached, round(n / reached, 9) AS hazard, round(mean, 6) AS mean FROM s",
     "gap_loop": _loop_sql(),
     "strand_gaps": f"WITH {_STAYS}, f AS (SELECT contig_id, lo, hi, rev AND hi > lo AS back FROM iv), g AS (SELECT contig_id, count(*) FILTER (NOT back) AS d, count(*) FILTER (back) AS r, arg_max(hi, lo * 100000 + hi) FILTER (NOT back) AS last, arg_min(lo, lo * 100000 + hi) FILTER (back) AS first FROM f GROUP BY contig_id) SELECT contig_id, d + CASE WHEN coalesce(last + 1, 1) < 10500 THEN 1 ELSE 0 END AS direct, r + CASE WHEN coalesce(first - 1, 10500) > 1 THEN 1 ELSE 0 END AS reverse FROM g",
@@ -757,6 +786,6 @@ QUERIES = {
         islands_by_type, overlap_pairs, overlap_match, unmatched, overlap_pairs_whole, overlap_match_whole, unmatched_whole, greedy_match, match_agreement, plotted, listed_symbols, xml_symbols, uncovered_cuts, transition_counts, kgram_background, forward_loglik, forward_loglik_fold, backward_loglik, silent_loglik,
         viterbi_logp, viterbi_states, posterior_states, posterior_states_whole, model_scores, best_model, set_likelihood, gauss_loglik, normal_densities, em_one_step, em_trained, gauss_trained, model_clusters,
         model_mixture, sampled_like_users, pair_alignments, mean_sequence, mean_sequence_whole, scatter_matrix, scatter_matrix_whole, bernoulli_split, model_normalize, base_vectors, codon_model, viterbi_stream, stream_loglik, genes_of_corpus, class_margins, class_errors, told_apart_gradient, told_apart_closed, pair_classes, pair_path_logp, switching_paths,
-        gap_hazards, gap_loop, strand_gaps, codon_regions, gene_ends, genes_read_whole, position_profiles, mixture_selection,
+        gap_hazards, gap_loop, strand_gaps, codon_regions, gene_ends, genes_read_whole, position_profiles, mixture_selection, next_symbol_shares, drawn_on, kbest_labels, cut_trained,
     )
 }
