@@ -144,6 +144,85 @@ def baum_welch(seqs: DataFrame, m: Model, steps: int = STEPS, gain: float = GAIN
         seqs.unpersist()
 
 
+def trained_apart(seqs: DataFrame, models: list[Model], steps: int = STEPS, gain: float = GAIN) -> list[Model]:
+    """Each model trained on the sequences of its own number (column model_id), all in one pass a step; each stops as baum_welch does.
+
+    A model without sequences stays. Its last step's gain decides when a model leaves; then only its sequences' counts are left out.
+    """
+    models = [m.without_silent() if m.silent.any() else m for m in models]
+    seqs = seqs.select("model_id", *[c for c in ("weight", "obs") if c in seqs.columns]).persist()
+    last, moving = dict.fromkeys(range(len(models)), -np.inf), set(range(len(models)))
+    try:
+        for _ in range(steps):
+            on = {k: models[k] for k in moving}
+
+            def run(frames, on=on):
+                total: dict = {}
+                for frame in frames:
+                    for k, m in on.items():
+                        own = frame[frame["model_id"] == k]
+                        if not len(own):
+                            continue
+                        weight = own["weight"].to_numpy(float) if "weight" in own else np.ones(len(own))
+                        for rows, obs, n in padded(own, 1 << 19):
+                            for name, value in counted(m, obs, n, weight[rows]).items():
+                                total[k, name] = total.get((k, name), 0) + value
+                if total:
+                    yield pd.concat([pd.DataFrame({"model": k, "name": name, "place": np.arange(v.size), "value": v.ravel()}) for (k, name), v in total.items()])
+
+            got: dict = {}
+            rows = seqs.where(F.col("model_id").isin(sorted(moving))).mapInPandas(run, "model int, name string, place int, value double")
+            for r in rows.groupBy("model", "name", "place").agg(F.sum("value").alias("value")).collect():
+                got.setdefault(r["model"], {}).setdefault(r["name"], {})[r["place"]] = r["value"]
+            for k in sorted(moving):
+                if k not in got:
+                    moving.discard(k)
+                    continue
+                m = models[k]
+                shapes = {"logp": (2,), "pi": m.pi.shape, "a": m.a.shape} | ({"b": m.b.shape} if m.b is not None else {x: m.c.shape for x in ("c", "x", "xx")})
+                e = {name: np.zeros(shape) for name, shape in shapes.items()}
+                for name, values in got[k].items():
+                    e[name].flat[list(values)] = list(values.values())
+                now = e["logp"][0] + PENALTY * e["logp"][1]
+                if np.isfinite(last[k]) and now - last[k] <= gain * abs(now):
+                    moving.discard(k)
+                    continue
+                last[k], models[k] = now, maximized(m, e)
+            if not moving:
+                break
+        return models
+    finally:
+        seqs.unpersist()
+
+
+def random_starts(seqs: DataFrame, m: Model, k: int, steps: int = 5, seed: int = 0) -> list[Model]:
+    """k models for clustering: sequences are dealt to them by a hash of seq_id, and copies of m, each a little different, are trained on their shares."""
+    part = F.pmod(F.xxhash64("seq_id", F.lit(seed)), F.lit(k)).cast("int")
+    noisy = [m.with_noise(0.1, 1 + seed + i) if m.b is not None else replace(m, mu=m.mu + 0.1 * (i - k // 2) * np.sqrt(m.var)) for i in range(k)]
+    return trained_apart(seqs.withColumn("model_id", part), noisy, steps)
+
+
+def _reseeded(seqs: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """labels, where each of the k clusters has a member if there are so many sequences: an empty one gets the sequence that fits worst for its length, from a cluster that has others."""
+    sizes = {r["model_id"]: r["n"] for r in labels.where("model_id is not null").groupBy("model_id").agg(F.count("*").alias("n")).collect()}
+    empty = [i for i in range(k) if i not in sizes]
+    if not empty:
+        return labels
+    fit = F.col("logp") / F.greatest(F.size("obs"), F.lit(1))
+    worst = labels.where("model_id is not null").join(seqs.select("seq_id", "obs"), "seq_id").select("seq_id", "model_id", fit.alias("fit")).orderBy("fit", "seq_id").limit(2 * k)
+    moved = {}
+    for r in worst.collect():  # at most two for each cluster
+        if len(moved) == len(empty):
+            break
+        if sizes[r["model_id"]] > 1:
+            sizes[r["model_id"]] -= 1
+            moved[r["seq_id"]] = empty[len(moved)]
+    if not moved:
+        return labels
+    to = F.create_map(*[F.lit(x) for pair in moved.items() for x in pair])
+    return labels.withColumn("model_id", F.coalesce(F.element_at(to, F.col("seq_id")), F.col("model_id")))
+
+
 def viterbi_train(seqs: DataFrame, m: Model, steps: int = 50, pseudo: float = 0.0) -> Model:
     """Parameters from the counts of the best paths, until they no longer change."""
     from .hmm import decode
@@ -201,11 +280,11 @@ def gradient(seqs: DataFrame, m: Model, steps: int = 20, rate: float = 0.1) -> t
         seqs.unpersist()
 
 
-def cluster(seqs: DataFrame, models: list[Model], rounds: int | None = None, steps: int = 20) -> tuple[list[Model], DataFrame]:
+def cluster(seqs: DataFrame, models: list[Model], rounds: int | None = None, steps: int = 20, reseed: bool = False) -> tuple[list[Model], DataFrame]:
     """k models: each sequence to its best model, each model trained on its own, until no label changes.
 
     Rounds train by `steps` steps until no label changes, then by STEPS until none does again. A model without members
-    keeps its parameters. Returns the models and (seq_id, model_id, logp), the labels that these models give. Without
+    keeps its parameters, or with reseed gets the sequence that fits worst elsewhere. Returns the models and (seq_id, model_id, logp), the labels that these models give. Without
     `rounds`, labels that still change after STEPS rounds are an error.
     """
     from .hmm import classify
@@ -219,10 +298,8 @@ def cluster(seqs: DataFrame, models: list[Model], rounds: int | None = None, ste
             if same and steps >= STEPS:
                 return models, labels
             steps = STEPS if same else steps
-        own = seqs.join(labels.select("seq_id", "model_id"), "seq_id").persist()
-        sizes = {r["model_id"] for r in own.select("model_id").distinct().collect()}
-        models = [baum_welch(own.where(F.col("model_id") == k), m, steps)[0] if k in sizes else m for k, m in enumerate(models)]
-        own.unpersist()
+        members = _reseeded(seqs, labels, len(models)) if reseed else labels
+        models = trained_apart(seqs.join(members.select("seq_id", "model_id"), "seq_id"), models, steps)
         before = labels
     if rounds is None:
         raise RuntimeError(f"labels still change after {STEPS} rounds")

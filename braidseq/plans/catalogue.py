@@ -554,6 +554,13 @@ def cut_trained(spark, sf_dir):
     return models.tables(spark, {0: m})["components"].withColumn("logp", F.lit(float(logp)))
 
 
+def clusters_from_random(spark, sf_dir):
+    """Three clusters from random starts; none stays empty while it trains."""
+    s = event_seqs(spark, sf_dir)
+    _, labels = training.cluster(s, training.random_starts(s, CALM, 3), reseed=True)
+    return labels.groupBy("model_id").agg(F.count("*").alias("n"), F.round(F.sum("logp"), 3).alias("logp"))
+
+
 _ORDERED = """ord AS (SELECT user_id, CAST(list_position(['click','error','purchase','signup','view'], event_type) - 1 AS INTEGER) AS sym, CAST(value AS DOUBLE) AS value,
  ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS t FROM events)"""
 _BASES = "s AS (SELECT doc_id, lang, regexp_replace(lower(text), '[^acgt]', '', 'g') AS seq FROM documents)"
@@ -786,6 +793,6 @@ QUERIES = {
         islands_by_type, overlap_pairs, overlap_match, unmatched, overlap_pairs_whole, overlap_match_whole, unmatched_whole, greedy_match, match_agreement, plotted, listed_symbols, xml_symbols, uncovered_cuts, transition_counts, kgram_background, forward_loglik, forward_loglik_fold, backward_loglik, silent_loglik,
         viterbi_logp, viterbi_states, posterior_states, posterior_states_whole, model_scores, best_model, set_likelihood, gauss_loglik, normal_densities, em_one_step, em_trained, gauss_trained, model_clusters,
         model_mixture, sampled_like_users, pair_alignments, mean_sequence, mean_sequence_whole, scatter_matrix, scatter_matrix_whole, bernoulli_split, model_normalize, base_vectors, codon_model, viterbi_stream, stream_loglik, genes_of_corpus, class_margins, class_errors, told_apart_gradient, told_apart_closed, pair_classes, pair_path_logp, switching_paths,
-        gap_hazards, gap_loop, strand_gaps, codon_regions, gene_ends, genes_read_whole, position_profiles, mixture_selection, next_symbol_shares, drawn_on, kbest_labels, cut_trained,
+        gap_hazards, gap_loop, strand_gaps, codon_regions, gene_ends, genes_read_whole, position_profiles, mixture_selection, next_symbol_shares, drawn_on, kbest_labels, cut_trained, clusters_from_random,
     )
 }
