@@ -688,6 +688,8 @@ _PLAIN = PAUSED.without_silent()
 _MATCH = """pairs AS (SELECT l.contig_id, l.feature_id, r.feature_id AS r_feature_id, (LEAST(l.hi, r.hi) - GREATEST(l.lo, r.lo) + 1) / CAST(GREATEST(l.hi, r.hi) - LEAST(l.lo, r.lo) + 1 AS DOUBLE) AS score
  FROM iv l JOIN iv r ON l.contig_id = r.contig_id AND l.lo <= r.hi AND r.lo <= l.hi WHERE l.feature_id % 2 = 0 AND r.feature_id % 2 = 1),
  best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY contig_id, feature_id ORDER BY score DESC, r_feature_id) AS a, ROW_NUMBER() OVER (PARTITION BY contig_id, r_feature_id ORDER BY score DESC, feature_id) AS b FROM pairs)"""
+#: Overlaps of all stays, both ways round, and each one's best.
+_BOTH_WAYS = _MATCH.replace(" WHERE l.feature_id % 2 = 0 AND r.feature_id % 2 = 1)", " AND l.feature_id <> r.feature_id)")
 #: Pairs in order, one after the other, with the intervals of both sides that are taken.
 _GREEDY = f"""WITH RECURSIVE {_STAYS}, sp AS (SELECT o_custkey AS contig_id, o_orderkey AS feature_id, min(datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS lo, max(datediff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE))) AS hi
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL),
@@ -742,6 +744,11 @@ SQL: dict[str, str] = {
     "overlap_pairs": f"WITH {_STAYS}, {_MATCH} SELECT contig_id, feature_id, r_feature_id, round(score, 9) AS score FROM pairs",
     "overlap_match": f"WITH {_STAYS}, {_MATCH} SELECT contig_id, feature_id, r_feature_id, round(score, 9) AS score FROM best WHERE a = 1 AND b = 1",
     "unmatched": f"WITH {_STAYS}, {_MATCH} SELECT contig_id, count(*) AS n FROM iv WHERE feature_id % 2 = 0 AND feature_id NOT IN (SELECT feature_id FROM best WHERE a = 1 AND b = 1) GROUP BY contig_id",
+    "overlap_pairs_whole": f"WITH {_STAYS}, {_BOTH_WAYS} SELECT contig_id, feature_id, r_feature_id, round(score, 9) AS score FROM pairs WHERE feature_id < r_feature_id",
+    "overlap_match_whole": f"WITH {_STAYS}, {_BOTH_WAYS} SELECT contig_id, feature_id, r_feature_id, round(score, 9) AS score FROM best WHERE a = 1 AND b = 1 AND feature_id < r_feature_id",
+    "unmatched_whole": f"WITH {_STAYS}, {_BOTH_WAYS} SELECT contig_id, count(*) AS n FROM iv WHERE feature_id NOT IN (SELECT feature_id FROM best WHERE a = 1 AND b = 1) GROUP BY contig_id",
+    "posterior_states_whole": f"{_posterior_sql(None)} SELECT user_id AS seq_id, CAST(t - 1 AS INTEGER) AS pos, 0 AS state, round(r0, 6) AS p FROM post UNION ALL SELECT user_id, CAST(t - 1 AS INTEGER), 1, round(r1, 6) FROM post",
+    "mean_sequence_whole": f"WITH {_ORDERED} SELECT CAST(t - 1 AS INTEGER) AS pos, round(sum(value) / (SELECT count(DISTINCT user_id) FROM events), 6) AS mean, count(*) AS n FROM ord GROUP BY t",
     "plotted": "SELECT user_id AS seq_id, string_agg(printf('%.8f', CAST(value AS DOUBLE)) || chr(10), '' ORDER BY ts, event_id) || chr(10) || chr(10) AS lines FROM events GROUP BY user_id",
     "listed_symbols": f"WITH {_ORDERED} SELECT user_id AS seq_id, '{{' || string_agg(CAST(sym AS VARCHAR), ', ' ORDER BY t) || '}}' AS line FROM ord GROUP BY user_id",
     "xml_symbols": f"WITH {_ORDERED} SELECT user_id AS seq_id, '  1 <Sequence id=\"seq' || user_id || '\">' || CASE WHEN user_id % 3 > 0 THEN '<Label>' || user_id % 3 || '</Label>' ELSE '' END || '<!-- Length: ' || count(*) || ' --> ' || string_agg(CAST(sym AS VARCHAR), ' ' ORDER BY t) || '  </Sequence>' AS line FROM ord GROUP BY user_id",
