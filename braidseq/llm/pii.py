@@ -119,21 +119,30 @@ def _anew(counts: DataFrame) -> DataFrame:
     return counts.select(F.concat("pattern", F.lit("")).alias("pattern"), (F.col("n").cast("double") + 0.0).alias("n"))
 
 
-def _counted(docs: DataFrame, fresh: DataFrame, confident: float) -> DataFrame:
+def _counted(docs: DataFrame, fresh: DataFrame, confident: float, few) -> DataFrame:
     """pattern, n (its occurrences in the corpus) of the patterns of fresh (pattern, times, kind) that may be confident.
 
     Those of the items themselves (kind inner) occur as often as their items. Most of the others are common words and
-    fail already on the documents that may hold identifiers; only the rest are counted over all, and only in documents that hold one of
-    the lexemes before their places, if those are few.
+    fail already on the documents that may hold identifiers, and of these already on an eighth: a count only grows with what is read, so a pattern
+    that fails on part of the documents fails on all, and need not be counted further. Only the rest are counted over all, and
+    only in documents that hold one of the lexemes before their places, if those are few.
     """
-    lexical = settle(fresh.where("kind <> 'inner'"))
+    lexical = few(fresh.where("kind <> 'inner'").select("pattern", "times", F.lit(0).cast("long").alias("seen")))
     some = docs.where(F.col("text").rlike("[0-9]"))
-    lexical = settle(lexical.join(_occurrences(some, lexical.select("pattern")), "pattern", "left").where(F.col("times") >= confident * F.coalesce("n", F.lit(0))).select("pattern"))
+    early = F.pmod(F.xxhash64("text"), F.lit(8)) == 0
+    for part in (early, ~early):
+        n = _occurrences(some.where(part), lexical.select("pattern"))
+        lexical = few(lexical.join(n, "pattern", "left").select("pattern", "times", (F.col("seen") + F.coalesce("n", F.lit(0))).alias("seen")).where(F.col("times") >= confident * F.col("seen")))
+    lexical = lexical.select("pattern")
     before = F.when(F.col("pattern").startswith("around "), 2).otherwise(-1)  # "around x y", "two x y", "three x y z"
     lead = [r[0] for r in lexical.select(F.element_at(F.split("pattern", " "), before).alias("x")).distinct().limit(33).collect()]
     if len(lead) <= 32:
         docs = docs.where(F.exists(F.array(*[F.lit(x) for x in lead]), lambda x: F.contains(F.lower("text"), x)) if lead else F.lit(False))
-    return settle(fresh.where("kind = 'inner'").select("pattern", F.col("times").alias("n")).unionByName(_occurrences(docs, lexical)))
+    return few(fresh.where("kind = 'inner'").select("pattern", F.col("times").alias("n")).unionByName(_occurrences(docs, lexical)))
+
+
+#: Rows of the graph for each partition of the tables that the rounds make of it.
+GRAPH_ROWS = 50_000
 
 
 def contextual(docs: DataFrame, spanned: DataFrame, least_seeds: int = 3, confident: float = 0.5, accepted: float = 0.5, rounds: int = 100) -> DataFrame:
@@ -143,30 +152,32 @@ def contextual(docs: DataFrame, spanned: DataFrame, least_seeds: int = 3, confid
     graph = items.select(prior.alias("prior"), "value", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("prior").alias("prior"), F.count("*").alias("times"))
     # A pattern that leads to few values can't be induced.
     graph = settle(graph)
+    parts = 1 + graph.count() // GRAPH_ROWS
+    few = lambda df: settle(df.coalesce(parts))  # noqa: E731  no table of a round has more rows than the graph
     often = graph.groupBy("pattern").agg(F.count("*").alias("values"), F.sum("times").alias("all")).where(F.col("values") >= least_seeds)
-    often = settle(often.select("pattern", "all"))
-    graph = settle(graph.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "pattern"))
-    scores = settle(graph.groupBy("value").agg(F.max("prior").alias("score")).withColumn("raised", F.lit(0.0)))
+    often = few(often.select("pattern", "all"))
+    graph = few(graph.join(F.broadcast(often) if often.count() <= BROADCAST_ROWS else often, "pattern"))
+    scores = few(graph.groupBy("value").agg(F.max("prior").alias("score")).withColumn("raised", F.lit(0.0)))
     known, judged = None, None
     for _ in range(rounds):
         linked = graph.join(scores, "value")
         led = linked.groupBy("pattern", "all").agg(F.count_if(F.col("score") >= accepted).alias("seeds"), F.sum(F.col("times") * F.col("score")).alias("sure"))
-        led = settle(led)
+        led = few(led)
         fresh = led.where(F.col("seeds") >= least_seeds).select("pattern", F.col("all").alias("times"), F.split("pattern", " ")[0].alias("kind"))
-        fresh = settle(fresh if judged is None else fresh.join(judged, "pattern", "left_anti"))
+        fresh = few(fresh if judged is None else fresh.join(judged, "pattern", "left_anti"))
         new = fresh.count()
         if new:
-            more = _counted(docs, fresh, confident)
-            known = more if known is None else settle(_anew(known).unionByName(_anew(more)))
+            more = _counted(docs, fresh, confident, few)
+            known = more if known is None else few(_anew(known).unionByName(_anew(more)))
             names = fresh.select("pattern", F.lit(0).alias("n"))
-            judged = names if judged is None else settle(_anew(judged).unionByName(_anew(names)))
+            judged = names if judged is None else few(_anew(judged).unionByName(_anew(names)))
         if known is None:
             return items.limit(0).select("doc_id", "text_hash", "s", "e")
         weight = led.join(known, "pattern").select("pattern", F.least(F.lit(1.0), F.col("sure") / F.col("n")).alias("confidence")).where(F.col("confidence") >= confident)
-        weight = settle(weight)
+        weight = few(weight)
         weight = F.broadcast(weight) if weight.count() <= BROADCAST_ROWS else weight
         raised = graph.join(weight, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log(1.000001 - F.col("confidence"))))).alias("now"))
-        after = settle(scores.join(raised, "value", "left").select("value", F.greatest("score", F.coalesce("now", F.lit(0.0))).alias("score"), F.greatest("raised", F.coalesce("now", F.lit(0.0))).alias("raised"), (F.coalesce("now", F.lit(0.0)) > F.col("score") + 0.01).alias("rose")))
+        after = few(scores.join(raised, "value", "left").select("value", F.greatest("score", F.coalesce("now", F.lit(0.0))).alias("score"), F.greatest("raised", F.coalesce("now", F.lit(0.0))).alias("raised"), (F.coalesce("now", F.lit(0.0)) > F.col("score") + 0.01).alias("rose")))
         rising = bool(after.where("rose").take(1))
         scores = after.drop("rose")
         if not new and not rising:
