@@ -52,15 +52,16 @@ def genic(counts: dict[str, int], starts: dict[str, int], stops: dict[str, int])
     return Model.of(np.eye(len(names))[0], a, np.array(rows), names=tuple(names))
 
 
-def joined(gene: Model, gap: Model, leave_gap: float) -> Model:
-    """Gaps and genes in turn; starts in the gap."""
+def joined(gene: Model, gap: Model, leave_gap: float, silent: bool = False) -> Model:
+    """Gaps and genes in turn; starts in the gap. silent: with the gene's silent centres, which make long decoding faster."""
     n, g = gene.n, gap.n
     a = np.zeros((n + g, n + g))
     a[:g, :g] = gap.a[0] * (1 - leave_gap)
     a[:g, g] = leave_gap
     a[g:, g:] = gene.a[0]
     a[g + 2, 0] = 1.0
-    return Model.of(np.eye(n + g)[0], a, np.concatenate([gap.b, gene.b]), names=(*gap.names, *gene.names)).without_silent()
+    m = Model.of(np.eye(n + g)[0], a, np.concatenate([gap.b, gene.b]), names=(*gap.names, *gene.names))
+    return m if silent else m.without_silent()
 
 
 def statistics(genes: DataFrame, seq: str = "seq") -> tuple[dict, dict, dict]:
@@ -77,7 +78,6 @@ def find(contigs: DataFrame, m: Model, size: int = longpath.SIZE) -> DataFrame:
 
     Contigs (contig_id, seq) may be of any length: strands are cut into parts of `size` bases and decoded by a scan over parts.
     """
-    m = m.without_silent() if m.silent.any() else m
     strands = contigs.select("contig_id", F.char_length("seq").alias("len"), F.explode(F.array(F.struct(F.lit(False).alias("reverse"), F.col("seq").alias("s")), F.struct(F.lit(True).alias("reverse"), dna.reverse_complement(F.col("seq")).alias("s")))).alias("x"))
     strands = strands.select("contig_id", "len", "x.reverse", "x.s").withColumn("seq_id", F.xxhash64("contig_id", "reverse"))
     parts = strands.where("len > 0").select("seq_id", "s", F.explode(F.sequence(F.lit(0), F.floor((F.col("len") - 1) / size).cast("int"))).alias("part"))
@@ -91,7 +91,7 @@ def find(contigs: DataFrame, m: Model, size: int = longpath.SIZE) -> DataFrame:
 
 def genes_of(paths: DataFrame, m: Model) -> DataFrame:
     """seq_id, first, last (places from 0) of the runs of states that are not of a gap, of paths in parts."""
-    return longpath.runs(paths, [int(not n.startswith("intergenic")) for n in m.names]).where("kind = 1").drop("kind")
+    return longpath.runs(paths, [int(not n.startswith("intergenic")) for n, s in zip(m.names, m.silent) if not s]).where("kind = 1").drop("kind")
 
 
 def evaluate(truth: DataFrame, found: DataFrame, width: int = 10_000) -> DataFrame:

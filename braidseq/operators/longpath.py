@@ -9,7 +9,7 @@ once; these paths meet soon, so what goes on is one common path and a short tail
 last state follows from a second scan, from the end, over the maps from last to first states.
 
 Scores are whole numbers (logarithms times a power of two), so sums do not depend on how they are grouped and the path is the
-plain one, the lowest state winning ties. Models have one transition class and no history; silent states are taken out first.
+plain one, the lowest state winning ties. Models have one transition class and no history; paths are of the states that speak.
 """
 
 from __future__ import annotations
@@ -37,18 +37,45 @@ class Steps:
     def __init__(self, m: Model):
         if len(m.a) > 1 or m.order:
             raise ValueError("models of one transition class without history only")
-        m = m.without_silent() if m.silent.any() else m
-        self.m, self.n = m, m.n
+        plain = m.without_silent() if m.silent.any() else m
+        self.m, self.n = plain, plain.n
+        # Ways through silent states stay two moves, which are far fewer than the moves they stand for, where no two states are joined by several ways.
+        m = m.normalized() if m.silent.any() else m  # as taking silent states out does
+        self.hubs = self._hubs(m) if m.silent.any() else []
+        a = plain.a[0]
+        if self.hubs:
+            speaks = np.flatnonzero(~m.silent)
+            a = m.a[0][np.ix_(speaks, speaks)]
+        m = plain
         with np.errstate(divide="ignore"):
-            la, start = np.log(m.a[0]), np.log(m.a[0][0] if m.from_first else m.pi)
+            la, start = np.log(a), np.log(m.a[0][0] if m.from_first else m.pi)
             lb = np.log(m.b) if m.b is not None else np.array([-750.0])
-        finite = [x[np.isfinite(x)] for x in (la, start, lb)]
+            self.hubs = [(i, np.log(x), j, np.log(y)) for i, x, j, y in self.hubs]
+        finite = [x[np.isfinite(x)] for x in (np.concatenate([la.ravel(), *[np.add.outer(x, y).ravel() for _, x, _, y in self.hubs]]), start, lb)]
         worst = 1 + sum(np.abs(x).max(initial=0.0) for x in (np.concatenate(finite[:2]), finite[2]))
         self.bits = 58 - ceil(log2(SIZE * worst))
         self.dst, self.src = np.nonzero(np.isfinite(la.T))
         self.w, self.start = self.whole(la[self.src, self.dst]), self.whole(start)
         self.reached = np.unique(self.dst)
         self.seg = np.searchsorted(self.dst, self.reached)
+        self.hubs = [(i, self.whole(x), j, self.whole(y)) for i, x, j, y in self.hubs]
+
+    @staticmethod
+    def _hubs(m: Model) -> list[tuple]:
+        """For each silent state: the states that speak before it and after it, with their shares; [] where two states are joined by several ways, silent states follow each other or lose mass."""
+        silent, speaks = np.flatnonzero(m.silent), np.flatnonzero(~m.silent)
+        a, number = m.a[0], np.cumsum(~m.silent) - 1
+        if (a[np.ix_(silent, silent)] > 0).any() or m.from_first or np.abs(a[speaks].sum(axis=1) - 1).max(initial=0) > 1e-9:
+            return []
+        ways, hubs = (a[np.ix_(speaks, speaks)] > 0).astype(int), []
+        for s in silent:
+            i, j = speaks[a[speaks, s] > 0], speaks[a[s, speaks] > 0]
+            if len(i) and abs(a[s].sum() - 1) > 1e-9:
+                return []
+            if len(i):
+                ways[np.ix_(number[i], number[j])] += 1
+                hubs.append((number[i], a[i, s], number[j], a[s, j]))
+        return hubs if (ways <= 1).all() else []
 
     def whole(self, x: np.ndarray) -> np.ndarray:
         return np.where(np.isfinite(x), np.rint(np.where(np.isfinite(x), x, 0) * 2.0**self.bits), NEG).astype(np.int64)
@@ -66,6 +93,8 @@ class Steps:
         if len(src):
             seg = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]]))
             out[:, dst[seg]] = np.maximum.reduceat(x[:, src] + self.w[use], seg, axis=1)
+        for i, into, j, on in self.hubs:
+            out[:, j] = np.maximum(out[:, j], (x[:, i] + into).max(axis=1)[:, None] + on)
         return out
 
     def moved_from(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +105,12 @@ class Steps:
             out[:, self.reached] = np.maximum.reduceat(ways, self.seg, axis=1)
             edge = np.where(ways == out[:, self.dst], np.arange(len(self.src)), len(self.src) - 1)
             back[:, self.reached] = self.src[np.minimum.reduceat(edge, self.seg, axis=1)]
+        for i, into, j, on in self.hubs:
+            ways = x[:, i] + into
+            best = ways.argmax(axis=1)
+            value, come = ways[np.arange(len(x)), best][:, None] + on, i[best][:, None]
+            better = (value > out[:, j]) | ((value == out[:, j]) & (come < back[:, j]))
+            out[:, j], back[:, j] = np.where(better, value, out[:, j]), np.where(better, come, back[:, j])
         return out, back
 
 
@@ -255,6 +290,8 @@ def _down(levels: list[DataFrame], given: DataFrame, walk, fan: int) -> DataFram
 def decode_parts(parts: DataFrame, m: Model, fan: int = FAN) -> DataFrame:
     """seq_id, part, path, logp (of the part; their sum is the sequence's) of every part; null where the sequence is impossible.
 
+    States are numbered as without the silent ones.
+
     Parts have 1 to SIZE symbols. logp is right to about 1e-9.
     """
     steps = Steps(m)

@@ -386,11 +386,11 @@ def stream_loglik(spark, sf_dir):
     return longpath.decode_parts(parts, CALM).groupBy("seq_id").agg(F.round(F.sum("logp"), 4).alias("logp"), F.sum(F.size("path")).alias("n"))
 
 
-def gene_model(counts: dict[str, int], gap: float = 300.0) -> Model:
+def gene_model(counts: dict[str, int], gap: float = 300.0, silent: bool = True) -> Model:
     """Genes of the counted codons between gaps; every codon, start and stop counts once more."""
     inner = {a + b + c: counts.get(a + b + c, 0) + 1 for a in genefinder.BASES for b in genefinder.BASES for c in genefinder.BASES if a + b + c not in dna.STOPS}
     starts, stops = ({c: counts.get(c, 0) + 1 for c in kind} for kind in (dna.STARTS, dna.STOPS))
-    return genefinder.joined(genefinder.genic(inner, starts, stops), genefinder.dumb_intergenic(gap), 1 / gap)
+    return genefinder.joined(genefinder.genic(inner, starts, stops), genefinder.dumb_intergenic(gap), 1 / gap, silent)
 
 
 def genes_of_corpus(spark, sf_dir):

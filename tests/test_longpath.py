@@ -49,6 +49,23 @@ def test_impossible_and_empty(spark):
         longpath.Steps(Model.of([1.0], [[[1.0]], [[1.0]]], [[1.0]]))
 
 
+def test_silent_states_with_several_ways_are_taken_out(spark):
+    """A hub is kept only where it is the one way between two states."""
+    a = [[0.0, 0.5, 0.5, 0.0], [0.2, 0.2, 0.0, 0.6], [0.0, 0.0, 0.3, 0.7], [0.5, 0.3, 0.2, 0.0]]
+    b = [[0.7, 0.3], [0.2, 0.8], [0.5, 0.5], [0.0, 0.0]]
+    twice = Model.of([1, 0, 0, 0], a, b)
+    once = Model.of([1, 0, 0, 0], [[0.0, 0.5, 0.5, 0.0], [0.0, 0.4, 0.0, 0.6], [0.0, 0.0, 0.3, 0.7], [1.0, 0.0, 0.0, 0.0]], b)
+    assert not longpath.Steps(twice).hubs and len(longpath.Steps(once).hubs) == 1
+    obs = RNG.integers(0, 2, 61).tolist()
+    d = spark.createDataFrame([(1, obs)], "seq_id long, obs array<int>")
+    for m in (once, twice):
+        got = sorted(longpath.decode_parts(longpath.cut(d, 5), m, fan=2).collect(), key=lambda r: r["part"])
+        # Rounds of the same moves in another order are as likely, so the paths' own likelihoods are held against each other.
+        path, plain = [s for r in got for s in r["path"]], m.without_silent()
+        own = np.log(plain.pi[path[0]]) + sum(np.log(plain.a[0, x, y]) for x, y in zip(path, path[1:])) + sum(np.log(plain.b[s, o]) for s, o in zip(path, obs))
+        assert own == pytest.approx(hmm.decode(d, m).first()["logp"], abs=1e-9) and sum(r["logp"] for r in got) == pytest.approx(own, abs=1e-6)
+
+
 def test_ties_go_to_the_lowest_state(spark):
     m = Model.of([0.5, 0.5], [[0.5, 0.5], [0.5, 0.5]], [[0.5, 0.5], [0.5, 0.5]])
     d = spark.createDataFrame([(1, [0, 1] * 30)], "seq_id long, obs array<int>")
@@ -71,6 +88,8 @@ def test_one_contig(spark):
 def test_genes_of_a_contig_in_parts(spark):
     """Both strands of contigs cut into short parts, against plain decoding and plain runs."""
     m = catalogue.gene_model({"AAA": 500, "CCG": 300, "GAT": 200, "ATG": 50, "TAA": 50}, gap=40.0)
+    plain = m.without_silent()
+    assert len(longpath.Steps(m).hubs) == 3 and not longpath.Steps(plain).hubs and len(longpath.Steps(m).src) < 0.2 * len(longpath.Steps(plain).src)
     bases = "".join(RNG.choice(list("ACGTN"), 3000, p=[0.3, 0.2, 0.2, 0.29, 0.01]))
     gene = "ATG" + "AAACCGGAT" * 25 + "TAA"
     rc = gene[::-1].translate(str.maketrans("ACGT", "TGCA"))
@@ -82,8 +101,8 @@ def test_genes_of_a_contig_in_parts(spark):
             if not s:
                 continue
             obs = np.array([["ACGT".find(c) if c in "ACGT" else 4 for c in s]], float)
-            (path,), _ = hmm.viterbi(m, hmm.emissions(m, obs), np.array([len(s)]))
-            kind = [m.names[k].startswith("intergenic") for k in path] + [True]
+            (path,), _ = hmm.viterbi(plain, hmm.emissions(plain, obs), np.array([len(s)]))
+            kind = [plain.names[k].startswith("intergenic") for k in path] + [True]
             at = None
             for i, gap in enumerate(kind):
                 if not gap and at is None:
