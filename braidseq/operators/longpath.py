@@ -28,7 +28,7 @@ from .state import settle
 #: Score of what is impossible; possible scores stay above half of it.
 NEG = -(1 << 61)
 #: Symbols of a part at most, parts of a group, steps between looks for equal rows, cells of back pointers in a task.
-SIZE, FAN, LOOK, CELLS = 1 << 14, 32, 32, 1 << 25
+SIZE, FAN, LOOK, CELLS = 1 << 14, 32, 32, 1 << 26
 
 
 class Steps:
@@ -226,7 +226,7 @@ def _transfers(steps: Steps, x: np.ndarray, lengths: np.ndarray, first: np.ndarr
 def _traced(steps: Steps, x: np.ndarray, lengths: np.ndarray, first: np.ndarray, before: np.ndarray):
     """For each part: state before for each last state, common path, tails, gains, best last state (-1: none)."""
     b, n = len(x), steps.n
-    back = np.zeros((x.shape[1], b, n), np.int16 if n < 1 << 15 else np.int32)
+    back = np.zeros((x.shape[1], b, n), np.uint8 if n <= 256 else np.uint16 if n <= 1 << 16 else np.int32)
     score = before.copy()
     for t, e in _said(steps, x):
         on = slice(int(np.searchsorted(lengths, t, "right")), None)  # parts come in order of length
@@ -253,7 +253,7 @@ def _traced(steps: Steps, x: np.ndarray, lengths: np.ndarray, first: np.ndarray,
         paths = back[:size, i]
         common = int((paths == paths[:, :1]).all(axis=1).sum())  # paths that meet, going back, stay together
         from_score = np.where(first[i], 0, before[i][origin[i]])
-        yield origin[i], paths[:common, 0], paths[common:].T.ravel(), np.where(ok[i], last[i] - from_score, 0), int(best[i])
+        yield origin[i], paths[:common, 0].astype(np.int32), paths[common:].T.ravel().astype(np.int32), np.where(ok[i], last[i] - from_score, 0), int(best[i])
 
 
 def _grouped(rows: DataFrame, fan: int) -> DataFrame:
