@@ -64,17 +64,17 @@ def removed(path: str, spark: SparkSession) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """docs as (d, text), d one long for each document that sorts as its doc_id does, and what leads from d back to doc_id.
+def numbered(docs: DataFrame, nulls_last: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """docs as (d, text), d one long for each document that sorts as its doc_id does, and what leads from d back to doc_id (and _text_hash).
 
     Where every row has a doc_id of its own, d is that and the second is None. Else documents are the distinct pairs of
-    doc_id and text: those without a doc_id come first, those of one doc_id in the order of their texts' hashes; rows that
+    doc_id and text: those without a doc_id come first (or last), those of one doc_id in the order of their texts' hashes; rows that
     agree in both are one document given twice. Those are numbered in order by a sort over ranges. A null text is empty.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     if not rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").take(1):
         return rows.select(F.col("doc_id").alias("d"), "text"), None
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text_hash").asc()]
+    order = [F.col("doc_id").asc_nulls_last() if nulls_last else F.col("doc_id").asc_nulls_first(), F.col("text_hash").asc()]
     keys = rows.select("doc_id", F.xxhash64("text").alias("text_hash")).distinct().repartitionByRange(shuffle_parts(docs), *order)
     keys = settle(keys.withColumn("part", F.spark_partition_id()))
     sizes = keys.groupBy("part").agg(F.count("*").alias("n"))  # a row for each range
@@ -83,7 +83,7 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     keys = settle(keys.select("doc_id", "text_hash", (F.col("nth") + F.col("before")).alias("d")))
     k = keys.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "d")
     rows = rows.join(k, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))).select("d", "text")
-    return rows, keys.select("d", "doc_id")
+    return rows, keys.select("d", "doc_id", F.col("text_hash").alias("_text_hash"))
 
 
 def named(results: DataFrame, names: DataFrame | None) -> DataFrame:

@@ -12,9 +12,9 @@ components that share a bucket is left out. Two sets at 0.8 share a bucket with
 above 0.9999; the sketches are let off by 0.11, about four deviations of their
 estimate, in the second step and 0.2 in the first.
 
-Nulls, empty texts and texts without words have the empty set and link with nothing; so do rows without a doc_id.
-With fewer words than a shingle has, the whole sequence is one shingle. Repeated rows (one doc_id, one text) give one
-row each. Very long texts are taken whole. Extra columns are ignored. An empty table gives an empty result.
+Nulls, empty texts and texts without words have the empty set and link with nothing. Rows of one doc_id (or none) with
+different texts are documents of their own, those without a doc_id after all others; a component without any doc_id has none. With fewer words
+than a shingle has, the whole sequence is one shingle. Repeated rows (one doc_id, one text) are one document and give one row each. Very long texts are taken whole. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,10 +24,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, only, settle, without
+from .common import BROADCAST_ROWS, components, named, numbered, only, settle, without
 from .units import U, Words, batches, grams, mix, whole
 
 SAMPLES, BANDS, ROWS, BITS = 256, 25, 5, 512
+#: Members of a crowded bucket that meet those of another block in one key, about.
+BLOCK = 1024
 SKETCH = tuple(f"s{i}" for i in range(BITS // 64))
 _RNG = np.random.Generator(np.random.PCG64(20240501))
 _A = (_RNG.integers(0, 2**31, SAMPLES, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -135,7 +137,7 @@ def _hopeful(pairs: DataFrame, reps: DataFrame, percent: int, slack: float) -> D
 
 def links(docs: DataFrame, feats: DataFrame, words: int, percent: int, slack: float = 0.2, close: float = 0.11) -> DataFrame:
     """Verified links (u, v) between class representatives, enough to connect all that the bands bring together."""
-    reps = feats.where("n_shingles > 0 and doc_id is not null")
+    reps = feats.where("n_shingles > 0")
     member = F.struct("doc_id", F.col("n_shingles").alias("n"), *SKETCH, "bands")
     reps = settle(reps.groupBy("n_shingles", "k0", "k1").agg(F.min(member).alias("m")).select(F.col("m.doc_id").alias("rep"), "m.n", *[f"m.{s}" for s in SKETCH], "m.bands"))
     slots = reps.select(F.posexplode("bands").alias("band", "bucket"), "rep")
@@ -154,28 +156,49 @@ def links(docs: DataFrame, feats: DataFrame, words: int, percent: int, slack: fl
     alone = sets.select("doc_id", F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("alone"))
     bound = reps.join(alone, "rep", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
     here = settle(here.join(bound, "rep").where(F.col("shared") * 100 >= F.col("n") * percent))
-    side = lambda x: here.select("bucket", *[F.col(k).alias(f"{x}_{k}") for k in ("rep", "c", "n", "shared", "band", "bands", *SKETCH)])
+    # A crowded bucket is dealt into blocks, and each two blocks (or one and itself) meet under a key of their own.
+    blocks = here.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    here = here.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    place = {"a": ("block", "other"), "b": ("other", "block")}
+    side = lambda x: here.where("block <= other" if x == "a" else "other <= block").select("bucket", *[F.col(k).alias(to) for k, to in zip(place[x], ("lo", "hi"))], *[F.col(k).alias(f"{x}_{k}") for k in ("rep", "c", "n", "shared", "band", "bands", *SKETCH)])
     most = F.least("a_shared", "b_shared")
-    can = (F.col("a_rep") < F.col("b_rep")) & (F.col("a_c") != F.col("b_c")) & (most * 100 >= (F.col("a_n") + F.col("b_n") - most) * percent)
-    more = side("a").join(side("b"), "bucket").where(can & (likeness("a_s", "b_s") >= percent / 100 - close))
+    once = (F.col("lo") < F.col("hi")) | (F.col("a_rep") < F.col("b_rep"))
+    can = once & (F.col("a_c") != F.col("b_c")) & (most * 100 >= (F.col("a_n") + F.col("b_n") - most) * percent)
+    more = side("a").join(side("b"), ["bucket", "lo", "hi"]).where(can & (likeness("a_s", "b_s") >= percent / 100 - close))
     # A pair of several common buckets counts in the first of them.
     more = more.where(~F.arrays_overlap(F.slice("a_bands", F.lit(1), F.col("a_band")), F.slice("b_bands", F.lit(1), F.col("b_band"))))
-    more = settle(more.select(F.col("a_rep").alias("a"), F.col("b_rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    more = settle(more.select(F.least("a_rep", "b_rep").alias("a"), F.greatest("a_rep", "b_rep").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
     found = found.union(verified(docs, more, words, percent))
     return found.select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id is that) of every document."""
+def _labelled(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """doc_id, n_shingles, component_id of documents whose ids differ."""
     feats = settle(features(docs, words))
     label = components(links(docs, feats, words, percent))
     base = feats.drop("bands", *SKETCH)
-    classes = base.where("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "k0", "k1").agg(F.min("doc_id").alias("rep"))
+    classes = base.where("n_shingles > 0").groupBy("n_shingles", "k0", "k1").agg(F.min("doc_id").alias("rep"))
     classes = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("n_shingles", "k0", "k1", F.coalesce("component", "rep").alias("c"))
-    out = base.join(classes, ["n_shingles", "k0", "k1"], "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return base.join(classes, ["n_shingles", "k0", "k1"], "left").select("doc_id", "n_shingles", F.coalesce("c", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (it is the component's first document) of every document."""
+    rows, names = numbered(docs, nulls_last=True)
+    out = _labelled(rows.withColumnRenamed("d", "doc_id"), words, percent).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    if names is None:
+        return out
+    first = names.select(F.col("d").alias("component_id"), F.col("doc_id").alias("component"))
+    out = named(out.join(first, "component_id").drop("component_id").withColumnRenamed("doc_id", "d"), names)
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose doc_id is their component's; all columns."""
-    return without(docs, near_duplicates(docs, words, percent).where("not kept"), "doc_id")
+    """The first document of each component; all columns. Each row goes by its own doc_id and text."""
+    rows, names = numbered(docs, nulls_last=True)
+    gone = _labelled(rows.withColumnRenamed("d", "doc_id"), words, percent).where("doc_id <> component_id")
+    if names is None:
+        return without(docs, gone, "doc_id")
+    gone = settle(names.join(gone.select(F.col("doc_id").alias("d")).distinct(), "d").select(F.col("doc_id").alias("_dup_id"), "_text_hash"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_dup_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_text_hash"))
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")

@@ -70,3 +70,44 @@ def test_substring_with_null_and_shared_ids(spark):
         want[i, t] = sum(gone)
     assert sum(want.values()) > 200
     assert got == Counter((i, len((t or "").split()), want[i, t or ""]) for i, t in rows)
+
+
+def test_minhash_with_null_and_shared_ids(spark):
+    from braidseq.llm import minhash
+
+    rows = several(spark)
+    long = " ".join(f"v{i}" for i in range(100))
+    rows += [(None, long), (None, long + " x"), (12, long), (12, "other words than these " * 9), (11, long + " y"), (None, "alone in the world " * 5), (None, rows[2][1]), (30, None), (None, "")]
+    d = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, rep string")
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := (t or "").split()) else set() for _, t in rows]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            same = rows[i][0] == rows[j][0] and (rows[i][1] or "") == (rows[j][1] or "")
+            if same or (sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    want = []
+    for i, (doc_id, text) in enumerate(rows):
+        ids = [rows[j][0] for j in range(len(rows)) if group[j] == group[i] and rows[j][0] is not None]
+        want.append((doc_id, len(sets[i]), min(ids, default=None)))
+    got = minhash.near_duplicates(d, 5).collect()
+    assert sorted(map(str, ((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got))) == sorted(map(str, want))
+    left = minhash.deduplicated(d, 5)
+    assert left.columns == d.columns
+    texts = [(r["doc_id"], r["text"]) for r in left.collect()]
+    kept = {group[rows.index(x)] for x in texts}
+    assert kept == set(group)  # something of each group stays, and one document only
+    assert len({(group[rows.index(x)], x[0], x[1] or "") for x in texts}) == len(kept)
+    assert (12, "other words than these " * 9) in texts and (11, long + " y") in texts and (12, long) not in texts and (None, long) not in texts
+
+
+def test_minhash_crowded_buckets_in_blocks(docs_of, monkeypatch):
+    from braidseq.llm import minhash
+
+    from .test_arrow import corpus
+
+    texts = corpus()
+    want = {tuple(r) for r in minhash.near_duplicates(docs_of(texts), 4).collect()}
+    monkeypatch.setattr(minhash, "BLOCK", 2)
+    assert {tuple(r) for r in minhash.near_duplicates(docs_of(texts), 4).collect()} == want
