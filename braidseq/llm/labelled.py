@@ -43,3 +43,13 @@ class Lookup(dict):
             value = self.of(word)
         self[word] = value
         return value
+
+    def holds(self, word) -> bool:
+        return word in self or word in self.before
+
+    def keep(self, values: dict):
+        """Take in values that were found together."""
+        if len(self) + len(values) > self.most:
+            self.before = dict(self)
+            self.clear()
+        self.update(values)

@@ -137,21 +137,6 @@ class Pieces:
     def merged(self, unit: str) -> tuple:
         """Ids of a unit by merges: the neighbours whose union is the piece of highest score, the leftmost of equals, until there are none."""
         n = len(unit)
-        if n <= 48:  # few neighbours: plain lists beat a heap
-            get, parts = self.scores.get, list(unit)
-            pairs = [get(a + b, NONE) for a, b in zip(parts, parts[1:])]
-            while pairs:
-                best = max(pairs)
-                if best == NONE:
-                    break
-                i = pairs.index(best)
-                parts[i] += parts.pop(i + 1)
-                del pairs[i]
-                if i:
-                    pairs[i - 1] = get(parts[i - 1] + parts[i], NONE)
-                if i < len(pairs):
-                    pairs[i] = get(parts[i] + parts[i + 1], NONE)
-            return self._numbers(parts)
         end, before = list(range(1, n + 1)), list(range(-1, n - 1))
         live, heap = [True] * n, []
 
@@ -175,8 +160,11 @@ class Pieces:
                 offer(before[a], a)
         return self._numbers(unit[i : end[i]] for i in range(n) if live[i])
 
+    def bytes_of(self, ids) -> bytes:
+        return b"".join(map(self.raw.__getitem__, ids))
+
     def decode(self, ids) -> str:
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+        return self.bytes_of(ids).decode("utf-8", "surrogatepass")[1:]
 
     def transfer(self, text: str, size: int, last: bool, unit: Lookup) -> np.ndarray:
         """Matrix (states before, states after) of a chunk of `size` characters; text goes on past it by a piece's length less 1."""
@@ -221,6 +209,127 @@ class Pieces:
         return out
 
 
+class Merger:
+    """Merges of many units at once. Symbols are the ids of the pieces, then characters that only occur within pieces; others are below 0."""
+
+    def __init__(self, p: Pieces):
+        symbols = dict(p.ids)
+        for c in sorted(set().union(*p.ids) - symbols.keys()):
+            symbols[c] = len(p.raw) + len(symbols) - len(p.ids)
+        self.symbols, self.pieces, self.byte_ids = len(p.raw) + len(symbols) - len(p.ids), len(p.raw), p.byte_ids
+        self.within = {s: c for c, s in symbols.items() if s >= len(p.raw)}
+        self.chars = np.array(sorted(map(ord, (c for c in symbols if len(c) == 1))), np.int64)
+        self.of_char = np.array([symbols[chr(c)] for c in self.chars], np.int64)
+        pairs = {}
+        for text, number in p.ids.items():
+            for cut in range(1, len(text)):
+                left, right = symbols.get(text[:cut]), symbols.get(text[cut:])
+                if left is not None and right is not None:
+                    pairs[left * self.symbols + right] = number
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.union = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+        score = np.zeros(len(p.raw))
+        for text, number in p.ids.items():
+            score[number] = p.scores[text]
+        self.score = score[self.union]
+
+    def _places(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Of neighbours, their place in the table of pairs, or -1."""
+        key = np.where((left >= 0) & (right >= 0), left * self.symbols + right, -1)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, at, -1)
+
+    def all(self, units: list[str], one) -> dict[str, bytes]:
+        """Ids, as bytes, of distinct units that are not empty. one gives the ids of a single long unit."""
+        out, by = {}, {}
+        for u in units:
+            by.setdefault(next((n for n in WIDTHS if len(u) <= n), 0), []).append(u)
+        for u in by.pop(0, []):
+            out[u] = np.array(one(u), "<i4").tobytes()
+        for group in by.values():
+            self._side_by_side(group, out)
+        return out
+
+    def _side_by_side(self, group: list[str], out: dict):
+        """Units of like lengths as rows of one matrix, padded. Each step merges one pair of every unit that has one left, so all that go on lose a column."""
+        length = np.fromiter(map(len, group), np.int64, len(group))
+        code = np.frombuffer("".join(group).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        at = np.minimum(np.searchsorted(self.chars, code), len(self.chars) - 1)
+        row = np.full((len(group), int(length.max())), PAD)
+        row[np.arange(row.shape[1]) < length[:, None]] = np.where(self.chars[at] == code, self.of_char[at], -1 - code)
+        number, place = np.arange(len(group)), self._places(row[:, :-1], row[:, 1:])
+        # The last score is that of no pair.
+        score = np.append(self.score, NONE)[np.pad(place, ((0, 0), (0, 1)), constant_values=-1)]
+        merged = 0
+        while len(row):
+            here, best = np.arange(len(row)), score.argmax(1)
+            on = score[here, best] > NONE
+            if not on.all():
+                self._put(row[~on], number[~on], length[number[~on]] - merged, group, out)
+                row, place, score, best, number = row[on], place[on], score[on], best[on], number[on]
+                here = np.arange(len(row))
+            if not len(row):
+                break
+            merged += 1
+            width = row.shape[1] - 1
+            row[here, best] = self.union[place[here, best]]
+            stay = np.ones(row.shape, bool)
+            stay[here, best + 1] = False
+            row = row[stay].reshape(len(row), width)
+            stay[here, best + 1], stay[here, best] = True, False
+            place, score = place[stay[:, :-1]].reshape(len(row), width - 1), score[stay].reshape(len(row), width)
+            for some, i in ((best > 0, best - 1), (best < width - 1, best)):
+                some = np.flatnonzero(some)
+                i = i[some]
+                place[some, i] = p = self._places(row[some, i], row[some, i + 1])
+                score[some, i] = np.where(p >= 0, self.score[p], NONE)
+
+    def _put(self, rows: np.ndarray, number: np.ndarray, sizes: np.ndarray, group: list[str], out: dict):
+        """Ids of finished rows; a character that is no piece gives the ids of its bytes."""
+        plain = ((rows < self.pieces) & ((rows >= 0) | (rows == PAD))).all(1).tolist()
+        data, step = rows.astype("<i4").tobytes(), 4 * rows.shape[1]
+        for i, (k, size) in enumerate(zip(number.tolist(), sizes.tolist())):
+            if plain[i]:
+                out[group[k]] = data[i * step : i * step + 4 * size]
+            else:
+                ids = []
+                for s in rows[i, :size].tolist():
+                    ids += [s] if 0 <= s < self.pieces else self.bytes_of_char(chr(-1 - s) if s < 0 else self.within[s])
+                out[group[k]] = np.array(ids, "<i4").tobytes()
+
+    def bytes_of_char(self, c: str) -> list[int]:
+        return [self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass")]
+
+
+#: Units are merged side by side with others of like length; longer ones one by one, with a heap.
+WIDTHS = (6, 9, 12, 18, 48)
+#: What stands in a row after a unit's end: below any character.
+PAD = -(1 << 30)
+
+
+def units_of(marked: str) -> list[str]:
+    """Units of a text that begins with the mark."""
+    return UNIT.findall(marked) if MARK * 2 in marked else [MARK + w for w in marked[1:].split(MARK)]
+
+
+class Coder:
+    """Ids of lists of texts. Units are met again and again, so their ids are kept; as it is broadcast, a worker keeps them from task to task."""
+
+    def __init__(self, pieces: Pieces):
+        self.pieces, self.merger = pieces, Merger(pieces) if pieces.bpe else None
+        self.unit = Lookup(self.one, 600_000)
+
+    def one(self, unit: str) -> bytes:
+        return np.array(self.pieces.merged(unit) if self.merger else self.pieces.best(unit)[0], "<i4").tobytes()
+
+    def ids(self, marked: list[str]) -> list[np.ndarray]:
+        parts = [units_of(t) if t else [] for t in marked]
+        if self.merger:
+            new = [u for u in set().union(*parts) if not self.unit.holds(u)]
+            self.unit.keep(self.merger.all(new, self.pieces.merged))
+        return [np.frombuffer(b"".join(map(self.unit.__getitem__, units)), "<i4") for units in parts]
+
+
 def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Max-plus product of (stacks of) matrices."""
     return (a[..., :, :, None] + b[..., None, :, :]).max(axis=-2)
@@ -255,34 +364,17 @@ def encode(docs: DataFrame, model: bytes | None = None, chunk: int = 16_384) ->
     def ids_of(text, unit):
         return list(chain.from_iterable(map(unit.__getitem__, UNIT.findall(text))))
 
-    def coder():
-        """Of a list of units: their ids as bytes, and whether they decode to themselves. Units are met again and again, so both are kept."""
-        p, odd = shared.value, set()
-
-        def known(u):
-            ids = p.merged(u) if p.bpe else p.best(u)[0]
-            if b"".join(map(p.raw.__getitem__, ids)) != u.replace(MARK, " ").encode("utf-8", "surrogatepass"):
-                odd.add(u)
-            return np.array(ids, "<i4").tobytes()
-
-        unit = Lookup(known, 600_000)
-
-        def code(units):
-            got = b"".join(map(unit.__getitem__, units))
-            return np.frombuffer(got, "<i4"), odd.isdisjoint(units)
-
-        return code
+    coder = docs.sparkSession.sparkContext.broadcast(Coder(pieces))
 
     def short(frames):
-        code = coder()
+        c = coder.value
         for frame in frames:
             # Ids leave the worker in small parts.
-            for at in batches(frame["text"], 500_000):
-                out = []
-                for doc_id, text in zip(frame["doc_id"].iloc[at], frame["text"].iloc[at]):
-                    ids, same = code(UNIT.findall(MARK + text.replace(" ", MARK)) if text else [])
-                    out.append((doc_id, len(ids), ids, same and MARK not in text))
-                yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids", "round_trip"]).astype({"doc_id": "Int64"})
+            for at in batches(frame["text"], 2_000_000):
+                texts = frame["text"].iloc[at].tolist()
+                ids = c.ids([MARK + t.replace(" ", MARK) if t else "" for t in texts])
+                same = [c.pieces.decode(i.tolist()) == t for i, t in zip(ids, texts)]
+                yield pd.DataFrame({"doc_id": frame["doc_id"].iloc[at].to_numpy(), "n_tokens": list(map(len, ids)), "ids": ids, "round_trip": same}).astype({"doc_id": "Int64"})
 
     # Units are short steps, so parts between units can be longer than the chunks whose matrices are scanned.
     chunk = 4 * chunk if pieces.bpe else chunk
@@ -356,10 +448,11 @@ def _by_units(long: DataFrame, rows: DataFrame, chunk: int, coder) -> DataFrame:
                 yield pd.DataFrame(parts, columns=["doc_id", "key", "k", "part"]).astype({"doc_id": "Int64"})
 
     def encoded(frames):
-        code = coder()
+        c = coder.value
         for frame in frames:
-            got = [code(UNIT.findall(t)) for t in frame["part"]]
-            yield pd.DataFrame({"doc_id": frame["doc_id"], "key": frame["key"], "k": frame["k"], "ids": [g[0] for g in got], "same": [g[1] for g in got]}).astype({"doc_id": "Int64"})
+            ids = c.ids(frame["part"].tolist())
+            same = [c.pieces.bytes_of(i.tolist()) == t.replace(MARK, " ").encode() for i, t in zip(ids, frame["part"])]
+            yield pd.DataFrame({"doc_id": frame["doc_id"], "key": frame["key"], "k": frame["k"], "ids": ids, "same": same}).astype({"doc_id": "Int64"})
 
     parts = long.dropDuplicates(["key"]).select("doc_id", "key", "text").mapInPandas(cut, "doc_id long, key long, k int, part string")
     parts = parts.repartition(shuffle_parts(long), "key", "k").mapInPandas(encoded, "doc_id long, key long, k int, ids array<int>, same boolean")
