@@ -131,11 +131,10 @@ def genic_check(genes: DataFrame, m: Model, seq: str = "seq") -> DataFrame:
 
     m: a model of one gene whose states are named by start_ and stop_ (see genefinder.genic).
     """
-    m = m.without_silent() if m.silent.any() else m
     s = F.upper(F.col(seq))
     good = genes.where(dna.is_start(F.substring(s, 1, 3)) & dna.is_stop(F.substring(s, -3, 3)) & s.rlike("^[ACGT]+$") & (F.char_length(s) > 5))
     good = good.select("seq_id", (F.char_length(s) % 3 == 0).alias("thirds"), dna.ints(s).alias("obs"))
-    kinds = np.array([1 if n.startswith("start") else 2 if n.startswith("stop") else 0 for n in m.names])
+    kinds = np.array([1 if n.startswith("start") else 2 if n.startswith("stop") else 0 for n, silent in zip(m.names, m.silent) if not silent])
     kind = F.array(*[F.lit(int(k)) for k in kinds])
     paths = longpath.decode_parts(longpath.cut(good.select("seq_id", "obs")), m).groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("part", "path"))).alias("parts"))
     paths = paths.select("seq_id", F.flatten(F.transform("parts", lambda p: p["path"])).alias("path"))

@@ -5,7 +5,7 @@ its first symbol, the best scores of all states at its last one. Rows of this ma
 once; after a few hundred symbols there are hardly more than a few, so a transfer costs about as much as a plain pass. Transfers
 are combined in groups of `fan` parts, groups of groups and so on, and the scores at the start of every part follow
 on the way back down. From them each part finds its back pointers by itself and traces back from all its last states at
-once; these paths meet soon, so what goes on is one common path and a short tail for each last state. Which one is the true
+once; these paths meet soon, so what goes on is one common path and a short tail for each last state, packed. Which one is the true
 last state follows from a second scan, from the end, over the maps from last to first states.
 
 Scores are whole numbers (logarithms times a power of two), so sums do not depend on how they are grouped and the path is the
@@ -14,6 +14,7 @@ plain one, the lowest state winning ties. Models have one transition class and n
 
 from __future__ import annotations
 
+import zlib
 from math import ceil, log2
 
 import numpy as np
@@ -28,7 +29,11 @@ from .state import settle
 #: Score of what is impossible; possible scores stay above half of it.
 NEG = -(1 << 61)
 #: Symbols of a part at most, parts of a group, steps between looks for equal rows, cells of back pointers in a task.
-SIZE, FAN, LOOK, CELLS = 1 << 14, 32, 32, 1 << 26
+SIZE, FAN, LOOK, CELLS = 1 << 14, 32, 32, 1 << 25
+#: Symbols of a part where many are decoded: short enough for a task to advance dozens of parts together.
+PART = 1 << 12
+#: Scores that a task moves at once, of all states before and edges of its parts; emission scores that it looks up ahead.
+MOVED, AHEAD = 1 << 22, 1 << 19
 
 
 class Steps:
@@ -56,9 +61,15 @@ class Steps:
         self.bits = 58 - ceil(log2(SIZE * worst))
         self.dst, self.src = np.nonzero(np.isfinite(la.T))
         self.w, self.start = self.whole(la[self.src, self.dst]), self.whole(start)
-        self.reached = np.unique(self.dst)
-        self.seg = np.searchsorted(self.dst, self.reached)
+        # States that one edge leads to need no choice.
+        alone = np.bincount(self.dst, minlength=self.n)[self.dst] == 1
+        self.only = [z[alone] for z in (self.src, self.dst, self.w)]
+        self.many = [z[~alone] for z in (self.src, self.dst, self.w)]
+        self.reached = np.unique(self.many[1])
+        self.seg = np.searchsorted(self.many[1], self.reached)
         self.hubs = [(i, self.whole(x), j, self.whole(y)) for i, x, j, y in self.hubs]
+        # Emission scores by symbol, a missing one last.
+        self.table = np.concatenate([self.whole(lb).T, np.zeros((1, self.n), np.int64)]) if plain.b is not None else None
 
     @staticmethod
     def _hubs(m: Model) -> list[tuple]:
@@ -70,6 +81,8 @@ class Steps:
         ways, hubs = (a[np.ix_(speaks, speaks)] > 0).astype(int), []
         for s in silent:
             i, j = speaks[a[speaks, s] > 0], speaks[a[s, speaks] > 0]
+            if not len(j) and (a[i, s] == a[i].sum(axis=1)).all():
+                continue  # an end, which no state goes on from
             if len(i) and abs(a[s].sum() - 1) > 1e-9:
                 return []
             if len(i):
@@ -81,6 +94,8 @@ class Steps:
         return np.where(np.isfinite(x), np.rint(np.where(np.isfinite(x), x, 0) * 2.0**self.bits), NEG).astype(np.int64)
 
     def said(self, obs: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[obs.astype(int)]
         with np.errstate(divide="ignore"):
             return self.whole(np.log(emissions(self.m, obs)))
 
@@ -88,11 +103,13 @@ class Steps:
         """Best scores after a move, of rows of scores."""
         out = np.full(x.shape, NEG, np.int64)
         # Of many rows, edges from states that none of them can be in are left out.
-        use = np.flatnonzero((x > NEG // 2).any(axis=0)[self.src]) if len(x) > 4 else slice(None)
-        src, dst = self.src[use], self.dst[use]
+        live = (x > NEG // 2).any(axis=0) if len(x) > 4 else np.ones(self.n, bool)
+        src, dst, w = (z[live[self.only[0]]] for z in self.only)
+        out[:, dst] = x[:, src] + w
+        src, dst, w = (z[live[self.many[0]]] for z in self.many)
         if len(src):
             seg = np.flatnonzero(np.concatenate([[True], dst[1:] != dst[:-1]]))
-            out[:, dst[seg]] = np.maximum.reduceat(x[:, src] + self.w[use], seg, axis=1)
+            out[:, dst[seg]] = np.maximum.reduceat(x[:, src] + w, seg, axis=1)
         for i, into, j, on in self.hubs:
             out[:, j] = np.maximum(out[:, j], (x[:, i] + into).max(axis=1)[:, None] + on)
         return out
@@ -100,11 +117,14 @@ class Steps:
     def moved_from(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best scores after a move and the lowest state that each comes from."""
         out, back = np.full(x.shape, NEG, np.int64), np.zeros(x.shape, np.int32)
+        src, dst, w = self.only
+        out[:, dst], back[:, dst] = x[:, src] + w, src
         if len(self.seg):
-            ways = x[:, self.src] + self.w
+            src, dst, w = self.many
+            ways = x[:, src] + w
             out[:, self.reached] = np.maximum.reduceat(ways, self.seg, axis=1)
-            edge = np.where(ways == out[:, self.dst], np.arange(len(self.src)), len(self.src) - 1)
-            back[:, self.reached] = self.src[np.minimum.reduceat(edge, self.seg, axis=1)]
+            edge = np.where(ways == out[:, dst], np.arange(len(src)), len(src) - 1)
+            back[:, self.reached] = src[np.minimum.reduceat(edge, self.seg, axis=1)]
         for i, into, j, on in self.hubs:
             ways = x[:, i] + into
             best = ways.argmax(axis=1)
@@ -149,13 +169,13 @@ class Transfer:
         return Transfer(self.of, _level(add[None])[0][0], kinds)
 
 
-def _batches(obs: list[np.ndarray], cells: int, width: int):
-    """Numbers of parts, in order of length, that go together; padded observations; lengths."""
+def _batches(obs: list, cells: int, width: int, most: int):
+    """Numbers of parts, at most `most`, in order of length, that go together; padded observations; lengths."""
     lengths = np.array([len(o) for o in obs])
     order, at = np.argsort(lengths, kind="stable"), 0
     while at < len(order):
         end = at + 1
-        while end < len(order) and (end + 1 - at) * max(int(lengths[order[end]]), 1) * width <= cells:
+        while end < len(order) and end - at < most and (end + 1 - at) * max(int(lengths[order[end]]), 1) * width <= cells:
             end += 1
         rows = order[at:end]
         x = np.zeros((len(rows), max(int(lengths[rows].max()), 1)))
@@ -165,8 +185,9 @@ def _batches(obs: list[np.ndarray], cells: int, width: int):
         at = end
 
 
-def _said(steps: Steps, x: np.ndarray, block: int = 256):
+def _said(steps: Steps, x: np.ndarray):
     """Emission scores of all parts, step by step."""
+    block = max(1, AHEAD // (len(x) * steps.n))
     for at in range(0, x.shape[1], block):
         e = steps.said(x[:, at : at + block])
         for t in range(e.shape[1]):
@@ -175,9 +196,12 @@ def _said(steps: Steps, x: np.ndarray, block: int = 256):
 
 def _transfers(steps: Steps, x: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> list[Transfer]:
     b, n = len(x), steps.n
-    of = np.tile(np.arange(n), (b, 1)) + n * np.arange(b)[:, None]  # row of each part and state before
-    add = np.zeros((b, n), np.int64)
-    rows, part = np.tile(np.where(np.eye(n, dtype=bool), 0, NEG), (b, 1)), np.repeat(np.arange(b), n)
+    # Row of each part and state before. The first part of a sequence has a start instead of a state before; state 0 stands for it, so it has one row.
+    own = np.where(first, 1, n)
+    of = np.minimum(np.arange(n), own[:, None] - 1) + (np.cumsum(own) - own)[:, None]
+    add = np.where(first[:, None] & (np.arange(n) > 0), NEG, 0).astype(np.int64)
+    part = np.repeat(np.arange(b), own)
+    rows = np.where(np.arange(n) == (np.arange(len(part)) - (np.cumsum(own) - own)[part])[:, None], 0, NEG).astype(np.int64)
     ended: list = [None] * b
 
     def squeezed():
@@ -210,9 +234,7 @@ def _transfers(steps: Steps, x: np.ndarray, lengths: np.ndarray, first: np.ndarr
             break
         now = steps.moved(rows)
         if t == 0:
-            # The first part of a sequence has a start instead of a state before; state 0 stands for it.
-            begin = np.flatnonzero(first[part])
-            now[begin] = np.where((of[part[begin], 0] == begin)[:, None], steps.start, NEG)
+            now[first[part]] = steps.start
         rows = np.maximum(np.maximum(now, NEG) + e[part], NEG)
         if (t % LOOK == LOOK - 1 or t in (0, 1, 3, 7, 15)) and len(rows) > len(np.unique(part)):
             squeezed()
@@ -224,7 +246,7 @@ def _transfers(steps: Steps, x: np.ndarray, lengths: np.ndarray, first: np.ndarr
 
 
 def _traced(steps: Steps, x: np.ndarray, lengths: np.ndarray, first: np.ndarray, before: np.ndarray):
-    """For each part: state before for each last state, common path, tails, gains, best last state (-1: none)."""
+    """For each part: state before for each last state, common path, tails (packed, see _unpacked), gains, best last state (-1: none)."""
     b, n = len(x), steps.n
     back = np.zeros((x.shape[1], b, n), np.uint8 if n <= 256 else np.uint16 if n <= 1 << 16 else np.int32)
     score = before.copy()
@@ -248,12 +270,18 @@ def _traced(steps: Steps, x: np.ndarray, lengths: np.ndarray, first: np.ndarray,
     for i in range(b):
         size = int(lengths[i])
         if best[i] < 0:
-            yield np.zeros(n, int), [], [], np.zeros(n, int), -1
+            yield np.zeros(n, int), np.zeros(0, np.int32), b"", np.zeros(n, int), -1
             continue
         paths = back[:size, i]
         common = int((paths == paths[:, :1]).all(axis=1).sum())  # paths that meet, going back, stay together
         from_score = np.where(first[i], 0, before[i][origin[i]])
-        yield origin[i], paths[:common, 0].astype(np.int32), paths[common:].T.ravel().astype(np.int32), np.where(ok[i], last[i] - from_score, 0), int(best[i])
+        yield origin[i], paths[:common, 0].astype(np.int32), zlib.compress(paths[common:].T.tobytes(), 1), np.where(ok[i], last[i] - from_score, 0), int(best[i])
+
+
+def _unpacked(steps: Steps, tails: bytes, state: int) -> np.ndarray:
+    """The tail of one last state; those of the last states differ little, so together they pack into little more than one."""
+    kind = np.uint8 if steps.n <= 256 else np.uint16 if steps.n <= 1 << 16 else np.int32
+    return np.frombuffer(zlib.decompress(tails), kind).reshape(steps.n, -1)[state].astype(np.int32)
 
 
 def _grouped(rows: DataFrame, fan: int) -> DataFrame:
@@ -296,15 +324,21 @@ def decode_parts(parts: DataFrame, m: Model, fan: int = FAN) -> DataFrame:
     """
     steps = Steps(m)
     n = steps.n
+    most = max(1, MOVED // (n * (n + len(steps.src))))
 
     def transfers(frames):
         for frame in frames:
-            obs, first = [np.asarray(o, float) for o in frame["obs"]], frame["part"].to_numpy() == 0
+            obs, first = list(frame["obs"]), frame["part"].to_numpy() == 0
             if any(len(o) > SIZE for o in obs):
                 raise ValueError(f"a part has more than {SIZE} symbols")
-            for rows, x, lengths in _batches(obs, CELLS, n + 8):
-                got = _transfers(steps, x, lengths, first[rows])
-                yield pd.DataFrame({"seq_id": frame["seq_id"].to_numpy()[rows], "part": frame["part"].to_numpy()[rows], "data": [g.packed() for g in got]})
+            # First parts have a row where others have one for each state, so more of them go together.
+            for some, size in ((np.flatnonzero(first), most * n), (np.flatnonzero(~first), most)):
+                yield from moved(frame.iloc[some], [obs[i] for i in some], first[some], size)
+
+    def moved(frame, obs, first, size):
+        for rows, x, lengths in _batches(obs, CELLS, n + 8, size):
+            got = _transfers(steps, x, lengths, first[rows])
+            yield pd.DataFrame({"seq_id": frame["seq_id"].to_numpy()[rows], "part": frame["part"].to_numpy()[rows], "data": [g.packed() for g in got]})
 
     def chained(datas):
         whole = Transfer.unpacked(datas[0])
@@ -319,7 +353,9 @@ def decode_parts(parts: DataFrame, m: Model, fan: int = FAN) -> DataFrame:
             x = _level(Transfer.unpacked(d).after(x))[0]
         return out
 
-    parts = parts.select(F.col("seq_id").cast("long").alias("seq_id"), F.col("part").cast("long").alias("part"), "obs")
+    # Few bytes but long work: the parts go to all tasks.
+    tasks = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = settle(parts.select(F.col("seq_id").cast("long").alias("seq_id"), F.col("part").cast("long").alias("part"), "obs").repartition(tasks, "seq_id", "part"))
     bottom = settle(parts.mapInPandas(transfers, "seq_id long, part long, data binary"))
     levels = _levels(bottom, chained, fan)
     zero = np.where(np.arange(n) == 0, 0, NEG).astype(np.int64).tobytes()
@@ -327,9 +363,9 @@ def decode_parts(parts: DataFrame, m: Model, fan: int = FAN) -> DataFrame:
 
     def traces(frames):
         for frame in frames:
-            obs, first = [np.asarray(o, float) for o in frame["obs"]], frame["part"].to_numpy() == 0
+            obs, first = list(frame["obs"]), frame["part"].to_numpy() == 0
             begin = np.stack([np.frombuffer(v, np.int64) for v in frame["value"]]) if len(frame) else np.zeros((0, n), np.int64)
-            for rows, x, lengths in _batches(obs, CELLS, n + 8):
+            for rows, x, lengths in _batches(obs, CELLS, n + 8, most * n):
                 got = list(_traced(steps, x, lengths, first[rows], begin[rows]))
                 origin, common, tails, gain, best = map(list, zip(*got))
                 yield pd.DataFrame({
@@ -337,8 +373,8 @@ def decode_parts(parts: DataFrame, m: Model, fan: int = FAN) -> DataFrame:
                     "common": common, "tails": tails, "gains": [g / 2.0**steps.bits for g in gain], "best": best,
                 })
 
-    schema = "seq_id long, part long, data binary, common array<int>, tails array<int>, gains array<double>, best int"
-    traced = settle(parts.join(before, ["seq_id", "part"]).mapInPandas(traces, schema))
+    schema = "seq_id long, part long, data binary, common array<int>, tails binary, gains array<double>, best int"
+    traced = settle(parts.join(before, ["seq_id", "part"]).repartition(tasks, "seq_id", "part").mapInPandas(traces, schema))
 
     def composed(datas):
         whole = np.frombuffer(datas[-1], np.int64)
@@ -360,11 +396,15 @@ def decode_parts(parts: DataFrame, m: Model, fan: int = FAN) -> DataFrame:
     known = known.mapInPandas(lambda frames: (f.assign(value=[np.int64(v).tobytes() for v in f["best"]])[["seq_id", "part", "value"]] for f in frames), "seq_id long, part long, value binary")
     last = _down(maps, known, ends, fan)
     last = last.mapInPandas(lambda frames: (f.assign(state=[int(np.frombuffer(v, np.int64)[0]) for v in f["value"]])[["seq_id", "part", "state"]] for f in frames), "seq_id long, part long, state int")
-    d = traced.drop("data", "best").join(last, ["seq_id", "part"])
-    size = F.floor(F.size("tails") / n).cast("int")
-    path = F.concat("common", F.slice("tails", F.col("state") * size + 1, size))
-    fine = F.col("state") >= 0
-    return d.select("seq_id", "part", F.when(fine, path).alias("path"), F.when(fine, F.get("gains", F.col("state"))).alias("logp"))
+
+    def chosen(frames):
+        for frame in frames:
+            out = []
+            for s, p, common, tails, gains, state in zip(*(frame[c] for c in ("seq_id", "part", "common", "tails", "gains", "state"))):
+                out.append((s, p, np.concatenate([common, _unpacked(steps, tails, state)]) if state >= 0 else None, gains[state] if state >= 0 else None))
+            yield pd.DataFrame(out, columns=["seq_id", "part", "path", "logp"])
+
+    return traced.drop("data", "best").join(last, ["seq_id", "part"]).mapInPandas(chosen, "seq_id long, part long, path array<int>, logp double")
 
 
 def cut(seqs: DataFrame, size: int = SIZE) -> DataFrame:
@@ -393,10 +433,13 @@ def one_contig(rows: DataFrame, order: list[str], size: int = SIZE, backwards: b
 
 
 def gathered(parts: DataFrame, size: int) -> DataFrame:
-    """seq_id, part, obs: parts (with offset) put together anew into parts of `size` symbols."""
-    d = parts.select("seq_id", "offset", F.posexplode("obs").alias("i", "x")).withColumn("at", F.col("offset") + F.col("i"))
-    d = d.groupBy("seq_id", F.floor(F.col("at") / size).cast("long").alias("part")).agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("xs"))
-    return d.select("seq_id", "part", F.transform("xs", lambda x: x["x"]).alias("obs"))
+    """seq_id, part, obs: parts (with offset) put together anew into parts of `size` symbols. Slices of the parts are shuffled, not symbols."""
+    chunk = F.explode(F.sequence(F.floor(F.col("offset") / size).cast("long"), F.floor((F.col("offset") + F.size("obs") - 1) / size).cast("long")))
+    d = parts.where(F.size("obs") > 0).select("seq_id", "offset", "obs", chunk.alias("chunk"))
+    begin = F.greatest(F.col("chunk") * size - F.col("offset"), F.lit(0))
+    own = F.slice("obs", (begin + 1).cast("int"), ((F.col("chunk") + 1) * size - F.col("offset") - begin).cast("int"))
+    d = d.select("seq_id", F.col("chunk").alias("part"), F.struct((F.col("offset") + begin).alias("at"), own.alias("x")).alias("x"))
+    return d.groupBy("seq_id", "part").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("seq_id", "part", F.flatten(F.transform("xs", lambda x: x["x"])).alias("obs"))
 
 
 def cut_rows(rows: DataFrame, order: list[str], size: int, backwards: bool = False) -> DataFrame:
@@ -408,7 +451,7 @@ def cut_rows(rows: DataFrame, order: list[str], size: int, backwards: bool = Fal
 def runs(paths: DataFrame, kind: list[int]) -> DataFrame:
     """seq_id, kind, first, last (places from 0) of the maximal runs of states of one kind, of paths (seq_id, part, offset, path).
 
-    Parts find their own runs; only these are put together along the sequence.
+    Parts find their own runs; only those at the ends of parts are put together along the sequence.
     """
     table = np.array(kind)
 
@@ -421,10 +464,14 @@ def runs(paths: DataFrame, kind: list[int]) -> DataFrame:
                 k = table[np.asarray(path)]
                 at = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
                 end = np.concatenate([at[1:], [len(k)]]) - 1
-                out += [(s, int(k[i]), int(o + i), int(o + j)) for i, j in zip(at, end)]
-            yield pd.DataFrame(out, columns=["seq_id", "kind", "first", "last"])
+                out += [(s, int(k[i]), int(o + i), int(o + j), bool(i == 0 or j == len(k) - 1)) for i, j in zip(at, end)]
+            yield pd.DataFrame(out, columns=["seq_id", "kind", "first", "last", "open"])
 
-    d = paths.select("seq_id", "part", "offset", "path").mapInPandas(own, "seq_id long, kind int, first long, last long")
+    every = settle(paths.select("seq_id", "part", "offset", "path").mapInPandas(own, "seq_id long, kind int, first long, last long, open boolean"))
+    d = every.where("open").drop("open")
     w = Window.partitionBy("seq_id").orderBy("first")
-    d = d.withColumn("new", F.when(F.lag("kind").over(w) == F.col("kind"), 0).otherwise(1)).withColumn("g", F.sum("new").over(w))
-    return d.groupBy("seq_id", "g", "kind").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("g")
+    # Runs that go on stand next to each other; closed ones stand between others.
+    on = (F.lag("kind").over(w) == F.col("kind")) & (F.lag("last").over(w) + 1 == F.col("first"))
+    d = d.withColumn("new", F.when(on, 0).otherwise(1)).withColumn("g", F.sum("new").over(w))
+    d = d.groupBy("seq_id", "g", "kind").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("g")
+    return d.unionByName(every.where("not open").drop("open"))

@@ -397,8 +397,8 @@ def genes_of_corpus(spark, sf_dir):
     """All documents' bases as one contig, in order of doc_id, and the genes found in it."""
     d = strings(spark, sf_dir)
     m = gene_model({r["codon"]: r["n"] for r in codons.codon_counts(d).collect()})
-    parts = settle(longpath.one_contig(d.select("doc_id", dna.ints(F.col("seq")).alias("obs")), ["doc_id"]))
-    paths = longpath.decode_parts(parts, m).join(parts.select("seq_id", "part", "offset"), ["seq_id", "part"])
+    parts = longpath.gathered(longpath.one_contig(d.select("doc_id", dna.ints(F.col("seq")).alias("obs")), ["doc_id"]), longpath.PART)
+    paths = longpath.decode_parts(parts, m).withColumn("offset", F.col("part") * longpath.PART)
     return genefinder.genes_of(paths, m).select(F.col("first").alias("first_base"), F.col("last").alias("last_base"))
 
 
