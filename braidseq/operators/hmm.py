@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.models import Model
+from .state import settle
 
 
 def emissions(m: Model, obs: np.ndarray) -> np.ndarray:
@@ -60,6 +61,41 @@ def padded(frame: pd.DataFrame, size: int = 1 << 21):
         at = end
 
 
+#: Symbols of a task's share where passes over the sequences are many: of small tables, of large ones.
+SHARE = (1 << 16, 1 << 19)
+
+
+def packed(seqs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """seqs for many passes: rows (ids, obs, lengths, weight, more; binary) of padded batches, in as many partitions as their symbols need.
+
+    more: columns of whole numbers, -1 for null. Sequences without symbols stay; read with unpacked.
+    """
+    weight = [F.col("weight").cast("double").alias("weight")] if "weight" in seqs.columns else [F.lit(1.0).alias("weight")]
+    d = seqs.select(F.col("seq_id").cast("long").alias("seq_id") if "seq_id" in seqs.columns else F.lit(0).cast("long").alias("seq_id"), "obs", *weight, *[F.coalesce(F.col(c).cast("long"), F.lit(-1).cast("long")).alias(c) for c in more]).persist()
+    total = d.agg(F.sum(F.greatest(F.size("obs"), F.lit(1)).cast("long"))).first()[0] or 0
+    tasks = max(1, min(-(-total // SHARE[0]), max(seqs.sparkSession.sparkContext.defaultParallelism, -(-total // SHARE[1]))))
+
+    def run(frames):
+        for frame in frames:
+            for rows, obs, n in padded(frame, 1 << 19):
+                own = frame.iloc[rows]
+                columns = {"ids": own["seq_id"].to_numpy(np.int64), "obs": obs, "lengths": n.astype(np.int64), "weight": own["weight"].to_numpy(float), **{c: own[c].to_numpy(np.int64) for c in more}}
+                yield pd.DataFrame({k: [np.ascontiguousarray(v).tobytes()] for k, v in columns.items()})
+
+    out = settle(d.repartition(tasks).mapInPandas(run, ", ".join(f"{c} binary" for c in ("ids", "obs", "lengths", "weight", *more)))).persist()
+    d.unpersist()
+    return out
+
+
+def unpacked(frames):
+    """Batches of packed sequences: dicts of arrays."""
+    for frame in frames:
+        for r in frame.to_dict("records"):
+            out = {k: np.frombuffer(v, float if k in ("obs", "weight") else np.int64) for k, v in r.items()}
+            out["obs"] = out["obs"].reshape(len(out["ids"]), -1)
+            yield out
+
+
 def classes(m: Model, t: int) -> int:
     """Transition class of step t: classes take turns unless the model names its own rule."""
     rule = m.extra.get("class_of")
@@ -69,6 +105,8 @@ def classes(m: Model, t: int) -> int:
 def forward(m: Model, b: np.ndarray, lengths: np.ndarray, allowed: np.ndarray | None = None):
     """Scaled alphas (batch, time, states), scales (batch, time), log-likelihood (nan: impossible; 0 for empty ones)."""
     n, steps, _ = b.shape
+    if not m.silent.any():
+        return _forward_speaking(m, b if allowed is None else b * allowed, lengths)
     silent = m.silent_order()
     alpha, scale = np.zeros((n, steps, m.n)), np.ones((n, steps))
     b = b if allowed is None else b * allowed
@@ -100,6 +138,27 @@ def forward(m: Model, b: np.ndarray, lengths: np.ndarray, allowed: np.ndarray |
     return alpha, scale, np.where(np.isfinite(logp), logp, np.nan)
 
 
+def _forward_speaking(m: Model, b: np.ndarray, lengths: np.ndarray):
+    """forward without silent states: fewer operations a step."""
+    n, steps, _ = b.shape
+    alpha, scale = np.zeros((steps, n, m.n)), np.ones((steps, n))
+    for t in range(steps):
+        k = classes(m, t)
+        x = ((m.a[k][0] if m.from_first else m.pi) if t == 0 else alpha[t - 1] @ m.a[k]) * b[:, t]
+        total = x.sum(axis=1)
+        on = t < lengths
+        live = on & (total > 0)
+        if live.all():
+            scale[t] = total
+            np.divide(x, total[:, None], out=alpha[t])
+        else:
+            scale[t] = np.where(live, total, np.where(on, 0, 1))
+            np.divide(x, total[:, None], out=alpha[t], where=live[:, None])
+    with np.errstate(divide="ignore"):
+        logp = np.log(scale.T).sum(axis=1)
+    return alpha.transpose(1, 0, 2), scale.T, np.where(np.isfinite(logp), logp, np.nan)
+
+
 def backward(m: Model, b: np.ndarray, lengths: np.ndarray, scale: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
     """Betas scaled as the alphas; models with silent states are taken without them."""
     n, steps, _ = b.shape

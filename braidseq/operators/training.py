@@ -14,39 +14,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.models import LEAST_VARIANCE, PENALTY, Model
-from .hmm import backward, classes, emissions, forward, padded, scores
+from .hmm import backward, classes, emissions, forward, packed, padded, scores, unpacked
 
 #: Most steps, and the relative gain in log-likelihood at which training ends.
 STEPS, GAIN = 500, 1e-4
 
 
-def counted(m: Model, obs, n, weight, allowed=None) -> dict[str, np.ndarray]:
-    """Expected counts of a batch. Impossible sequences count in `lost` only."""
+def posteriors(m: Model, obs, n, allowed=None) -> tuple:
+    """Emissions, alphas, scales, betas, state probabilities and log-likelihoods of a batch; what is past a sequence's end is 0."""
     b = emissions(m, obs)
     alpha, scale, logp = forward(m, b, n, allowed)
     beta = backward(m, b, n, scale, allowed)
-    ok = ~np.isnan(logp) & (n > 0)
-    w = np.where(ok, weight, 0.0)
     gamma = alpha * beta
     total = gamma.sum(axis=2, keepdims=True)
-    gamma = np.divide(gamma, total, out=np.zeros_like(gamma), where=total > 0) * w[:, None, None] * (np.arange(obs.shape[1])[None, :, None] < n[:, None, None])
+    gamma = np.divide(gamma, total, out=np.zeros_like(gamma), where=(total > 0) & (np.arange(obs.shape[1])[None, :, None] < n[:, None, None]))
+    return b if allowed is None else b * allowed, alpha, scale, beta, gamma, logp
+
+
+def counted(m: Model, obs, n, weight, allowed=None, found: tuple | None = None) -> dict[str, np.ndarray]:
+    """Expected counts of a batch. Impossible sequences count in `lost` only. found: its posteriors, if they are known."""
+    be, alpha, scale, beta, gamma, logp = posteriors(m, obs, n, allowed) if found is None else found
+    ok = ~np.isnan(logp) & (n > 0)
+    w = np.where(ok, weight, 0.0)
+    gamma = gamma * w[:, None, None]
     out = {"logp": np.array([np.where(ok, logp * weight, 0).sum(), (weight * (~ok & (n > 0))).sum()]), "pi": gamma[:, 0].sum(axis=0), "a": np.zeros_like(m.a)}
-    be = b if allowed is None else b * allowed
-    for t in range(1, obs.shape[1]):
-        live = (t < n) * w
-        if not live.any():
-            break
-        right = be[:, t] * beta[:, t] / np.where(scale[:, t] > 0, scale[:, t], 1)[:, None]
-        k = classes(m, t)
-        out["a"][k] += m.a[k] * ((alpha[:, t - 1] * live[:, None]).T @ right)
+    steps = obs.shape[1]
+    if steps > 1:
+        # beta is 0 past a sequence's end, so its moves there are none.
+        right = be[:, 1:] * beta[:, 1:] / np.where(scale[:, 1:] > 0, scale[:, 1:], 1)[..., None]
+        left, kinds = alpha[:, :-1] * w[:, None, None], np.array([classes(m, t) for t in range(1, steps)])
+        for k in np.unique(kinds):
+            on = slice(None) if (kinds == k).all() else kinds == k
+            out["a"][k] += m.a[k] * (left[:, on].reshape(-1, m.n).T @ right[:, on].reshape(-1, m.n))
     if m.b is not None:
-        size, row = m.symbols, np.zeros(len(obs), int)
-        out["b"] = np.zeros_like(m.b)
-        for t in range(obs.shape[1]):
-            o = obs[:, t].astype(int)
-            row = (row * size) % size ** (m.order + 1) + np.minimum(o, size - 1)
-            use = (o < size) & (t >= m.order)
-            np.add.at(out["b"].T, row[use], gamma[use, t])
+        size, o = m.symbols, obs.astype(int)
+        row, row_t = np.zeros(o.shape, int), np.zeros(len(o), int)
+        for t in range(steps) if m.order else ():
+            row_t = (row_t * size) % size ** (m.order + 1) + np.minimum(o[:, t], size - 1)
+            row[:, t] = row_t
+        row = row if m.order else np.minimum(o, size - 1)
+        use = (o < size) & (np.arange(steps) >= m.order)
+        out["b"] = np.stack([np.bincount(row[use], gamma[..., s][use], m.b.shape[1]) for s in range(m.n)])
         return out
     x = obs[..., None, None]
     part = m.c * np.exp(-((x - m.mu) ** 2) / (2 * m.var)) / np.sqrt(m.var)
@@ -150,49 +158,64 @@ def trained_apart(seqs: DataFrame, models: list[Model], steps: int = STEPS, gain
     A model without sequences stays. Its last step's gain decides when a model leaves; then only its sequences' counts are left out.
     """
     models = [m.without_silent() if m.silent.any() else m for m in models]
-    seqs = seqs.select("model_id", *[c for c in ("weight", "obs") if c in seqs.columns]).persist()
-    last, moving = dict.fromkeys(range(len(models)), -np.inf), set(range(len(models)))
+    blocks = packed(seqs, ("model_id",))
     try:
-        for _ in range(steps):
-            on = {k: models[k] for k in moving}
-
-            def run(frames, on=on):
-                total: dict = {}
-                for frame in frames:
-                    for k, m in on.items():
-                        own = frame[frame["model_id"] == k]
-                        if not len(own):
-                            continue
-                        weight = own["weight"].to_numpy(float) if "weight" in own else np.ones(len(own))
-                        for rows, obs, n in padded(own, 1 << 19):
-                            for name, value in counted(m, obs, n, weight[rows]).items():
-                                total[k, name] = total.get((k, name), 0) + value
-                if total:
-                    yield pd.concat([pd.DataFrame({"model": k, "name": name, "place": np.arange(v.size), "value": v.ravel()}) for (k, name), v in total.items()])
-
-            got: dict = {}
-            rows = seqs.where(F.col("model_id").isin(sorted(moving))).mapInPandas(run, "model int, name string, place int, value double")
-            for r in rows.groupBy("model", "name", "place").agg(F.sum("value").alias("value")).collect():
-                got.setdefault(r["model"], {}).setdefault(r["name"], {})[r["place"]] = r["value"]
-            for k in sorted(moving):
-                if k not in got:
-                    moving.discard(k)
-                    continue
-                m = models[k]
-                shapes = {"logp": (2,), "pi": m.pi.shape, "a": m.a.shape} | ({"b": m.b.shape} if m.b is not None else {x: m.c.shape for x in ("c", "x", "xx")})
-                e = {name: np.zeros(shape) for name, shape in shapes.items()}
-                for name, values in got[k].items():
-                    e[name].flat[list(values)] = list(values.values())
-                now = e["logp"][0] + PENALTY * e["logp"][1]
-                if np.isfinite(last[k]) and now - last[k] <= gain * abs(now):
-                    moving.discard(k)
-                    continue
-                last[k], models[k] = now, maximized(m, e)
-            if not moving:
-                break
-        return models
+        return _trained(blocks, models, steps, gain, {})
     finally:
-        seqs.unpersist()
+        blocks.unpersist()
+
+
+def summed(rows: DataFrame, *keys: str) -> dict[tuple, float]:
+    """Sums of value by keys. Each task has summed its own, so it sends as many rows as the models have parameters, without a shuffle."""
+    out: dict = {}
+    for r in rows.collect():
+        key = tuple(r[k] for k in keys)
+        out[key] = out.get(key, 0.0) + r["value"]
+    return out
+
+
+def _trained(blocks: DataFrame, models: list[Model], steps: int, gain: float, moved: dict[int, int]) -> list[Model]:
+    """trained_apart over packed sequences. moved: sequences that count for another model than their own number."""
+    models, last, moving = list(models), dict.fromkeys(range(len(models)), -np.inf), set(range(len(models)))
+    for _ in range(steps):
+        on = {k: models[k] for k in moving}
+
+        def run(frames, on=on):
+            total: dict = {}
+            for x in unpacked(frames):
+                of = x["model_id"].copy()
+                for seq, k in moved.items():
+                    of[x["ids"] == seq] = k
+                for k, m in on.items():
+                    own = np.flatnonzero(of == k)
+                    if not len(own):
+                        continue
+                    for name, value in counted(m, x["obs"][own], x["lengths"][own], x["weight"][own]).items():
+                        total[k, name] = total.get((k, name), 0) + value
+            if total:
+                yield pd.concat([pd.DataFrame({"model": k, "name": name, "place": np.arange(v.size), "value": v.ravel()}) for (k, name), v in total.items()])
+
+        got: dict = {}
+        rows = blocks.mapInPandas(run, "model int, name string, place int, value double")
+        for (k, name, place), value in summed(rows, "model", "name", "place").items():
+            got.setdefault(k, {}).setdefault(name, {})[place] = value
+        for k in sorted(moving):
+            if k not in got:
+                moving.discard(k)
+                continue
+            m = models[k]
+            shapes = {"logp": (2,), "pi": m.pi.shape, "a": m.a.shape} | ({"b": m.b.shape} if m.b is not None else {x: m.c.shape for x in ("c", "x", "xx")})
+            e = {name: np.zeros(shape) for name, shape in shapes.items()}
+            for name, values in got[k].items():
+                e[name].flat[list(values)] = list(values.values())
+            now = e["logp"][0] + PENALTY * e["logp"][1]
+            if np.isfinite(last[k]) and now - last[k] <= gain * abs(now):
+                moving.discard(k)
+                continue
+            last[k], models[k] = now, maximized(m, e)
+        if not moving:
+            break
+    return models
 
 
 def random_starts(seqs: DataFrame, m: Model, k: int, steps: int = 5, seed: int = 0) -> list[Model]:
@@ -203,24 +226,29 @@ def random_starts(seqs: DataFrame, m: Model, k: int, steps: int = 5, seed: int =
 
 
 def _reseeded(seqs: DataFrame, labels: DataFrame, k: int) -> DataFrame:
-    """labels, where each of the k clusters has a member if there are so many sequences: an empty one gets the sequence that fits worst for its length, from a cluster that has others."""
-    sizes = {r["model_id"]: r["n"] for r in labels.where("model_id is not null").groupBy("model_id").agg(F.count("*").alias("n")).collect()}
-    empty = [i for i in range(k) if i not in sizes]
-    if not empty:
+    """labels, where each of the k clusters has a member if there are so many sequences (see _moved)."""
+    moved = _moved(seqs, labels, {r["model_id"]: r["n"] for r in labels.where("model_id is not null").groupBy("model_id").agg(F.count("*").alias("n")).collect()}, k)
+    if not moved:
         return labels
+    to = F.create_map(*[F.lit(x) for pair in moved.items() for x in pair])
+    return labels.withColumn("model_id", F.coalesce(F.element_at(to, F.col("seq_id")), F.col("model_id")))
+
+
+def _moved(seqs: DataFrame, labels: DataFrame, sizes: dict[int, int], k: int) -> dict[int, int]:
+    """Sequences that go to empty clusters: an empty one gets the sequence that fits worst for its length, from a cluster that has others."""
+    empty = [i for i in range(k) if not sizes.get(i)]
+    if not empty:
+        return {}
     fit = F.col("logp") / F.greatest(F.size("obs"), F.lit(1))
     worst = labels.where("model_id is not null").join(seqs.select("seq_id", "obs"), "seq_id").select("seq_id", "model_id", fit.alias("fit")).orderBy("fit", "seq_id").limit(2 * k)
-    moved = {}
+    moved, sizes = {}, dict(sizes)
     for r in worst.collect():  # at most two for each cluster
         if len(moved) == len(empty):
             break
         if sizes[r["model_id"]] > 1:
             sizes[r["model_id"]] -= 1
             moved[r["seq_id"]] = empty[len(moved)]
-    if not moved:
-        return labels
-    to = F.create_map(*[F.lit(x) for pair in moved.items() for x in pair])
-    return labels.withColumn("model_id", F.coalesce(F.element_at(to, F.col("seq_id")), F.col("model_id")))
+    return moved
 
 
 def viterbi_train(seqs: DataFrame, m: Model, steps: int = 50, pseudo: float = 0.0) -> Model:
@@ -289,18 +317,42 @@ def cluster(seqs: DataFrame, models: list[Model], rounds: int | None = None, ste
     """
     from .hmm import classify
 
-    seqs, before = seqs.persist(), None
-    for _ in range(STEPS if rounds is None else rounds):
-        labels = classify(seqs, dict(enumerate(models))).persist()
-        if before is not None:
-            same = labels.join(before.select("seq_id", F.col("model_id").alias("old")), "seq_id").where("not (model_id <=> old)").limit(1).count() == 0
-            before.unpersist()
-            if same and steps >= STEPS:
-                return models, labels
-            steps = STEPS if same else steps
-        members = _reseeded(seqs, labels, len(models)) if reseed else labels
-        models = trained_apart(seqs.join(members.select("seq_id", "model_id"), "seq_id"), models, steps)
-        before = labels
+    def labels_of(some, obs, n):
+        """Number of each sequence's best model (the lowest of equals), -1 for none."""
+        logp = np.stack([forward(m, emissions(m, obs), n)[2] for m in some], axis=1)
+        joint = np.where(np.isnan(logp), -np.inf, logp) + np.log([m.prior for m in some])
+        return np.where(np.isfinite(joint.max(axis=1)), joint.argmax(axis=1), -1)
+
+    def labelled(now, before):
+        """The sequences with their labels, and whether the models before gave another."""
+
+        def run(frames):
+            for x in unpacked(frames):
+                label = labels_of(now, x["obs"], x["lengths"])
+                other = -1 if before is None else int((label != labels_of(before, x["obs"], x["lengths"])).sum())
+                sizes = np.bincount(label + 1, minlength=len(now) + 1)
+                yield pd.DataFrame({**{k: [x[k].tobytes()] for k in ("ids", "obs", "lengths", "weight")}, "model_id": [label.tobytes()], "other": other, "sizes": [sizes]})
+
+        return blocks.mapInPandas(run, "ids binary, obs binary, lengths binary, weight binary, model_id binary, other long, sizes array<long>").persist()
+
+    seqs = seqs.persist()
+    blocks, before = packed(seqs), None
+    try:
+        for _ in range(STEPS if rounds is None else rounds):
+            found = labelled(models, before)
+            counts = found.agg(F.sum("other").alias("other"), *[F.sum(F.get("sizes", F.lit(k + 1))).alias(f"n{k}") for k in range(len(models))]).first()
+            if before is not None:
+                same = not counts["other"]
+                if same and steps >= STEPS:
+                    found.unpersist()
+                    return models, classify(seqs, dict(enumerate(models)))
+                steps = STEPS if same else steps
+            sizes = {k: counts[f"n{k}"] or 0 for k in range(len(models))}
+            moved = _moved(seqs, classify(seqs, dict(enumerate(models))), sizes, len(models)) if reseed else {}
+            before, models = models, _trained(found.drop("other", "sizes"), [m.without_silent() if m.silent.any() else m for m in models], steps, GAIN, moved)
+            found.unpersist()
+    finally:
+        blocks.unpersist()
     if rounds is None:
         raise RuntimeError(f"labels still change after {STEPS} rounds")
     return models, classify(seqs, dict(enumerate(models)))
