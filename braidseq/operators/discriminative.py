@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.models import Model
-from .hmm import emissions, forward, padded
-from .training import counted
+from .hmm import emissions, forward, packed, padded, unpacked
+from .training import counted, posteriors, summed
 
 #: Share of the new parameters in a closed step, shrink of its factor, first gradient rate for each symbol.
 MIX, SHRINK, RATE = 0.14, 0.99, 0.3
@@ -75,6 +75,10 @@ def _labelled(seqs: DataFrame, models: list[Model]) -> DataFrame:
 
 def coupled(seqs: DataFrame, models: list[Model], alpha: float = 1.0) -> tuple[float, float, list[dict[str, dict[str, np.ndarray]]]]:
     """Objective, symbols, and for each model the counts `own` and `rest`: both weighed by slopes. One pass."""
+    return _coupled(packed(_labelled(seqs, models), ("label",)), models, alpha)
+
+
+def _coupled(blocks: DataFrame, models: list[Model], alpha: float):
     prior = np.array([m.prior for m in models])
 
     def run(frames):
@@ -83,28 +87,27 @@ def coupled(seqs: DataFrame, models: list[Model], alpha: float = 1.0) -> tuple[f
         def put(key, value):
             total[key] = total.get(key, 0) + value
 
-        for frame in frames:
-            for rows, obs, n in padded(frame, 1 << 19):
-                label, weight = frame["label"].to_numpy(int)[rows], frame["weight"].to_numpy(float)[rows]
-                _, s, slope, share = margins(_scores(models, obs, n), prior, label, alpha)
-                put((-1, "all", "objective"), np.array([(weight * s).sum(), n.sum()]))
-                for k, m in enumerate(models):
-                    for kind, some, w in (("own", label == k, slope * weight), ("rest", label != k, slope * weight * share[:, k])):
-                        at = np.flatnonzero(some & (w > 0))
-                        if len(at):
-                            put((k, kind, "weight"), np.array([w[at].sum()]))
-                            for name, value in counted(m, obs[at], n[at], w[at]).items():
-                                if name != "logp":
-                                    put((k, kind, name), value)
+        for batch in unpacked(frames):
+            obs, n, label, weight = (batch[k] for k in ("obs", "lengths", "label", "weight"))
+            found = [posteriors(m, obs, n) for m in models]
+            _, s, slope, share = margins(np.stack([f[-1] for f in found], axis=1), prior, label, alpha)
+            put((-1, "all", "objective"), np.array([(weight * s).sum(), n.sum()]))
+            for k, m in enumerate(models):
+                for kind, some, w in (("own", label == k, slope * weight), ("rest", label != k, slope * weight * share[:, k])):
+                    at = np.flatnonzero(some & (w > 0))
+                    if len(at):
+                        put((k, kind, "weight"), np.array([w[at].sum()]))
+                        for name, value in counted(m, obs[at], n[at], w[at], found=tuple(f[at] for f in found[k])).items():
+                            if name != "logp":
+                                put((k, kind, name), value)
         if total:
             yield pd.concat([pd.DataFrame({"model": k, "kind": kind, "name": name, "place": np.arange(v.size), "value": v.ravel()}) for (k, kind, name), v in total.items()])
 
-    rows = _labelled(seqs, models).mapInPandas(run, "model int, kind string, name string, place int, value double")
-    rows = rows.groupBy("model", "kind", "name", "place").agg(F.sum("value").alias("value")).collect()
+    rows = blocks.mapInPandas(run, "model int, kind string, name string, place int, value double")
     empty = lambda m: {"pi": np.zeros_like(m.pi), "a": np.zeros_like(m.a), "b": np.zeros_like(m.b), "weight": np.zeros(1)}
     counts, objective = [{"own": empty(m), "rest": empty(m)} for m in models], np.zeros(2)
-    for r in rows:
-        (objective if r["model"] < 0 else counts[r["model"]][r["kind"]][r["name"]]).flat[r["place"]] = r["value"]
+    for (k, kind, name, place), value in summed(rows, "model", "kind", "name", "place").items():
+        (objective if k < 0 else counts[k][kind][name]).flat[place] = value
     return float(objective[0]), float(objective[1]), counts
 
 
@@ -178,16 +181,17 @@ def train(seqs: DataFrame, models: list[Model], form: str = "gradient", steps: i
     if len(models) < 2 or any(m.b is None or m.silent.any() for m in models):
         raise ValueError("two discrete models without silent states at least")
     seqs = _labelled(seqs, models).persist()
+    blocks = packed(seqs, ("label",))
     try:
         share = {r["label"]: r["w"] for r in seqs.groupBy("label").agg(F.sum("weight").alias("w")).collect()}
         every = sum(share.values())
         now = [replace(m, prior=share.get(k, 0.0) / every if every else m.prior) for k, m in enumerate(models)]
-        best, symbols, counts = coupled(seqs, now, alpha)
+        best, symbols, counts = _coupled(blocks, now, alpha)
         seen, size = [best], RATE / max(symbols, 1.0) if form == "gradient" else MIX
         for _ in range(steps):
             for _ in range(halvings):
                 tried = [by_gradient(m, c, size) if form == "gradient" else by_closed_form(m, c, size) for m, c in zip(now, counts)]
-                value, _, new = coupled(seqs, tried, alpha)
+                value, _, new = _coupled(blocks, tried, alpha)
                 if value > best:
                     break
                 size /= 2
@@ -202,3 +206,4 @@ def train(seqs: DataFrame, models: list[Model], form: str = "gradient", steps: i
         return [replace(m, prior=old.prior) for m, old in zip(now, models)], seen
     finally:
         seqs.unpersist()
+        blocks.unpersist()
