@@ -110,7 +110,9 @@ def best_value(held: DataFrame, build: Callable[[float], Model], step: float = 0
     sum of log-likelihoods (impossible sequences cost PENALTY), or by score(models), which gives a number for each.
     """
     weight = F.col("weight") if "weight" in held.columns else F.lit(1.0)
-    kinds = settle(held.groupBy("obs").agg(F.sum(weight).alias("weight"), F.min("seq_id").alias("seq_id"))) if score is None else None
+    # Few rows but long work: the kinds go to all tasks.
+    tasks = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kinds = settle(held.groupBy("obs").agg(F.sum(weight).alias("weight"), F.min("seq_id").alias("seq_id")).repartition(tasks, "seq_id")) if score is None else None
 
     def likelihood(models):
         d = hmm.scores(kinds, models).join(kinds.select("seq_id", "weight"), "seq_id").groupBy("model_id").agg(F.sum(F.col("weight") * F.coalesce("logp", F.lit(PENALTY))).alias("s"))

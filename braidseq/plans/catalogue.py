@@ -474,7 +474,9 @@ def gap_hazards(spark, sf_dir):
 
 def gap_loop(spark, sf_dir):
     """The loop of a one-state gap under which the gaps between stays are likeliest."""
-    g = intervals.gaps(stays(spark, sf_dir), ["contig_id"]).select(F.xxhash64("contig_id", "gap_start").alias("seq_id"), F.concat(F.array_repeat(F.lit(0), (F.col("gap_end") - F.col("gap_start") + 1).cast("int")), F.array(F.lit(1))).alias("obs"))
+    g = intervals.gaps(stays(spark, sf_dir), ["contig_id"]).groupBy((F.col("gap_end") - F.col("gap_start") + 1).cast("int").alias("len")).agg(F.count("*").cast("double").alias("weight"))
+    # A row for each length that there is; its gaps are equal sequences.
+    g = settle(g).select(F.col("len").cast("long").alias("seq_id"), "weight", F.concat(F.array_repeat(F.lit(0), F.col("len")), F.array(F.lit(1))).alias("obs"))
     value, score = gapmodels.best_value(g, lambda p: Model.of([1.0, 0.0], [[p, 1 - p], [0.0, 1.0]], np.eye(2)))
     return g.limit(1).select(F.round(F.lit(value), 5).alias("value"), F.round(F.lit(score), 3).alias("score"))
 
