@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from itertools import chain
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from .state import settle
 
 #: Lengths of short and of long gaps.
 SHORT, LONG = (1, 14), (10, None)
+#: Intervals of a key, both sides together, that are matched in one task.
+CROWD = 1000
 
 
 def spans(features: DataFrame) -> DataFrame:
@@ -90,10 +96,92 @@ def matched(left: DataFrame, right: DataFrame | None, keys: list[str], ident: st
 def assigned(left: DataFrame, right: DataFrame, keys: list[str], ident: str, width: int) -> DataFrame:
     """One to one: pairs by falling score, ties to the smaller identifiers, each passed over if either side is taken.
 
-    Pairs that are each other's best are what that order takes first, so they are taken all at once, and the rest of
-    the pairs goes on without their intervals until none is left. No task holds a whole key. Rounds are as many as the longest chain of
+    Keys of at most CROWD intervals are matched whole, many in a task (see _matched_here), so only intervals are shuffled. The pairs of larger keys
+    go in rounds: those that are each other's best are what that order takes first, so they are taken all at once, and the rest of
+    the pairs goes on without their intervals until none is left. No task holds a larger key. Rounds are as many as the longest chain of
     intervals that wait for one another. Null keys and identifiers match nothing.
     """
+    both = [d.where(F.col(ident).isNotNull()).dropna(subset=keys) for d in (left, right)]
+    crowded = both[0].select(*keys).unionByName(both[1].select(*keys)).groupBy(*keys).count().where(F.col("count") > CROWD).select(*keys)
+    crowded = settle(crowded)
+    if not crowded.take(1):
+        return _matched_here(*both, keys, ident)
+    few, many = ([d.join(crowded, keys, how) for d in both] for how in ("left_anti", "left_semi"))
+    here = _matched_here(*few, keys, ident)
+    return here.unionByName(_assigned_in_rounds(*many, keys, ident, width).select(*here.columns))
+
+
+def _matched_here(left: DataFrame, right: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """assigned for keys of few intervals: keys, ident, lo, hi, r_ident, r_lo, r_hi, score."""
+    side = lambda d, k: d.select(*keys, ident, "lo", "hi", F.lit(k).alias("side"))
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = side(left, 0).unionByName(side(right, 1)).repartition(n, *keys).sortWithinPartitions(*keys)
+    kind = dict(rows.dtypes)
+    schema = ", ".join([*(f"`{k}` {kind[k]}" for k in keys), *(f"`{p}{c}` {kind[c]}" for p in ("", "r_") for c in (ident, "lo", "hi")), "score double"])
+
+    def match(d):
+        d["g"] = d.groupby(keys, sort=False).ngroup()
+        a, b = (d[d["side"] == k].drop(columns="side") for k in (0, 1))
+        # Rows of the right side are those of the left one's key, in places first to last.
+        b = b.sort_values("g", kind="stable")
+        of, lo, hi = (b[c].to_numpy() for c in ("g", "lo", "hi"))
+        first, last = np.searchsorted(of, a["g"].to_numpy(), "left"), np.searchsorted(of, a["g"].to_numpy(), "right")
+        for some in _slices(last - first):
+            n = (last - first)[some]
+            i = np.repeat(np.arange(some.start, some.stop), n)
+            j = np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            meet = (a["lo"].to_numpy()[i] <= hi[j]) & (lo[j] <= a["hi"].to_numpy()[i])
+            yield i[meet], j[meet]
+
+    def run(frames):
+        held = None
+        for frame in chain(frames, [None]):
+            rows = held if frame is None else frame if held is None else pd.concat([held, frame], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            # The last key may go on in the next batch.
+            end = len(rows) if frame is None else int((rows[keys] != rows[keys].iloc[-1]).any(axis=1).to_numpy()[::-1].argmax())
+            end = end if frame is None else len(rows) - end if (rows[keys] != rows[keys].iloc[-1]).any(axis=None) else 0
+            part, held = rows.iloc[:end].reset_index(drop=True), rows.iloc[end:].reset_index(drop=True)
+            if not len(part):
+                continue
+            found = [np.concatenate(x) if x else np.zeros(0, int) for x in zip(*match(part))] or [np.zeros(0, int)] * 2
+            a, b = part[part["side"] == 0], part[part["side"] == 1].sort_values("g", kind="stable")
+            yield _best_first(a.iloc[found[0]].reset_index(drop=True), b.iloc[found[1]].reset_index(drop=True), keys, ident)
+
+    return rows.mapInPandas(run, schema)
+
+
+def _slices(n: np.ndarray, most: int = 1 << 20):
+    """Runs of rows whose counts n are `most` in all, or one row."""
+    total, at = np.cumsum(n), 0
+    while at < len(n):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + most, "right")))
+        yield slice(at, end)
+        at = end
+
+
+def _best_first(a: pd.DataFrame, b: pd.DataFrame, keys: list[str], ident: str) -> pd.DataFrame:
+    """Of pairs of overlapping intervals, row by row, those that are taken by falling score; all keys go on together."""
+    lo, hi = np.maximum(a["lo"], b["lo"]), np.minimum(a["hi"], b["hi"])
+    score = ((hi - lo + 1) / (np.maximum(a["hi"], b["hi"]) - np.minimum(a["lo"], b["lo"]) + 1)).to_numpy(float)
+    x, y = (pd.DataFrame({"g": a["g"], "i": d[ident]}).groupby(["g", "i"]).ngroup().to_numpy() for d in (a, b))  # in order of identifiers
+    best, rest = [], np.lexsort((y, x, -score))
+    while len(rest):
+        # In this order an interval's first pair is its best one; pairs that are first for both sides are taken.
+        p, q = np.zeros(len(rest), bool), np.zeros(len(rest), bool)
+        p[np.unique(x[rest], return_index=True)[1]] = True
+        q[np.unique(y[rest], return_index=True)[1]] = True
+        now = rest[p & q]
+        best.append(now)
+        rest = rest[~np.isin(x[rest], x[now]) & ~np.isin(y[rest], y[now])]
+    best = np.concatenate(best) if best else np.zeros(0, int)
+    a, b = a.iloc[best].reset_index(drop=True), b.iloc[best].reset_index(drop=True)
+    return pd.DataFrame({**{k: a[k] for k in keys}, **{c: a[c] for c in (ident, "lo", "hi")}, **{f"r_{c}": b[c] for c in (ident, "lo", "hi")}, "score": score[best]})
+
+
+def _assigned_in_rounds(left: DataFrame, right: DataFrame, keys: list[str], ident: str, width: int) -> DataFrame:
+    """assigned by rounds over all pairs."""
     r = f"r_{ident}"
     rest = settle(overlaps(left, right, keys, width).where(F.col(ident).isNotNull() & F.col(r).isNotNull()).withColumn("score", score()))
     rounds = []

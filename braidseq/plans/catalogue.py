@@ -175,13 +175,13 @@ def shipped(spark, sf_dir) -> DataFrame:
 
 def greedy_match(spark, sf_dir):
     """Stays against shippings of a customer, one to one by falling score."""
-    m = intervals.assigned(_one_set(spark, sf_dir), shipped(spark, sf_dir), ["contig_id"], "feature_id", 64)
+    m = intervals.assigned(_one_set(spark, sf_dir), settle(shipped(spark, sf_dir)), ["contig_id"], "feature_id", 64)
     return m.select("contig_id", "feature_id", "r_feature_id", F.round("score", 9).alias("score"))
 
 
 def match_agreement(spark, sf_dir):
-    a, b = _one_set(spark, sf_dir), shipped(spark, sf_dir)
-    m = intervals.assigned(a, b, ["contig_id"], "feature_id", 64)
+    a, b = _one_set(spark, sf_dir), settle(shipped(spark, sf_dir))
+    m = settle(intervals.assigned(a, b, ["contig_id"], "feature_id", 64))
     d = intervals.agreement(a, b, m, ["contig_id"], "feature_id", ["contig_id"])
     return d.withColumn("score", F.round("score", 6))
 
