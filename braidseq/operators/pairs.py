@@ -2,7 +2,7 @@
 
 A state takes dx symbols of x and dy of y (not none of both) and emits by the last of each. The transitions out of a state may come in classes; which
 one holds is asked of a function of the state and of the cell that is reached. Cells of one antidiagonal depend only on
-earlier ones, so they are reckoned together, and no more antidiagonals are kept than a step is long.
+earlier ones, so they are reckoned together, those of many pairs at once, and no more antidiagonals are kept than a step is long.
 
 A pair whose table would be larger than `most` cells is divided: the sweep carries along where each path first reached the middle
 antidiagonal, so at its end the cell where the best path crosses is known, and two smaller segments take the pair's place. Segments
@@ -12,7 +12,7 @@ numbers, so a divided pair has the path of an undivided one, the lowest state wi
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import NamedTuple
 
@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .antidiagonals import Beside, batches, sweep, traced
 from .state import settle
 
 NEG, BITS = -(1 << 61), 30
@@ -73,116 +74,88 @@ def _whole(p: np.ndarray) -> np.ndarray:
     return np.where(np.isfinite(x), np.rint(np.where(np.isfinite(x), x, 0) * 2.0**BITS), NEG).astype(np.int64)
 
 
-class _Table:
-    """The model's logarithms and one segment's symbols."""
+class _Tables:
+    """The model's logarithms and the symbols of many segments, which go side by side."""
 
-    def __init__(self, m: PairModel, x, y, x_track, y_track, x0: int, y0: int, x_before: int, y_before: int):
+    def __init__(self, m: PairModel, segments: list[dict]):
         self.m, self.la, self.ls, self.lb = m, _whole(m.a), _whole(m.start), [_whole(t) for t in m.b]
-        self.x, self.y, self.x0, self.y0 = np.asarray(x, np.int64), np.asarray(y, np.int64), x0, y0
-        # What stands before the segment, for cells that have read nothing of it.
-        self.xs, self.ys = np.concatenate([[x_before], self.x]), np.concatenate([[y_before], self.y])
-        self.tx, self.ty = self._track(x_track, len(self.x)), self._track(y_track, len(self.y))
-        self.reach = max(dx + dy for dx, dy in m.steps)
+        x, y = ([np.asarray(r[k], np.int64) for r in segments] for k in ("x", "y"))
+        self.beside = b = Beside(np.array([len(z) for z in x], np.int64), np.array([len(z) for z in y], np.int64), max(dx for dx, _ in m.steps))
+        self.x0, self.y0 = (np.array([r[k] for r in segments], np.int64) for k in ("x0", "y0"))
+        # What stands before a segment, for cells that have read nothing of it.
+        self.xs = b.along_x([np.concatenate([[r["x_before"]], z]) for r, z in zip(segments, x)], -1)
+        self.ys = np.concatenate([np.concatenate([[r["y_before"]], z]) for r, z in zip(segments, y)])
+        self.tx = b.along_x([self._track(r["x_track"], len(z)) for r, z in zip(segments, x)], np.nan)
+        self.ty = np.concatenate([self._track(r["y_track"], len(z)) for r, z in zip(segments, y)])
 
     @staticmethod
     def _track(t, size):
         return np.full(size + 1, np.nan) if t is None or not len(t) else np.asarray(t, float)
 
-    def classes(self, u: np.ndarray, v: np.ndarray) -> np.ndarray | None:
-        """(cells, states): class of the moves out of each state into the cells."""
-        if self.m.class_of is None:
-            return None
-        cell = Cell(u + self.x0 - 1, v + self.y0 - 1, self.xs[u], self.ys[v], self.tx[u], self.ty[v])
-        return np.stack([np.broadcast_to(self.m.class_of(r, cell), u.shape) for r in range(self.m.n)], axis=1)
+    def classes(self, rows: np.ndarray, pair: np.ndarray, u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+        """For each state: class of the moves out of it into the cells."""
+        at = self.beside.y_base[pair] + v
+        cell = Cell(u + self.x0[pair] - 1, v + self.y0[pair] - 1, self.xs[rows], self.ys[at], self.tx[rows], self.ty[at])
+        return [np.broadcast_to(self.m.class_of(r, cell), u.shape) for r in range(self.m.n)]
 
-    def said(self, s: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    def said(self, s: int, rows: np.ndarray, pair: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         (dx, dy), t = self.m.steps[s], self.lb[s]
-        return t[self.xs[u] if dx else np.zeros(len(u), int), self.ys[v] if dy else np.zeros(len(v), int)]
-
-    def sweep(self, begin: int, keep: bool):
-        """Scores of all states at the last cell, and: all back pointers if keep, else where each path first reached the middle."""
-        m, nx, ny = self.m, len(self.x), len(self.y)
-        middle = (nx + ny) // 2
-        scores = {0: np.full((nx + 1, m.n), NEG, np.int64)}
-        if begin >= 0:
-            scores[0][0, begin] = 0
-        cross = {0: np.full((nx + 1, m.n), -1, np.int64)}
-        back = np.full((nx + 1, ny + 1, m.n), -1, np.int16) if keep else None
-        for t in range(1, nx + ny + 1):
-            now, where = np.full((nx + 1, m.n), NEG, np.int64), np.full((nx + 1, m.n), -1, np.int64)
-            every = np.arange(max(0, t - ny), min(nx, t) + 1)
-            kinds = self.classes(every, t - every)
-            for s, (dx, dy) in enumerate(m.steps):
-                use = (every >= dx) & (t - every >= dy)
-                u = every[use]
-                if not len(u) or t - dx - dy not in scores:
-                    continue
-                before = scores[t - dx - dy][u - dx]
-                move = self.la[0][None, :, s] if kinds is None else self.la[kinds[use], np.arange(m.n)[None], s]
-                ways = before + move
-                come = ways.argmax(axis=1)
-                value = ways[np.arange(len(u)), come]
-                if begin < 0 and t == dx + dy:
-                    # The only cell before is the beginning, which no state has reached.
-                    first = u == dx
-                    value, come = np.where(first, self.ls[s], value), np.where(first, -1, come)
-                now[u, s] = np.maximum(np.maximum(value, NEG) + self.said(s, u, t - u), NEG)
-                if keep:
-                    back[u, t - u, s] = come
-                elif t >= middle:
-                    code = (u * (ny + 1) + t - u) * m.n + s
-                    where[u, s] = code if t - dx - dy < middle else cross[t - dx - dy][u - dx, come]
-            scores[t], cross[t] = now, where
-            scores.pop(t - self.reach, None)
-            cross.pop(t - self.reach, None)
-        return scores[nx + ny][nx], back if keep else cross[nx + ny][nx]
-
-
-def _end(final: np.ndarray, wanted: int) -> int:
-    """The wanted state, or else the best, the lowest of equals; -1 where it can't be reached."""
-    s = wanted if wanted >= 0 else int(final.argmax())
-    return s if final[s] > NEG // 2 else -1
+        if not dy:
+            return t[:, 0][self.xs[rows]]
+        y = self.ys[self.beside.y_base[pair] + v]
+        return t[self.xs[rows], y] if dx else t[0][y]
+
+    def sweep(self, begin: list[int], keep: bool):
+        kinds = None if self.m.class_of is None else self.classes
+        return sweep(self.beside, self.m.steps, self.ls, self.la, self.said, kinds, NEG, np.array(begin, np.int64), keep)
+
+
+def _ends(final: np.ndarray, wanted: list[int]) -> np.ndarray:
+    """The wanted states, or else the best, the lowest of equals; -1 where they can't be reached."""
+    wanted = np.array(wanted, np.int64)
+    s = np.where(wanted >= 0, wanted, final.argmax(axis=1))
+    return np.where(final[np.arange(len(s)), s] > NEG // 2, s, -1)
 
 
 _SEGMENT = "seq_id long, x0 int, y0 int, x_before int, y_before int, begin int, finish int, x array<int>, y array<int>, x_track array<double>, y_track array<double>"
 _COLUMNS = [c.split()[0] for c in _SEGMENT.split(", ")]
 
 
-def _table(m: PairModel, r) -> _Table:
-    return _Table(m, r["x"], r["y"], r["x_track"], r["y_track"], r["x0"], r["y0"], r["x_before"], r["y_before"])
-
-
-def _divided(m: PairModel, r: dict) -> list[dict]:
-    """Two segments for one; a segment that can't be aligned gets the last state -2."""
-    t = _table(m, r)
-    final, cross = t.sweep(r["begin"], False)
-    s = _end(final, r["finish"])
-    if s < 0:
-        return [{**r, "x": [], "y": [], "x_track": None, "y_track": None, "finish": -2}]
-    code = int(cross[s])
-    u, v, k = code // m.n // (len(t.y) + 1), code // m.n % (len(t.y) + 1), code % m.n
-    track = lambda name, lo, hi: None if r[name] is None else list(r[name][lo:hi])
-    head = {**r, "x": t.x[:u], "y": t.y[:v], "finish": k, "x_track": track("x_track", 0, u + 1), "y_track": track("y_track", 0, v + 1)}
-    tail = {**r, "x": t.x[u:], "y": t.y[v:], "x0": r["x0"] + u, "y0": r["y0"] + v, "begin": k, "finish": s, "x_before": int(t.xs[u]), "y_before": int(t.ys[v]), "x_track": track("x_track", u, None), "y_track": track("y_track", v, None)}
-    return [head, tail]
-
-
-def _traced(m: PairModel, r: dict) -> tuple[list[int] | None, float | None]:
-    if r["finish"] == -2:
-        return None, None
-    if not len(r["x"]) and not len(r["y"]):
-        return [], 0.0
-    t = _table(m, r)
-    final, back = t.sweep(r["begin"], True)
-    s = _end(final, r["finish"])
-    if s < 0:
-        return None, None
-    u, v, path, logp = len(t.x), len(t.y), [], float(final[s]) / 2.0**BITS
-    while u or v:
-        path.append(s)
-        before = int(back[u, v, s])
-        u, v, s = u - m.steps[s][0], v - m.steps[s][1], before
-    return path[::-1], logp
+def _together(m: PairModel, frame: pd.DataFrame) -> Iterator[list[dict]]:
+    """The rows of a frame as segments, as many as go together."""
+    sizes = (frame["x"].map(len).to_numpy(np.int64) + 1) * (frame["y"].map(len).to_numpy(np.int64) + 1) * m.n
+    for some in batches(sizes):
+        yield frame.iloc[some].to_dict("records")
+
+
+def _divided(m: PairModel, segments: list[dict]) -> list[dict]:
+    """Two segments for each; one that can't be aligned gets the last state -2."""
+    t = _Tables(m, segments)
+    final, cross = t.sweep([r["begin"] for r in segments], False)
+    out = []
+    for i, (r, s) in enumerate(zip(segments, _ends(final, [r["finish"] for r in segments]).tolist())):
+        if s < 0:
+            out.append({**r, "x": [], "y": [], "x_track": None, "y_track": None, "finish": -2})
+            continue
+        code, ny = int(cross[i, s]), len(r["y"])
+        u, v, k = code // m.n // (ny + 1), code // m.n % (ny + 1), code % m.n
+        track = lambda name, lo, hi: None if r[name] is None else list(r[name][lo:hi])  # noqa: B023, E731
+        head = {**r, "x": r["x"][:u], "y": r["y"][:v], "finish": k, "x_track": track("x_track", 0, u + 1), "y_track": track("y_track", 0, v + 1)}
+        x_before, y_before = (int(r[c][at - 1]) if at else r[f"{c}_before"] for c, at in (("x", u), ("y", v)))
+        tail = {**r, "x": r["x"][u:], "y": r["y"][v:], "x0": r["x0"] + u, "y0": r["y0"] + v, "begin": k, "finish": s, "x_before": x_before, "y_before": y_before, "x_track": track("x_track", u, None), "y_track": track("y_track", v, None)}
+        out += [head, tail]
+    return out
+
+
+def _traced(m: PairModel, segments: list[dict]) -> list[tuple]:
+    """(path, logp) of each; none where it can't be aligned."""
+    t = _Tables(m, segments)
+    final, back = t.sweep([r["begin"] for r in segments], True)
+    empty = t.beside.nx + t.beside.ny == 0
+    s = np.where(empty, -1, _ends(final, [r["finish"] for r in segments]))
+    logp = final[np.arange(len(s)), s] / 2.0**BITS
+    paths = traced(t.beside, m.steps, back, s)
+    return [((None, None) if r["finish"] == -2 else ([], 0.0)) if e else (p, z) if k >= 0 else (None, None) for r, e, k, p, z in zip(segments, empty, s, paths, logp.tolist())]
 
 
 def align(pairs: DataFrame, m: PairModel, most: int = MOST) -> DataFrame:
@@ -200,8 +173,8 @@ def align(pairs: DataFrame, m: PairModel, most: int = MOST) -> DataFrame:
 
     def split(frames):
         for frame in frames:
-            for r in frame.to_dict("records"):
-                yield pd.DataFrame(_divided(m, r), columns=_COLUMNS)
+            for some in _together(m, frame):
+                yield pd.DataFrame(_divided(m, some), columns=_COLUMNS)
 
     while True:
         rows = settle(rows.repartition(n, "seq_id", "x0", "y0"))
@@ -214,8 +187,9 @@ def align(pairs: DataFrame, m: PairModel, most: int = MOST) -> DataFrame:
 
     def trace(frames):
         for frame in frames:
-            out = [(r["seq_id"], r["x0"] + r["y0"], *_traced(m, r)) for r in frame.to_dict("records")]
-            yield pd.DataFrame(out, columns=["seq_id", "place", "path", "logp"])
+            for some in _together(m, frame):
+                out = [(r["seq_id"], r["x0"] + r["y0"], *found) for r, found in zip(some, _traced(m, some))]
+                yield pd.DataFrame(out, columns=["seq_id", "place", "path", "logp"])
 
     found = done.mapInPandas(trace, "seq_id long, place long, path array<int>, logp double")
     item = F.struct("place", "path", "logp")
@@ -226,27 +200,45 @@ def align(pairs: DataFrame, m: PairModel, most: int = MOST) -> DataFrame:
 
 def path_logp(pairs: DataFrame, m: PairModel) -> DataFrame:
     """seq_id, logp of a given path of each row; null if the model can't go it or it does not read both sequences to their ends."""
-    def one(r):
-        x, y, path = r["x"], r["y"], r["path"]
-        if path is None:
-            return None
-        path = np.asarray(path, int)
-        if not len(path):
-            return 0.0 if not len(x) and not len(y) else None
-        tracks = [None if c not in r or r[c] is None else [np.nan, *r[c]] for c in ("x_track", "y_track")]
-        t = _Table(m, x, y, *tracks, 0, 0, -1, -1)
-        u, v = (np.cumsum([m.steps[s][i] for s in path]) for i in (0, 1))
-        if (u[-1], v[-1]) != (len(t.x), len(t.y)):
-            return None
-        kinds = t.classes(u, v)
-        move = t.la[0 if kinds is None else kinds[np.arange(1, len(path)), path[:-1]], path[:-1], path[1:]]
-        said = np.array([t.said(s, u[i : i + 1], v[i : i + 1])[0] for i, s in enumerate(path.tolist())])
-        terms = np.concatenate([[t.ls[path[0]]], move, said])
-        return float(terms.sum()) / 2.0**BITS if (terms > NEG // 2).all() else None
+    def some(rows):
+        """Log-likelihoods of rows with paths that read both sequences to their ends, and at least a symbol."""
+        track = lambda r, c: None if c not in r or r[c] is None else [np.nan, *r[c]]
+        t = _Tables(m, [{**dict.fromkeys(("x0", "y0"), 0), **dict.fromkeys(("x_before", "y_before"), -1), "x": r["x"], "y": r["y"], "x_track": track(r, "x_track"), "y_track": track(r, "y_track")} for r in rows])
+        size = np.array([len(r["path"]) for r in rows])
+        path, head, pair = np.concatenate([np.asarray(r["path"], int) for r in rows]), np.cumsum(size) - size, np.repeat(np.arange(len(rows)), size)
+        before = np.concatenate([[0], path[:-1]])
+        u, v = (z - (z[head] - step[path[head]])[pair] for step in steps for z in (np.cumsum(step[path]),))
+        at = t.beside.base[pair] + u
+        kinds = 0 if m.class_of is None else np.stack(t.classes(at, pair, u, v))[before, np.arange(len(path))]
+        terms = t.la[kinds, before, path]
+        terms[head] = t.ls[path[head]]
+        said = np.zeros(len(path), np.int64)
+        for s in np.unique(path):
+            here = path == s
+            said[here] = t.said(s, at[here], pair[here], u[here], v[here])
+        fine = np.minimum.reduceat(np.minimum(terms, said), head) > NEG // 2
+        return np.where(fine, np.add.reduceat(terms + said, head) / 2.0**BITS, np.nan), fine
+
+    steps = [np.array([s[k] for s in m.steps], np.int64) for k in (0, 1)]
+
+    def logps(rows):
+        out, whole = [None] * len(rows), []
+        for i, r in enumerate(rows):
+            if r["path"] is None:
+                continue
+            if not len(r["path"]):
+                out[i] = 0.0 if not len(r["x"]) and not len(r["y"]) else None
+            elif tuple(int(step[np.asarray(r["path"], int)].sum()) for step in steps) == (len(r["x"]), len(r["y"])):
+                whole.append(i)
+        sizes = np.array([len(rows[i]["path"]) + len(rows[i]["x"]) + len(rows[i]["y"]) for i in whole], np.int64)
+        for at in batches(sizes):
+            for k, z, fine in zip(at, *some([rows[whole[k]] for k in at])):
+                out[whole[k]] = float(z) if fine else None
+        return out
 
     def run(frames):
         for frame in frames:
-            yield pd.DataFrame({"seq_id": frame["seq_id"], "logp": [one(r) for r in frame.to_dict("records")]})
+            yield pd.DataFrame({"seq_id": frame["seq_id"], "logp": logps(frame.to_dict("records"))})
 
     keep = [c for c in ("seq_id", "x", "y", "x_track", "y_track", "path") if c in pairs.columns]
     return pairs.select(*keep).mapInPandas(run, "seq_id long, logp double")

@@ -102,3 +102,27 @@ def test_paths_that_do_not_fit(spark):
     assert pairs.align(d.limit(0), PLAIN).count() == 0
     with pytest.raises(ValueError):
         pairs.PairModel.of([1.0], [[1.0]], [(0, 0)], [[1.0]])
+
+
+@pytest.mark.parametrize("most", [1 << 20, 200])
+def test_short_pairs_go_side_by_side(spark, most):
+    """Steps are as many as the longest pair has antidiagonals, not as all pairs have together."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def class_of(state, cell):
+        calls.add(1)
+        return (cell.x == 1).astype(int)
+
+    m = pairs.PairModel.of(TRACKED.start, TRACKED.a, STEPS, TRACKED.b, class_of=class_of)
+    rows = [(k, *drawn(20)) for k in range(300)]
+    d = spark.createDataFrame(rows, "seq_id long, x array<int>, y array<int>")
+    got = {r["seq_id"]: (r["path"], r["logp"]) for r in pairs.align(d, m, most).collect()}
+    asked, cells = calls.value, sum(len(x) + len(y) for _, x, y in rows)
+    assert 0 < asked < cells
+    for k, x, y in rows[::60]:
+        path, logp = brute(m, x, y)
+        assert got[k][0] == path and got[k][1] == pytest.approx(logp, abs=1e-6)
+    calls.value = 0
+    both = spark.createDataFrame([(*r, got[r[0]][0]) for r in rows], "seq_id long, x array<int>, y array<int>, path array<int>")
+    assert {r["seq_id"]: r["logp"] for r in pairs.path_logp(both, m).collect()} == pytest.approx({k: z for k, (_, z) in got.items()}, abs=1e-6)
+    assert 0 < calls.value < len(rows)
