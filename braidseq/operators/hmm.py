@@ -7,7 +7,7 @@ states also have a form that stays in the JVM (`forward_fold`).
 
 from __future__ import annotations
 
-from math import log, pi
+from math import log, nan, pi
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.models import Model
+from . import antidiagonals
 from .state import settle
 
+#: Emissions of pair alignments that a task remembers.
+KNOWN = 1 << 20
+
 
 def emissions(m: Model, obs: np.ndarray) -> np.ndarray:
     """b (batch, time, states) of padded observations; symbol m.symbols is a missing one."""
@@ -402,43 +406,65 @@ def align(pairs: DataFrame, a: np.ndarray, start: np.ndarray, steps: list[tuple[
     with np.errstate(divide="ignore"):
         la, ls = np.log(a), np.log(start)
 
-    def emitted(s, i, j, x, y):
-        """Log emissions of a state by where it starts; each pair of different symbol runs is asked for once."""
-        runs = [[tuple(z[at : at + size]) for at in range(len(z) + 1 - size)] for z, size in ((x, i), (y, j))]
-        kinds = [{r: k for k, r in enumerate(dict.fromkeys(rs))} for rs in runs]
-        e = np.array([[emit(s, list(p), list(q)) for q in kinds[1]] for p in kinds[0]], float).reshape(len(kinds[0]), len(kinds[1]))
-        at = [np.array([k[r] for r in rs], int) for rs, k in zip(runs, kinds)]
-        return np.log(np.maximum(e, 0))[at[0][:, None], at[1][None]]
-
-    def best(x, y):
-        n = len(steps)
-        d = np.full((len(x) + 1, len(y) + 1, n), -np.inf)
-        back = np.full(d.shape, -1, np.int16)
+    most_x = max(i for i, _ in steps)
+    known = {}
+
+    def coded(values, first, size):
+        """For each place the number of the run of `size` symbols that ends there (-1: none), and the runs; first: of each row's sequence, the place before its symbols."""
+        at = np.arange(len(values)) - first
+        ends = np.flatnonzero(at >= size)
+        runs, codes = np.unique(values[ends[:, None] + np.arange(1 - size, 1)], axis=0, return_inverse=True) if size else (np.zeros((1, 0)), np.zeros(len(ends), int))
+        out = np.full(len(values), -1)
+        out[ends] = codes.reshape(-1)
+        return out, [tuple(int(z) if z == z else nan for z in run) for run in runs.tolist()]
+
+    def emitted(s, kinds, codes, owners, n):
+        """Log emissions of a state by numbers of runs; each pair of runs that meet in one alignment is asked for once in a task."""
+        seen = [np.zeros((n, len(k) + 1), np.float32) for k in kinds]
+        for z, c, of in zip(seen, codes, owners):
+            z[of, c] = 1
+        e = np.zeros((len(kinds[0]) + 1, len(kinds[1]) + 1))
+        for p, q in np.argwhere((seen[0].T @ seen[1])[:-1, :-1] > 0).tolist():
+            key = (s, kinds[0][p], kinds[1][q])
+            if key not in known:
+                if len(known) > KNOWN:
+                    known.clear()
+                known[key] = emit(s, list(key[1]), list(key[2]))
+            e[p, q] = known[key]
+        return np.log(np.maximum(e, 0))
+
+    def aligned(xs, ys):
+        b = antidiagonals.Beside([len(x) for x in xs], [len(y) for y in ys], most_x)
+        flat = [np.concatenate([np.asarray(part, float) for z in zs for part in (np.zeros(gap), z)]) for zs, gap in ((xs, most_x + 1), (ys, 1))]
+        owners = [b.of, np.repeat(np.arange(len(ys)), b.ny + 1)]
+        first = [b.base[b.of], b.y_base[owners[1]]]
+        codes, runs = {}, {}
+        for side in (0, 1):
+            for size in {step[side] for step in steps}:
+                codes[side, size], runs[side, size] = coded(flat[side], first[side], size)
+        if len(xs) > 1 and any(len(runs[0, i]) * len(runs[1, j]) > b.cells for i, j in steps):
+            # Runs that differ from pair to pair: a table of all would outgrow the pairs' own.
+            half = len(xs) // 2
+            return aligned(xs[:half], ys[:half]) + aligned(xs[half:], ys[half:])
         with np.errstate(divide="ignore"):
-            e = [emitted(s, i, j, x, y) for s, (i, j) in enumerate(steps)]
-        # Cells of one antidiagonal need only earlier ones, so they go together.
-        for t in range(1, len(x) + len(y) + 1):
-            every = np.arange(max(0, t - len(y)), min(len(x), t) + 1)
-            for s, (i, j) in enumerate(steps):
-                u = every[(every >= i) & (t - every >= j)]
-                v = t - u
-                ways = d[u - i, v - j] + la[:, s]
-                first, seen = (u == i) & (v == j), e[s][u - i, v - j]
-                d[u, v, s] = np.where(first, ls[s], ways.max(axis=1)) + seen
-                back[u, v, s] = np.where(first, -1, ways.argmax(axis=1))
-        s = int(d[-1, -1].argmax())
-        if not np.isfinite(d[-1, -1, s]):
-            return None, None
-        logp, u, v, path = float(d[-1, -1, s]), len(x), len(y), []
-        while s >= 0:
-            path.append(s)
-            p = int(back[u, v, s])
-            u, v, s = u - steps[s][0], v - steps[s][1], p
-        return path[::-1], logp
+            e = [emitted(s, (runs[0, i], runs[1, j]), (codes[0, i], codes[1, j]), owners, len(xs)) for s, (i, j) in enumerate(steps)]
+
+        def said(s, rows, pair, u, v):
+            i, j = steps[s]
+            return e[s][codes[0, i][rows], codes[1, j][b.y_base[pair] + v]]
+
+        final, back = antidiagonals.sweep(b, steps, ls, la[None], said, None, -np.inf, np.full(len(xs), -1), True)
+        end = final.argmax(axis=1)
+        logp = final[np.arange(len(end)), end]
+        end = np.where(np.isfinite(logp), end, -1)
+        return [(p, z) if s >= 0 else (None, None) for p, z, s in zip(antidiagonals.traced(b, steps, back, end), logp.tolist(), end)]
 
     def run(frames):
         for frame in frames:
-            got = [best(list(x), list(y)) for x, y in zip(frame["x"], frame["y"])]
-            yield pd.DataFrame({"seq_id": frame["seq_id"], "path": [g[0] for g in got], "logp": [g[1] for g in got]})
+            sizes = (frame["x"].map(len).to_numpy(np.int64) + 1) * (frame["y"].map(len).to_numpy(np.int64) + 1) * len(steps)
+            for some in antidiagonals.batches(sizes):
+                d = frame.iloc[some]
+                got = aligned(list(d["x"]), list(d["y"]))
+                yield pd.DataFrame({"seq_id": d["seq_id"].to_numpy(), "path": [g[0] for g in got], "logp": [g[1] for g in got]})
 
     return pairs.select("seq_id", "x", "y").mapInPandas(run, "seq_id long, path array<int>, logp double")

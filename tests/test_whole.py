@@ -101,6 +101,29 @@ def test_alignments_by_brute_force(spark):
             assert [sum(steps[s][k] for s in r["path"]) for k in (0, 1)] == [len(x), len(y)]
 
 
+def test_short_alignments_go_side_by_side(spark):
+    """Emissions are asked for once in a task, not once for each alignment; the results are those of the plain recurrence."""
+    rng = np.random.default_rng(5)
+    asked = spark.sparkContext.accumulator(0)
+
+    def emit(s, x, y):
+        asked.add(1)
+        return (0.16 if x[0] == y[0] else 0.01) if s == 0 else 0.2
+
+    rows = [(k, rng.integers(0, 3, n).tolist(), rng.integers(0, 3, m).tolist()) for k, (n, m) in enumerate(rng.integers(0, 12, (400, 2)).tolist())]
+    a, start = np.array([[0.8, 0.1, 0.1], [0.7, 0.3, 0.0], [0.7, 0.0, 0.3]]), np.array([0.8, 0.1, 0.1])
+    for steps in ([(1, 1), (1, 0), (0, 1)], [(2, 1), (1, 0), (0, 1)], [(3, 3), (2, 0), (0, 2)]):
+        asked.value = 0
+        got = hmm.align(spark.createDataFrame(rows, "seq_id long, x array<int>, y array<int>"), a, start, steps, emit).collect()
+        assert len(got) == len(rows) and 0 < asked.value < 4 * (27 * 27 + 9 + 9) and (steps[0] != (1, 1) or asked.value < 4 * 16)
+        for r in got[::10]:
+            _, x, y = rows[r["seq_id"]]
+            want = brute(x, y, a, start, steps, lambda s, x, y: (0.16 if x[0] == y[0] else 0.01) if s == 0 else 0.2)
+            assert (r["logp"] is None) == (not np.isfinite(want)) and (r["logp"] is None or r["logp"] == pytest.approx(want))
+            if r["path"] is not None:
+                assert [sum(steps[s][k] for s in r["path"]) for k in (0, 1)] == [len(x), len(y)]
+
+
 @given
 def test_alignments_of_whole_sequences(spark, users):
     got = {r["seq_id"]: r["len"] for r in catalogue.QUERIES["pair_alignments"](spark, SF).collect()}
