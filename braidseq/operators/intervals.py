@@ -13,8 +13,12 @@ from .state import settle
 
 #: Lengths of short and of long gaps.
 SHORT, LONG = (1, 14), (10, None)
-#: Intervals of a key, both sides together, that are matched in one task.
+#: Intervals of a key, both sides together, that are matched in one task beside other keys.
 CROWD = 1000
+#: Intervals of a side in a tile of a crowded key; a key of at most a tile is matched in a task.
+EDGE = 1 << 14
+#: Pairs of a crowded key that are held at a time.
+HELD = 1 << 20
 
 
 def spans(features: DataFrame) -> DataFrame:
@@ -96,10 +100,8 @@ def matched(left: DataFrame, right: DataFrame | None, keys: list[str], ident: st
 def assigned(left: DataFrame, right: DataFrame, keys: list[str], ident: str, width: int) -> DataFrame:
     """One to one: pairs by falling score, ties to the smaller identifiers, each passed over if either side is taken.
 
-    Keys of at most CROWD intervals are matched whole, many in a task (see _matched_here), so only intervals are shuffled. The pairs of larger keys
-    go in rounds: those that are each other's best are what that order takes first, so they are taken all at once, and the rest of
-    the pairs goes on without their intervals until none is left. No task holds a larger key. Rounds are as many as the longest chain of
-    intervals that wait for one another. Null keys and identifiers match nothing.
+    Keys of at most CROWD intervals are matched whole, many in a task (see _matched_here). Larger keys go band by band (see
+    _matched_by_bands): only intervals and the pairs of a band are ever held or shuffled. Null keys and identifiers match nothing. `width` is not used.
     """
     both = [d.where(F.col(ident).isNotNull()).dropna(subset=keys) for d in (left, right)]
     crowded = both[0].select(*keys).unionByName(both[1].select(*keys)).groupBy(*keys).count().where(F.col("count") > CROWD).select(*keys)
@@ -108,16 +110,22 @@ def assigned(left: DataFrame, right: DataFrame, keys: list[str], ident: str, wid
         return _matched_here(*both, keys, ident)
     few, many = ([d.join(crowded, keys, how) for d in both] for how in ("left_anti", "left_semi"))
     here = _matched_here(*few, keys, ident)
-    return here.unionByName(_assigned_in_rounds(*many, keys, ident, width).select(*here.columns))
+    return here.unionByName(_matched_by_bands(*many, keys, ident))
 
 
-def _matched_here(left: DataFrame, right: DataFrame, keys: list[str], ident: str) -> DataFrame:
-    """assigned for keys of few intervals: keys, ident, lo, hi, r_ident, r_lo, r_hi, score."""
+def _sides(left: DataFrame, right: DataFrame, keys: list[str], ident: str) -> tuple[DataFrame, str]:
+    """The intervals of both tables with their side (0 or 1), and the schema of pairs: keys, ident, lo, hi, r_ident, r_lo, r_hi, score."""
     side = lambda d, k: d.select(*keys, ident, "lo", "hi", F.lit(k).alias("side"))
-    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = side(left, 0).unionByName(side(right, 1)).repartition(n, *keys).sortWithinPartitions(*keys)
+    rows = side(left, 0).unionByName(side(right, 1))
     kind = dict(rows.dtypes)
-    schema = ", ".join([*(f"`{k}` {kind[k]}" for k in keys), *(f"`{p}{c}` {kind[c]}" for p in ("", "r_") for c in (ident, "lo", "hi")), "score double"])
+    return rows, ", ".join([*(f"`{k}` {kind[k]}" for k in keys), *(f"`{p}{c}` {kind[c]}" for p in ("", "r_") for c in (ident, "lo", "hi")), "score double"])
+
+
+def _matched_here(left: DataFrame, right: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """assigned for keys of few intervals."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows, schema = _sides(left, right, keys, ident)
+    rows = rows.repartition(n, *keys).sortWithinPartitions(*keys)
 
     def match(d):
         d["g"] = d.groupby(keys, sort=False).ngroup()
@@ -166,33 +174,116 @@ def _best_first(a: pd.DataFrame, b: pd.DataFrame, keys: list[str], ident: str) -
     lo, hi = np.maximum(a["lo"], b["lo"]), np.minimum(a["hi"], b["hi"])
     score = ((hi - lo + 1) / (np.maximum(a["hi"], b["hi"]) - np.minimum(a["lo"], b["lo"]) + 1)).to_numpy(float)
     x, y = (pd.DataFrame({"g": a["g"], "i": d[ident]}).groupby(["g", "i"]).ngroup().to_numpy() for d in (a, b))  # in order of identifiers
-    best, rest = [], np.lexsort((y, x, -score))
-    while len(rest):
-        # In this order an interval's first pair is its best one; pairs that are first for both sides are taken.
-        p, q = np.zeros(len(rest), bool), np.zeros(len(rest), bool)
-        p[np.unique(x[rest], return_index=True)[1]] = True
-        q[np.unique(y[rest], return_index=True)[1]] = True
-        now = rest[p & q]
-        best.append(now)
-        rest = rest[~np.isin(x[rest], x[now]) & ~np.isin(y[rest], y[now])]
-    best = np.concatenate(best) if best else np.zeros(0, int)
-    a, b = a.iloc[best].reset_index(drop=True), b.iloc[best].reset_index(drop=True)
-    return pd.DataFrame({**{k: a[k] for k in keys}, **{c: a[c] for c in (ident, "lo", "hi")}, **{f"r_{c}": b[c] for c in (ident, "lo", "hi")}, "score": score[best]})
-
-
-def _assigned_in_rounds(left: DataFrame, right: DataFrame, keys: list[str], ident: str, width: int) -> DataFrame:
-    """assigned by rounds over all pairs."""
-    r = f"r_{ident}"
-    rest = settle(overlaps(left, right, keys, width).where(F.col(ident).isNotNull() & F.col(r).isNotNull()).withColumn("score", score()))
-    rounds = []
-    while not rounds or rest.take(1):
-        best = settle(_mutual(rest, keys, ident))
-        rounds.append(best)
-        rest = settle(rest.join(best.select(*keys, ident), [*keys, ident], "left_anti").join(best.select(*keys, r), [*keys, r], "left_anti"))
-    out = rounds[0]
-    for best in rounds[1:]:
+    best = np.lexsort((y, x, -score))
+    best = best[_taken(x[best], y[best])]
+    return _pairs(a.iloc[best], b.iloc[best], score[best], keys, ident)
+
+
+def _taken(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the pairs (x, y), in their order, of which no side is in a pair taken before."""
+    out, xs, ys = [], bytearray(int(x.max(initial=0)) + 1), bytearray(int(y.max(initial=0)) + 1)
+    for k, (p, q) in enumerate(zip(x.tolist(), y.tolist())):
+        if not xs[p] and not ys[q]:
+            xs[p] = ys[q] = 1
+            out.append(k)
+    return np.array(out, int)
+
+
+def _pairs(a: pd.DataFrame, b: pd.DataFrame, score: np.ndarray, keys: list[str], ident: str) -> pd.DataFrame:
+    """Rows of pairs from the intervals on both sides."""
+    a, b = a.reset_index(drop=True), b.reset_index(drop=True)
+    return pd.DataFrame({**{k: a[k] for k in keys}, **{c: a[c] for c in (ident, "lo", "hi")}, **{f"r_{c}": b[c] for c in (ident, "lo", "hi")}, "score": score})
+
+
+def _first_pairs(a: pd.DataFrame, b: pd.DataFrame, ident: str, most: int, cells: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """Places in a and in b, and scores, of the first `most` overlapping pairs by falling score and identifiers, in this order; whether there are more.
+
+    Pairs are looked through `cells` at a time, and twice `most` are kept at the most besides.
+    """
+    lo, hi, r_lo, r_hi = (d[c].to_numpy() for d in (a, b) for c in ("lo", "hi"))
+    x, y = (pd.factorize(d[ident], sort=True)[0] for d in (a, b))
+    held, size, least, more = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))], 0, -np.inf, False
+    step = max(1, cells // max(1, len(b)))
+    for at in range(0, len(a), step):
+        u, v = lo[at : at + step, None], hi[at : at + step, None]
+        meet = (u <= r_hi) & (r_lo <= v)
+        score = (np.minimum(v, r_hi) - np.maximum(u, r_lo) + 1) / (np.maximum(v, r_hi) - np.minimum(u, r_lo) + 1)
+        p, q = np.nonzero(meet & (score >= least))
+        more = more or len(p) < np.count_nonzero(meet)
+        held.append((p + at, q, score[p, q]))
+        size += len(p)
+        if size > 2 * most:
+            i, j, s = map(np.concatenate, zip(*held))
+            least, more = np.partition(s, size - most)[size - most], True
+            kept = np.flatnonzero(s >= least)
+            if len(kept) > 3 * most // 2:  # many of one score
+                kept = kept[np.lexsort((y[j[kept]], x[i[kept]], -s[kept]))[:most]]
+            held, size = [(i[kept], j[kept], s[kept])], len(kept)
+    i, j, s = map(np.concatenate, zip(*held))
+    order = np.lexsort((y[j], x[i], -s))
+    more, order = more or len(order) > most, order[:most]
+    return i[order], j[order], s[order], more
+
+
+def _whole_key(rows: pd.DataFrame, keys: list[str], ident: str, most: int) -> pd.DataFrame:
+    """assigned for one key, band by band: when the first pairs of the order are settled, what is left has none of them."""
+    a, b = (rows[rows["side"] == k] for k in (0, 1))
+    out, more = [], True
+    while more:
+        i, j, s, more = _first_pairs(a, b, ident, most)
+        x, y = a[ident].to_numpy()[i], b[ident].to_numpy()[j]
+        now = _taken(pd.factorize(x)[0], pd.factorize(y)[0])
+        out.append(_pairs(a.iloc[i[now]], b.iloc[j[now]], s[now], keys, ident))
+        a, b = a[~a[ident].isin(x[now])], b[~b[ident].isin(y[now])]
+    return pd.concat(out, ignore_index=True)
+
+
+def _matched_by_bands(left: DataFrame, right: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """assigned for crowded keys; no list of all their pairs is made.
+
+    A key of at most EDGE by EDGE pairs is matched in a task. A larger one is dealt to tiles of about EDGE by EDGE. Each gives its first
+    pairs; down to where the first of the tiles breaks off all pairs are known, so these are matched, and their intervals leave. So it
+    goes on until the key is small. A task holds a tile's intervals and HELD pairs (1,024 of each tile, where the tiles are very many).
+    """
+    rows, schema = _sides(left, right, keys, ident)
+    edge, held, r = EDGE, HELD, f"r_{ident}"
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rest, out = settle(rows), None
+
+    def whole(d):
+        return _whole_key(d, keys, ident, held)
+
+    def first(d):
+        a, b = (d[d["side"] == k] for k in (0, 1))
+        i, j, s, more = _first_pairs(a, b, ident, max(1024, held // int(d["tiles"].iloc[0])))
+        # The pair at which the tile breaks off is marked.
+        return _pairs(a.iloc[i], b.iloc[j], s, keys, ident).assign(ends=more & (np.arange(len(s)) == len(s) - 1))
+
+    def merge(d):
+        x, y = (pd.factorize(d[c], sort=True)[0] for c in (ident, r))
+        order = np.lexsort((y, x, -d["score"].to_numpy()))
+        ends = np.flatnonzero(d["ends"].to_numpy()[order])
+        order = order[: ends[0] + 1] if len(ends) else order
+        return d.iloc[order[_taken(x[order], y[order])]].drop(columns="ends")
+
+    while True:
+        count = lambda k: F.count_if(F.col("side") == k)
+        sizes = settle(rest.groupBy(*keys).agg(count(0).alias("n"), count(1).alias("m")).where("n > 0 and m > 0"))
+        large = F.col("n") * F.col("m") > edge * edge
+        here = rest.join(sizes.where(~large), keys).select(*rest.columns).repartition(tasks, *keys).groupBy(*keys).applyInPandas(whole, schema)
+        out = here if out is None else out.unionByName(here)
+        if not sizes.where(large).take(1):
+            return out
+        rest = rest.join(sizes.where(large), keys).withColumns({"n": F.ceil(F.col("n") / edge), "m": F.ceil(F.col("m") / edge)})
+        mine, others = (F.when(F.col("side") == 0, c).otherwise(d) for c, d in ((F.col("n"), F.col("m")), (F.col("m"), F.col("n"))))
+        dealt = rest.withColumn("own", F.pmod(F.xxhash64(ident), mine)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
+        tile = [F.when(F.col("side") == 0, F.col(c)).otherwise(F.col(d)).alias(e) for c, d, e in (("own", "other", "across"), ("other", "own", "down"))]
+        dealt = dealt.select(*keys, ident, "lo", "hi", "side", (F.col("n") * F.col("m")).alias("tiles"), *tile)
+        firsts = dealt.repartition(tasks, *keys, "across", "down").groupBy(*keys, "across", "down").applyInPandas(first, f"{schema}, ends boolean")
+        best = settle(firsts.repartition(tasks, *keys).groupBy(*keys).applyInPandas(merge, schema))
+        gone = best.select(*keys, ident, F.lit(0).alias("side")).unionByName(best.select(*keys, F.col(r).alias(ident), F.lit(1).alias("side")))
+        rest = settle(rest.select(*rows.columns).join(gone, [*keys, ident, "side"], "left_anti").select(*rows.columns))
         out = out.unionByName(best)
-    return out
 
 
 def agreement(left: DataFrame, right: DataFrame, pairs: DataFrame, keys: list[str], ident: str, by: list[str]) -> DataFrame:
