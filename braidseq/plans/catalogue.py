@@ -452,7 +452,7 @@ def pair_classes(spark, sf_dir):
 
 def pair_path_logp(spark, sf_dir):
     """Log-likelihood of the alignments that pair_classes finds, from their paths."""
-    both = _neighbours(spark, sf_dir)
+    both = settle(_neighbours(spark, sf_dir))  # read twice
     d = pairs.path_logp(both.join(pairs.align(both, PAIRS), "seq_id").drop("logp"), PAIRS)
     return d.select("seq_id", F.round("logp", 5).alias("logp"))
 
