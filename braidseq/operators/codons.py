@@ -20,9 +20,13 @@ def base_counts(seqs: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def codon_counts(seqs: DataFrame, frame: int = 0, seq: str = "seq", by: list[str] | None = None) -> DataFrame:
-    """Codons (upper case, letters A, C, G, T only) of one frame and how often."""
-    words = seqs.select(*(by or []), F.explode(dna.codons(F.upper(seq), frame)).alias("codon"))
-    return words.where(F.col("codon").rlike("^[ACGT]{3}$")).groupBy(*(by or []), "codon").agg(F.count("*").alias("n"))
+    """Codons (upper case, letters A, C, G, T only) of one frame and how often. Without keys each task counts its own, so no row is made for a codon."""
+    plain = F.col("codon").rlike("^[ACGT]{3}$")
+    if not by:
+        each = seqs.select(F.col(seq).alias("seq")).mapInPandas(_placed, "rest int, place int, codon string, n long")
+        return each.where((F.col("place") == frame) & plain).groupBy("codon").agg(F.sum("n").alias("n"))
+    words = seqs.select(*by, F.explode(dna.codons(F.upper(seq), frame)).alias("codon"))
+    return words.where(plain).groupBy(*by, "codon").agg(F.count("*").alias("n"))
 
 
 def six_frames(seqs: DataFrame, seq: str = "seq") -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..plans.models import PENALTY, Model
-from . import hmm, intervals, longpath
+from . import hmm, intervals, longpath, words
 from .state import settle
 
 UNIFORM = (0.25,) * 4
@@ -135,14 +135,22 @@ def genic_check(genes: DataFrame, m: Model, seq: str = "seq") -> DataFrame:
     """
     s = F.upper(F.col(seq))
     good = genes.where(dna.is_start(F.substring(s, 1, 3)) & dna.is_stop(F.substring(s, -3, 3)) & s.rlike("^[ACGT]+$") & (F.char_length(s) > 5))
-    good = good.select("seq_id", (F.char_length(s) % 3 == 0).alias("thirds"), dna.ints(s).alias("obs"))
+    good = good.select("seq_id", (F.char_length(s) % 3 == 0).alias("thirds"), s.alias("seq"))
     kinds = np.array([1 if n.startswith("start") else 2 if n.startswith("stop") else 0 for n, silent in zip(m.names, m.silent) if not silent])
     kind = F.array(*[F.lit(int(k)) for k in kinds])
-    paths = longpath.decode_parts(longpath.cut(good.select("seq_id", "obs")), m).groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("part", "path"))).alias("parts"))
-    paths = paths.select("seq_id", F.flatten(F.transform("parts", lambda p: p["path"])).alias("path"))
-    d = good.select("seq_id", "thirds").join(paths, "seq_id")
+    d = good.select("seq_id", "thirds").join(_tips(good, m), "seq_id")
     ends = lambda x, k: F.forall(x, lambda i: F.get(kind, i) == k)
-    found = F.coalesce(ends(F.slice("path", 1, 3), 1) & ends(F.slice("path", -3, 3), 2), F.lit(False))
+    found = F.coalesce(ends("head", 1) & ends("tail", 2), F.lit(False))
     d = d.select("thirds", found.alias("found"))
     n = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
     return d.agg(F.count("*").alias("good"), n(F.col("thirds")).alias("len3"), n(~F.col("thirds")).alias("not_len3"), n(F.col("found")).alias("found"), n(F.col("found") & F.col("thirds")).alias("found_len3"), n(F.col("found") & ~F.col("thirds")).alias("found_not_len3"))
+
+
+def _tips(genes: DataFrame, m: Model) -> DataFrame:
+    """seq_id, head, tail: the first and the last three states of the genes' best paths; null where there is none."""
+    try:
+        return words.tips(words.cut(genes, m), m, 3)
+    except words.NoWords:
+        paths = longpath.decode_parts(longpath.cut(genes.select("seq_id", dna.ints(F.col("seq")).alias("obs"))), m).groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("part", "path"))).alias("parts"))
+        paths = paths.select("seq_id", F.flatten(F.transform("parts", lambda p: p["path"])).alias("path"))
+        return paths.select("seq_id", F.slice("path", 1, 3).alias("head"), F.slice("path", -3, 3).alias("tail"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dna
 from ..plans.models import Model
-from . import codons, intervals, longpath
+from . import codons, intervals, longpath, words
 from .state import settle
 
 BASES = "ACGT"
@@ -91,7 +91,16 @@ def find(contigs: DataFrame, m: Model, size: int = longpath.SIZE) -> DataFrame:
 
 def genes_of(paths: DataFrame, m: Model) -> DataFrame:
     """seq_id, first, last (places from 0) of the runs of states that are not of a gap, of paths in parts."""
-    return longpath.runs(paths, [int(not n.startswith("intergenic")) for n, s in zip(m.names, m.silent) if not s]).where("kind = 1").drop("kind")
+    return longpath.runs(paths, _genic(m)).where("kind = 1").drop("kind")
+
+
+def genes_in(parts: DataFrame, m: Model) -> DataFrame:
+    """genes_of the best paths of strings in parts (see words)."""
+    return words.runs(parts, m, _genic(m)).where("kind = 1").drop("kind")
+
+
+def _genic(m: Model) -> list[int]:
+    return [int(not n.startswith("intergenic")) for n, s in zip(m.names, m.silent) if not s]
 
 
 def evaluate(truth: DataFrame, found: DataFrame, width: int = 10_000) -> DataFrame:

@@ -414,7 +414,7 @@ def cut(seqs: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def one_contig(rows: DataFrame, order: list[str], size: int = SIZE, backwards: bool = False) -> DataFrame:
-    """seq_id 0, part, offset, obs: the strings of symbols (order columns, obs) of all rows, one after the other, in parts.
+    """seq_id 0, part, offset, obs: the strings of symbols (order columns, obs: arrays or text) of all rows, one after the other, in parts.
 
     Rows are sorted over ranges and numbered by the ranges' counts, so no task sees them all. Rows may have any length; parts end
     where rows end. offset counts the symbols before a part.
@@ -423,11 +423,11 @@ def one_contig(rows: DataFrame, order: list[str], size: int = SIZE, backwards: b
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = cut_rows(rows, order, size, backwards).repartitionByRange(n, *keys, "nth").sortWithinPartitions(*keys, "nth")
     d = settle(d.withColumn("range", F.spark_partition_id()))
-    counts = d.groupBy("range").agg(F.count("*").alias("n"), F.sum(F.size("obs")).alias("s"))  # a row for each range
+    counts = d.groupBy("range").agg(F.count("*").alias("n"), F.sum(_length(d)).alias("s"))  # a row for each range
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"))
     own = Window.partitionBy("range").orderBy(*keys, "nth")
-    before_it = F.coalesce(F.sum(F.size("obs")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before_it = F.coalesce(F.sum(_length(d)).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = d.select("range", "obs", (F.row_number().over(own) - 1).alias("place"), before_it.alias("passed")).join(F.broadcast(counts), "range")
     return d.select(F.lit(0).cast("long").alias("seq_id"), (F.col("place") + F.col("n0")).alias("part"), (F.col("passed") + F.col("s0")).alias("offset"), "obs")
 
@@ -444,8 +444,14 @@ def gathered(parts: DataFrame, size: int) -> DataFrame:
 
 def cut_rows(rows: DataFrame, order: list[str], size: int, backwards: bool = False) -> DataFrame:
     """order columns, nth, obs: rows cut into parts in order."""
-    d = rows.where(F.size("obs") > 0).select(*order, "obs", F.explode(F.sequence(F.lit(0), F.floor((F.size("obs") - 1) / size).cast("int"))).alias("nth"))
-    return d.select(*order, "nth", F.slice("obs", F.col("nth") * size + 1, F.lit(size)).alias("obs"))
+    n = _length(rows)
+    d = rows.where(n > 0).select(*order, "obs", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int"))).alias("nth"))
+    part = F.substring if dict(rows.dtypes)["obs"] == "string" else F.slice
+    return d.select(*order, "nth", part("obs", F.col("nth") * size + 1, F.lit(size)).alias("obs"))
+
+
+def _length(rows: DataFrame):
+    return F.char_length("obs") if dict(rows.dtypes)["obs"] == "string" else F.size("obs")
 
 
 def runs(paths: DataFrame, kind: list[int]) -> DataFrame:
@@ -457,17 +463,26 @@ def runs(paths: DataFrame, kind: list[int]) -> DataFrame:
 
     def own(frames):
         for frame in frames:
-            out = []
-            for s, p, o, path in zip(frame["seq_id"], frame["part"], frame["offset"], frame["path"]):
-                if path is None or not len(path):
-                    continue
-                k = table[np.asarray(path)]
-                at = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
-                end = np.concatenate([at[1:], [len(k)]]) - 1
-                out += [(s, int(k[i]), int(o + i), int(o + j), bool(i == 0 or j == len(k) - 1)) for i, j in zip(at, end)]
-            yield pd.DataFrame(out, columns=["seq_id", "kind", "first", "last", "open"])
-
-    every = settle(paths.select("seq_id", "part", "offset", "path").mapInPandas(own, "seq_id long, kind int, first long, last long, open boolean"))
+            yield own_runs(table, frame["seq_id"], frame["offset"], frame["path"])
+
+    return joined_runs(settle(paths.select("seq_id", "part", "offset", "path").mapInPandas(own, "seq_id long, kind int, first long, last long, open boolean")))
+
+
+def own_runs(table: np.ndarray, ids, offsets, paths) -> pd.DataFrame:
+    """seq_id, kind, first, last, open (it may go on) of the runs of each path by itself."""
+    out = []
+    for s, o, path in zip(ids, offsets, paths):
+        if path is None or not len(path):
+            continue
+        k = table[np.asarray(path)]
+        at = np.concatenate([[0], np.flatnonzero(k[1:] != k[:-1]) + 1])
+        end = np.concatenate([at[1:], [len(k)]]) - 1
+        out += [(s, int(k[i]), int(o + i), int(o + j), bool(i == 0 or j == len(k) - 1)) for i, j in zip(at, end)]
+    return pd.DataFrame(out, columns=["seq_id", "kind", "first", "last", "open"])
+
+
+def joined_runs(every: DataFrame) -> DataFrame:
+    """Runs of own_runs; open ones that go on are put together."""
     d = every.where("open").drop("open")
     w = Window.partitionBy("seq_id").orderBy("first")
     # Runs that go on stand next to each other; closed ones stand between others.

@@ -512,7 +512,7 @@ def gene_ends(spark, sf_dir):
 
 def genes_read_whole(spark, sf_dir):
     """Genic parts that the gene model reads as one gene each."""
-    g = regions(spark, sf_dir).where("region = 'genic'").select(F.col("doc_id").alias("seq_id"), "seq")
+    g = settle(regions(spark, sf_dir).where("region = 'genic'").select(F.col("doc_id").alias("seq_id"), "seq"))
     counts = {r["codon"]: r["n"] for r in codons.codon_counts(g).collect()}
     inner = {c: n for c, n in counts.items() if c not in dna.STOPS}
     return gapmodels.genic_check(g, genefinder.genic(inner, {"ATG": 1}, {"TAA": 1}))
