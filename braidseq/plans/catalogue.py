@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import dna, numeric
-from ..operators import codons, discriminative, gapmodels, genefinder, hmm, intervals, longpath, pairs, profiles, sampling, selection, sequences, switching, training
+from ..operators import codons, discriminative, gapmodels, genefinder, hmm, intervals, longpath, pairs, profiles, sampling, selection, sequences, switching, training, words
 from ..operators.state import settle
 from ..sources import text
 from . import models
@@ -395,11 +395,10 @@ def gene_model(counts: dict[str, int], gap: float = 300.0, silent: bool = True)
 
 def genes_of_corpus(spark, sf_dir):
     """All documents' bases as one contig, in order of doc_id, and the genes found in it."""
-    d = strings(spark, sf_dir)
+    d = settle(strings(spark, sf_dir).select("doc_id", "seq"))
     m = gene_model({r["codon"]: r["n"] for r in codons.codon_counts(d).collect()})
-    parts = longpath.gathered(longpath.one_contig(d.select("doc_id", dna.ints(F.col("seq")).alias("obs")), ["doc_id"]), longpath.PART)
-    paths = longpath.decode_parts(parts, m).withColumn("offset", F.col("part") * longpath.PART)
-    return genefinder.genes_of(paths, m).select(F.col("first").alias("first_base"), F.col("last").alias("last_base"))
+    parts = words.contig(longpath.one_contig(d.select("doc_id", F.col("seq").alias("obs")), ["doc_id"]), m, longpath.PART)
+    return genefinder.genes_in(parts, m).select(F.col("first").alias("first_base"), F.col("last").alias("last_base"))
 
 
 def labelled_seqs(spark, sf_dir) -> DataFrame:
