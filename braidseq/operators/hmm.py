@@ -92,11 +92,14 @@ def packed(seqs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
 
 
 def unpacked(frames):
-    """Batches of packed sequences: dicts of arrays."""
+    """Batches of packed sequences: dicts of arrays, with obs or the codes of blocks.coded."""
     for frame in frames:
         for r in frame.to_dict("records"):
-            out = {k: np.frombuffer(v, float if k in ("obs", "weight") else np.int64) for k, v in r.items()}
-            out["obs"] = out["obs"].reshape(len(out["ids"]), -1)
+            out = {k: np.frombuffer(v, float if k in ("obs", "weight") else np.uint16 if k == "codes" else np.int64) for k, v in r.items()}
+            if "codes" in out:
+                out["codes"] = out["codes"].reshape(-1, len(out["ids"]))
+            else:
+                out["obs"] = out["obs"].reshape(len(out["ids"]), -1)
             yield out
 
 

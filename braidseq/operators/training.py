@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.models import LEAST_VARIANCE, PENALTY, Model
+from . import blocks as by_blocks
 from .hmm import backward, classes, emissions, forward, packed, padded, scores, unpacked
 
 #: Most steps, and the relative gain in log-likelihood at which training ends.
@@ -165,6 +166,17 @@ def trained_apart(seqs: DataFrame, models: list[Model], steps: int = STEPS, gain
         blocks.unpersist()
 
 
+def _prepared(seqs: DataFrame, models: list[Model], more: tuple[str, ...] = ()) -> DataFrame:
+    """Packed sequences, as codes of blocks of symbols where the models allow it: a pass then moves by blocks and costs a fraction."""
+    blocks = packed(seqs, more)
+    if not by_blocks.fits(models):
+        return blocks
+    out = by_blocks.coded(blocks, models[0].symbols, more).persist()
+    out.count()
+    blocks.unpersist()
+    return out
+
+
 def summed(rows: DataFrame, *keys: str) -> dict[tuple, float]:
     """Sums of value by keys. Each task has summed its own, so it sends as many rows as the models have parameters, without a shuffle."""
     out: dict = {}
@@ -181,7 +193,7 @@ def _trained(blocks: DataFrame, models: list[Model], steps: int, gain: float, mo
         on = {k: models[k] for k in moving}
 
         def run(frames, on=on):
-            total: dict = {}
+            total, kinds = {}, {}
             for x in unpacked(frames):
                 of = x["model_id"].copy()
                 for seq, k in moved.items():
@@ -190,8 +202,13 @@ def _trained(blocks: DataFrame, models: list[Model], steps: int, gain: float, mo
                     own = np.flatnonzero(of == k)
                     if not len(own):
                         continue
+                    if "codes" in x:
+                        kinds[k] = kinds.get(k) or by_blocks.Kinds(m)
+                        kinds[k].add(x["codes"][:, own], x["lengths"][own], x["weight"][own])
+                        continue
                     for name, value in counted(m, x["obs"][own], x["lengths"][own], x["weight"][own]).items():
                         total[k, name] = total.get((k, name), 0) + value
+            total |= {(k, name): value for k, sums in kinds.items() for name, value in sums.counts().items()}
             if total:
                 yield pd.concat([pd.DataFrame({"model": k, "name": name, "place": np.arange(v.size), "value": v.ravel()}) for (k, name), v in total.items()])
 
@@ -312,52 +329,117 @@ def cluster(seqs: DataFrame, models: list[Model], rounds: int | None = None, ste
     """k models: each sequence to its best model, each model trained on its own, until no label changes.
 
     Rounds train by `steps` steps until no label changes, then by STEPS until none does again. A model without members
-    keeps its parameters, or with reseed gets the sequence that fits worst elsewhere. Returns the models and (seq_id, model_id, logp), the labels that these models give. Without
-    `rounds`, labels that still change after STEPS rounds are an error.
+    keeps its parameters, or with reseed gets the sequence that fits worst elsewhere. Returns the models and (seq_id, model_id, logp), the labels that these models give.
+
+    A pass over the sequences is a step of training, tells what labels the models would give now, and counts by these too. So a round whose
+    training ends at once, as most do near the end, is one pass.
     """
     from .hmm import classify
 
-    def labels_of(some, obs, n):
-        """Number of each sequence's best model (the lowest of equals), -1 for none."""
-        logp = np.stack([forward(m, emissions(m, obs), n)[2] for m in some], axis=1)
-        joint = np.where(np.isnan(logp), -np.inf, logp) + np.log([m.prior for m in some])
-        return np.where(np.isfinite(joint.max(axis=1)), joint.argmax(axis=1), -1)
-
-    def labelled(now, before):
-        """The sequences with their labels, and whether the models before gave another."""
-
-        def run(frames):
-            for x in unpacked(frames):
-                label = labels_of(now, x["obs"], x["lengths"])
-                other = -1 if before is None else int((label != labels_of(before, x["obs"], x["lengths"])).sum())
-                sizes = np.bincount(label + 1, minlength=len(now) + 1)
-                yield pd.DataFrame({**{k: [x[k].tobytes()] for k in ("ids", "obs", "lengths", "weight")}, "model_id": [label.tobytes()], "other": other, "sizes": [sizes]})
-
-        return blocks.mapInPandas(run, "ids binary, obs binary, lengths binary, weight binary, model_id binary, other long, sizes array<long>").persist()
-
     seqs = seqs.persist()
-    blocks, before = packed(seqs), None
+    blocks = _prepared(seqs, models)
+    speaking = lambda some: [m.without_silent() if m.silent.any() else m for m in some]
+    named, moved, turn = None, {}, 0
     try:
-        for _ in range(STEPS if rounds is None else rounds):
-            found = labelled(models, before)
-            counts = found.agg(F.sum("other").alias("other"), *[F.sum(F.get("sizes", F.lit(k + 1))).alias(f"n{k}") for k in range(len(models))]).first()
-            if before is not None:
-                same = not counts["other"]
-                if same and steps >= STEPS:
-                    found.unpersist()
-                    return models, classify(seqs, dict(enumerate(models)))
-                steps = STEPS if same else steps
-            sizes = {k: counts[f"n{k}"] or 0 for k in range(len(models))}
-            moved = _moved(seqs, classify(seqs, dict(enumerate(models))), sizes, len(models)) if reseed else {}
-            before, models = models, _trained(found.drop("other", "sizes"), [m.without_silent() if m.silent.any() else m for m in models], steps, GAIN, moved)
-            found.unpersist()
+        while rounds is None or turn < rounds:
+            if not turn:
+                look = _looked(blocks, models, None, {})
+            elif not look["other"]:
+                if steps >= STEPS:
+                    break
+                steps = STEPS
+            turn += 1
+            named = models
+            moved = _moved(seqs, classify(seqs, dict(enumerate(models))), look["sizes"], len(models)) if reseed else {}
+            models = speaking(models)
+            counts = _looked(blocks, models, named, moved)["old"] if moved else look["new"]
+            last, moving = dict.fromkeys(range(len(models)), -np.inf), set(range(len(models)))
+            models, fresh = list(models), False
+            for step in range(steps):
+                if step:
+                    look = _looked(blocks, models, named, moved)
+                    counts, fresh = look["old"], True
+                for k in sorted(moving):
+                    if k not in counts:
+                        moving.discard(k)
+                        continue
+                    e = counts[k]
+                    now = e["logp"][0] + PENALTY * e["logp"][1]
+                    if np.isfinite(last[k]) and now - last[k] <= GAIN * abs(now):
+                        moving.discard(k)
+                        continue
+                    last[k], models[k], fresh = now, maximized(models[k], e), False
+                if not moving:
+                    break
+            # What the last pass told of labels holds, unless a step was made since.
+            if not fresh and turn != rounds:
+                look = _looked(blocks, models, named, moved)
     finally:
         blocks.unpersist()
-    if rounds is None:
-        raise RuntimeError(f"labels still change after {STEPS} rounds")
     return models, classify(seqs, dict(enumerate(models)))
 
 
+def _looked(blocks: DataFrame, now: list[Model], named: list[Model] | None, moved: dict[int, int]) -> dict:
+    """One pass. old, new: counts for each model of its sequences by the labels of the models `named` (and moved) and by those of `now`, where it has any.
+
+    sizes: sequences by new label; other: those whose label was another (moved ones by their own). Without `named` there are no old labels.
+    """
+
+    def labels_of(some, x, kinds):
+        """Number of each sequence's best model (the lowest of equals), -1 for none."""
+        if "codes" in x:
+            logp = np.stack([k.loglik(x["codes"], x["lengths"]) for k in kinds], axis=1)
+        else:
+            logp = np.stack([forward(m, emissions(m, x["obs"]), x["lengths"])[2] for m in some], axis=1)
+        joint = np.where(np.isnan(logp), -np.inf, logp) + np.log([m.prior for m in some])
+        return np.where(np.isfinite(joint.max(axis=1)), joint.argmax(axis=1), -1)
+
+    counting = [m.without_silent() if m.silent.any() else m for m in now]
+    by_codes = "codes" in blocks.columns
+
+    def run(frames):
+        kinds, before = ([by_blocks.Kinds(m) for m in some or ()] if by_codes else None for some in (now, named))
+        total, sums = {}, {}
+        sizes, other = np.zeros(len(now)), 0
+        for x in unpacked(frames):
+            new = labels_of(now, x, kinds)
+            old = np.full(len(new), -1) if named is None else labels_of(named, x, before)
+            other += int((new != old).sum())
+            sizes += np.bincount(new[new >= 0], minlength=len(now))
+            for seq, k in moved.items():
+                old[x["ids"] == seq] = k
+            for k, m in enumerate(counting):
+                for part, own in (("stay", (old == k) & (new == k)), ("left", (old == k) & (new != k)), ("came", (old != k) & (new == k))):
+                    own = np.flatnonzero(own)
+                    if not len(own):
+                        continue
+                    if by_codes:
+                        sums[part, k] = sums.get((part, k)) or kinds[k].fresh()
+                        sums[part, k].add(x["codes"][:, own], x["lengths"][own], x["weight"][own])
+                        continue
+                    for name, value in counted(m, x["obs"][own], x["lengths"][own], x["weight"][own]).items():
+                        total[part, k, name] = total.get((part, k, name), 0) + value
+        total |= {(*key, name): value for key, s in sums.items() for name, value in s.counts().items()}
+        total |= {("", -1, "sizes"): sizes, ("", -1, "other"): np.array([float(other)])}
+        yield pd.concat([pd.DataFrame({"part": part, "model": k, "name": name, "place": np.arange(v.size), "value": v.ravel()}) for (part, k, name), v in total.items()])
+
+    got: dict = {}
+    for (part, k, name, place), value in summed(blocks.mapInPandas(run, "part string, model int, name string, place int, value double"), "part", "model", "name", "place").items():
+        got.setdefault((part, k), {}).setdefault(name, {})[place] = value
+    whole = got.pop(("", -1), {"sizes": {}, "other": {}})
+    out: dict = {"old": {}, "new": {}, "sizes": {k: int(n) for k, n in whole["sizes"].items()}, "other": int(whole["other"].get(0, 0))}
+    for label, parts in (("old", ("stay", "left")), ("new", ("stay", "came"))):
+        for k, m in enumerate(counting):
+            if any((part, k) in got for part in parts):
+                shapes = {"logp": (2,), "pi": m.pi.shape, "a": m.a.shape} | ({"b": m.b.shape} if m.b is not None else {x: m.c.shape for x in ("c", "x", "xx")})
+                e = {name: np.zeros(shape) for name, shape in shapes.items()}
+                for part in parts:
+                    for name, values in got.get((part, k), {}).items():
+                        e[name].flat[list(values)] += list(values.values())
+                out[label][k] = e
+    return out
+
+
 def mixture(seqs: DataFrame, models: list[Model], rounds: int = STEPS, gain: float = GAIN, steps: int = 10) -> tuple[list[Model], float]:
     """EM over a mixture of models: soft weights of each sequence, then each model trained by them. Priors are kept in the models.
 
