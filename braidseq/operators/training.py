@@ -159,7 +159,7 @@ def trained_apart(seqs: DataFrame, models: list[Model], steps: int = STEPS, gain
     A model without sequences stays. Its last step's gain decides when a model leaves; then only its sequences' counts are left out.
     """
     models = [m.without_silent() if m.silent.any() else m for m in models]
-    blocks = packed(seqs, ("model_id",))
+    blocks = _prepared(seqs, models, ("model_id",))
     try:
         return _trained(blocks, models, steps, gain, {})
     finally:
