@@ -372,7 +372,7 @@ def decode(parts: DataFrame, m: Model, emit: Callable, schema: str, fan: int = F
                 slot = np.array([np.frombuffer(x, np.int64)[0] for x in frame["slot"].iloc[rows]])
                 yield emitted(frame, rows, walked(frame, rows, codes, lengths, True), slot)
 
-    return one.unionByName(several.join(last, ["seq_id", "part"]).mapInPandas(traced, schema))
+    return one.unionByName(several.join(last, ["seq_id", "part"]).repartition(tasks, "part", "seq_id").mapInPandas(traced, schema))
 
 
 def paths(parts: DataFrame, m: Model, **kw) -> DataFrame:
